@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _OPS = {
+    "op3_secret_scan": ("secrets", "op3_secret_scan"),
+    "op9_bestfit_packing": ("packing", "op9_bestfit_packing"),
     "op10_exact_topk": ("topk", "op10_exact_topk"),
 }
 
