@@ -6,6 +6,8 @@ from importlib import import_module
 
 _OPS = {
     "op3_secret_scan": ("secrets", "op3_secret_scan"),
+    "op5_toxicity": ("toxicity", "op5_toxicity"),
+    "op8_decontamination": ("decontam", "op8_decontamination"),
     "op9_bestfit_packing": ("packing", "op9_bestfit_packing"),
     "op10_exact_topk": ("topk", "op10_exact_topk"),
 }
