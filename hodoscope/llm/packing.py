@@ -26,7 +26,7 @@ _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-įĲ-ňŊ-ž]*")
 #: The tokenizer's split over such characters, after lower-casing.
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\\sa-zß-öø-ž0-9]+")
 #: Distinct words whose ids a worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 
 
 class Encoder:
@@ -40,10 +40,25 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        vocab = self.model.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, new: list[str]) -> None:
+        """Encode the words as one text; a word ends at the one token of it that carries the vocabulary's word end."""
+        ids = np.asarray(self.model.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(new):
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(new, (4 * ends).tolist()):
+                self.memo[w] = raw[at:end]
+                at = end
+        else:
+            self.memo.update((w, self.whole(w)) for w in new)
+
     def many(self, texts: list[str | None]) -> list[bytes]:
         plain = [bool(t) and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
         words = [WORDS.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
@@ -54,11 +69,7 @@ class Encoder:
             if w:
                 new.update(w)
         new.difference_update(self.memo)
-        fresh = list(new)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[w] = np.asarray(e.ids, "<u4").tobytes()
+        self.learn(sorted(new))
         get = self.memo.__getitem__
         return [b"".join(map(get, w)) if w is not None else self.whole(t) if t else b"" for w, t in zip(words, texts)]
 
