@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _OPS = {
+    "op1_line_dedup": ("linedup", "op1_line_dedup"),
     "op3_secret_scan": ("secrets", "op3_secret_scan"),
     "op5_toxicity": ("toxicity", "op5_toxicity"),
     "op8_decontamination": ("decontam", "op8_decontamination"),
