@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hodoscope.llm.common import cut
+from hodoscope.llm.decontam import decontaminate_stage
+from hodoscope.llm.linedup import line_dedup_stage
+from hodoscope.llm.neardup import neardup_stage
+from hodoscope.llm.packing import pack_stage
+from hodoscope.llm.toxicity import toxicity_stage
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
+    ("neardup", neardup_stage),
+    ("decontamination", decontaminate_stage),
+    ("packing", pack_stage),
+]
 
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None

@@ -6,6 +6,7 @@ from importlib import import_module
 
 _OPS = {
     "op1_line_dedup": ("linedup", "op1_line_dedup"),
+    "op2_langid": ("langid", "op2_langid"),
     "op3_secret_scan": ("secrets", "op3_secret_scan"),
     "op4_neardup": ("neardup", "op4_neardup"),
     "op5_toxicity": ("toxicity", "op5_toxicity"),
