@@ -11,6 +11,7 @@ _OPS = {
     "op4_neardup": ("neardup", "op4_neardup"),
     "op5_toxicity": ("toxicity", "op5_toxicity"),
     "op6_personal_data": ("pii", "op6_personal_data"),
+    "op7_license_scan": ("licenses", "op7_license_scan"),
     "op8_decontamination": ("decontam", "op8_decontamination"),
     "op9_bestfit_packing": ("packing", "op9_bestfit_packing"),
     "op10_exact_topk": ("topk", "op10_exact_topk"),
