@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows handed to a text function at once; keeps a worker's memory near the size of a few hundred texts.
 SLICE_ROWS = 256
+BATCH_ROWS = 1000
 WHITESPACE = "\x20\x09-\x0d"
 
 
@@ -56,6 +57,15 @@ def _drop_all() -> None:
             return
 
 
+#: A table of at most this many rows of a few numbers each is sent to all executors; a larger one is joined by a shuffle.
+SEND_ROWS = 1_000_000
+
+
+def send(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for a broadcast where its counted rows allow it."""
+    return F.broadcast(df) if rows <= SEND_ROWS else df
+
+
 def cache() -> dict:
     """A per-process dictionary; functions that travel by value do not carry module state."""
     return sys.modules.setdefault("_hodoscope_cache", types.ModuleType("_hodoscope_cache")).__dict__
@@ -69,6 +79,14 @@ def once(key: str, make: Callable[[], object]) -> object:
     return own[key]
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, its session set to send Python at most BATCH_ROWS rows at once: whole texts are long, and a batch is held several times."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str | T.StructType, rows: int = SLICE_ROWS) -> DataFrame:
     """Apply fn to slices of df as columns of Python values; fn returns columns of schema, any number of rows."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -81,7 +99,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
                 out = fn({n: c.to_pylist() for n, c in zip(piece.schema.names, piece.columns)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return bound_batches(df).mapInArrow(run, kind)
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, dict[str, list]], Iterable[tuple]], schema: str, order: list[str] | None = None, out_rows: int = 2000) -> DataFrame:
@@ -129,7 +147,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, dict[str, li
                 out = []
         yield pack(out)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, kind)
+    return bound_batches(df).repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, kind)
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

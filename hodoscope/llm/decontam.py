@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hodoscope.llm.common import cut, map_rows
+from hodoscope.llm.common import bound_batches, cut, map_rows
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and of its question's and answer's word runs.
@@ -238,4 +238,4 @@ def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 bad = {f[0] for s in shared for f in s.value.matches(texts)}
                 yield piece.filter(pa.array([i not in bad for i in range(len(texts))]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return bound_batches(docs).mapInArrow(keep, docs.schema)

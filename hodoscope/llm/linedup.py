@@ -17,14 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hodoscope.llm.common import cut
+from hodoscope.llm.common import bound_batches, cut, send
 
 #: Lines shorter than this are compared for equality only.
 LEAST_CHARS = 20
 FINE = 16
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-#: A table of fewer rows than this (tens of bytes each) is sent to all executors; a larger one is joined by a shuffle.
-SEND_ROWS = 1_000_000
 NO_ID = -(1 << 63)
 ID = ["id0", "rid", "line_no"]
 
@@ -80,7 +78,7 @@ def _arrow(df: DataFrame, run, schema: str, rows: int = 512) -> DataFrame:
             for at in range(0, batch.num_rows, rows):
                 yield run(batch.slice(at, rows))
 
-    return df.mapInArrow(step, schema)
+    return bound_batches(df).mapInArrow(step, schema)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -123,10 +121,6 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(again, key, "left_semi")
 
 
-def _send(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= SEND_ROWS else df
-
-
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """id0, rid, line_no of the first occurrences of lines that lie within one edit of an earlier line."""
     half = _shared(firsts.select(*ID, F.posexplode("keys").alias("part", "key")), "key")
@@ -134,7 +128,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     suspects = cut(half.groupBy(*ID).agg(F.sort_array(F.collect_set("part")).alias("parts")), "suspects")
     by_row = suspects.groupBy("id0", "rid").agg(F.collect_list(F.struct("line_no", "parts")).alias("wanted"))
     src = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id0"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-    found = src.join(_send(by_row, suspects.count()), ["id0", "rid"]).select("id0", "rid", F.explode("wanted").alias("w"), "text")
+    found = src.join(send(by_row, suspects.count()), ["id0", "rid"]).select("id0", "rid", F.explode("wanted").alias("w"), "text")
     line = F.btrim(F.get(F.split("text", "\n"), F.col("w.line_no")), F.lit(" \t\r"))
     lines = cut(found.select("id0", "rid", F.col("w.line_no").alias("line_no"), F.col("w.parts").alias("parts"), line.alias("line")).dropDuplicates(ID), "lines")
 

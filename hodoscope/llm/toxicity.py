@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hodoscope.llm.common import cache, map_rows
+from hodoscope.llm.common import bound_batches, cache, map_rows
 
 #: Labelled rows and their largest length that the fit may use.
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 60_000
@@ -202,4 +202,4 @@ def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 p = chain.scores(texts)[:, chain.names.index("toxic")]
                 yield piece.filter(pa.array([not t or v < THRESHOLD for t, v in zip(texts, p)]))
 
-    return docs.mapInArrow(keep, docs.schema).select(*names)
+    return bound_batches(docs).mapInArrow(keep, docs.schema).select(*names)
