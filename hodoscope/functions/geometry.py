@@ -86,15 +86,16 @@ def to_local(x: Column, y: Column, z: Column) -> list[Column]:
 
 
 def plane_crossing(df: DataFrame) -> DataFrame:
-    """df (kx, ky, bx, by and detector columns) with gx, gy, gz where the track meets the detector's plane.
+    """df (kx, ky, bx, by and detector columns) with pred_x, pred_y, pred_z: where the track meets the plane, in local coordinates.
 
-    NULL where it runs along the plane or would have to go backwards. Steps are columns of their own: as one expression they
-    would be repeated in each result.
+    Rows without a crossing (along the plane, or backwards) are dropped. Each result holds the crossing's z once: filters on it
+    are pushed through projections by substitution, and must stay small.
     """
-    df = df.withColumn("__along", F.expr("kx * r02 + ky * r12 + r22"))
-    df = df.withColumn("__z", F.when(F.abs("__along") >= 1e-12, F.expr("((px - bx) * r02 + (py - by) * r12 + pz * r22)") / F.col("__along")))
-    df = df.withColumn("gz", F.when(F.col("__z") >= 0, F.col("__z")))
-    return df.withColumns({"gx": F.expr("kx * gz + bx"), "gy": F.expr("ky * gz + by")}).drop("__along", "__z")
+    along, over = F.expr("kx * r02 + ky * r12 + r22"), F.expr("(px - bx) * r02 + (py - by) * r12 + pz * r22")
+    df = df.withColumns({"__along": along, "__over": over}).where("abs(__along) >= 1e-12 AND __along * __over >= 0")
+    df = df.withColumn("__z", F.col("__over") / F.col("__along"))
+    pred = {f"pred_{a}": F.expr(f"__z * (kx * r0{i} + ky * r1{i} + r2{i}) + (bx - px) * r0{i} + (by - py) * r1{i} - pz * r2{i}") for i, a in enumerate("xyz")}
+    return df.withColumns(pred).drop("__along", "__over", "__z")
 
 
 def cylinder_crossing(df: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def cylinder_crossing(df: DataFrame) -> DataFrame:
 
 
 def predict(tracks: DataFrame, dets: DataFrame) -> DataFrame:
-    """tracks x detectors with the predicted local point pred_x, pred_y, pred_z (NULL: no crossing). dets comes from a configuration, so it is small."""
+    """tracks x detectors with the predicted local point pred_x, pred_y, pred_z, where there is one. dets comes from a configuration, so it is small."""
     found = [(r["det"], r["type"]) for r in dets.select("det", "type").collect()]
     out = None
     for round_ in (False, True):
@@ -124,9 +125,12 @@ def predict(tracks: DataFrame, dets: DataFrame) -> DataFrame:
         if not ids:
             continue
         both = tracks.withColumn("det", F.explode(F.array(*[F.lit(i) for i in ids]))).join(F.broadcast(dets), "det")
-        both = cylinder_crossing(both) if round_ else plane_crossing(both)
-        local = to_local(F.col("gx"), F.col("gy"), F.col("gz"))
-        both = both.withColumns({f"pred_{a}": v for a, v in zip("xyz", local)}).drop("gx", "gy", "gz")
+        if round_:
+            both = cylinder_crossing(both)
+            local = to_local(F.col("gx"), F.col("gy"), F.col("gz"))
+            both = both.withColumns({f"pred_{a}": v for a, v in zip("xyz", local)}).drop("gx", "gy", "gz").where("pred_x IS NOT NULL")
+        else:
+            both = plane_crossing(both)
         out = both if out is None else out.unionByName(both)
     if out is None:
         raise ValueError("no detectors to predict for")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hodoscope.config import ClusterConfig, PositionConfig
 from hodoscope.functions.columns import finite
 from hodoscope.functions.geometry import to_global
+from hodoscope.operators.grouped import component_labels, map_whole_groups
 
 KEYS = ["entry", "det"]
 
@@ -37,53 +38,41 @@ def strip_groups(hits: DataFrame, c: ClusterConfig) -> DataFrame:
         return valid.withColumn("__new", gap.cast("int")).withColumn("part", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
     schema = valid.withColumn("part", F.lit(0)).schema
 
-    def link(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["id0", "raw_idx"], kind="stable")
+    def link(frame: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
         ids, times = frame["id0"].to_numpy(), frame["time"].to_numpy(float)
-        part = list(range(len(frame)))
-
-        def root(i: int) -> int:
-            while part[i] != i:
-                part[i] = part[part[i]]
-                i = part[i]
-            return i
-
-        for i in range(len(frame)):
-            for j in range(i + 1, len(frame)):
-                if ids[j] - ids[i] > 1 + c.max_gap:
-                    break
-                if abs(times[j] - times[i]) <= c.time_window_ns:
-                    a, b = root(i), root(j)
-                    part[max(a, b)] = min(a, b)
-        return frame.assign(part=[root(i) for i in range(len(frame))])
+        left, right = [], []
+        for step in range(1, len(frame)):
+            i = np.flatnonzero((group[step:] == group[:-step]) & (ids[step:] - ids[:-step] <= 1 + c.max_gap))
+            if not len(i):
+                break
+            i = i[np.abs(times[i + step] - times[i]) <= c.time_window_ns]
+            left.append(i)
+            right.append(i + step)
+        edges = [np.concatenate(e) if e else np.zeros(0, int) for e in (left, right)]
+        return frame.assign(part=component_labels(len(frame), *edges).astype("int32"))
 
-    return valid.groupBy(*KEYS, "plane").applyInPandas(link, schema)
+    return map_whole_groups(valid, [*KEYS, "plane"], link, schema, ["id0", "raw_idx"])
 
 
 def pad_groups(hits: DataFrame, c: ClusterConfig) -> DataFrame:
     """Valid pad hits (id0 column, id1 row, both within the grid) with `part`: pads that touch, by 4 or 8 neighbours."""
     inside = hits.where(F.col("is_valid") & F.col("id0").between(0, F.col("pad_columns") - 1) & F.col("id1").between(0, F.col("pad_rows") - 1))
     schema = inside.withColumn("part", F.lit(0)).schema
-    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (c.connectivity == 8 or a == 0 or b == 0)]
-
-    def flood(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["id1", "id0", "raw_idx"], kind="stable")
-        pads: dict[tuple[int, int], int] = dict.fromkeys(zip(frame["id0"], frame["id1"]), -1)
-        number = 0
-        for pad in pads:
-            if pads[pad] >= 0:
-                continue
-            todo, pads[pad] = [pad], number
-            while todo:
-                x, y = todo.pop()
-                for a, b in near:
-                    if pads.get((x + a, y + b), 0) == -1:
-                        pads[x + a, y + b] = number
-                        todo.append((x + a, y + b))
-            number += 1
-        return frame.assign(part=[pads[p] for p in zip(frame["id0"], frame["id1"])])
-
-    return inside.groupBy(*KEYS, "plane").applyInPandas(flood, schema)
+    near = [(a, b) for a, b in ((1, 0), (0, 1), (1, 1), (-1, 1)) if c.connectivity == 8 or a == 0 or b == 0]
+
+    def touch(frame: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        # one number a pad: group, row and column; a step to a neighbour is a fixed difference
+        pad = (group.astype(np.int64) << 40) | (frame["id1"].to_numpy(np.int64) << 20) | frame["id0"].to_numpy(np.int64)
+        own, at = np.unique(pad, return_inverse=True)
+        left, right = [], []
+        for dx, dy in near:
+            k = np.searchsorted(own, own + dx + (dy << 20))
+            there = np.flatnonzero((k < len(own)) & (own[np.minimum(k, len(own) - 1)] == own + dx + (dy << 20)))
+            left.append(there)
+            right.append(k[there])
+        return frame.assign(part=component_labels(len(own), np.concatenate(left), np.concatenate(right))[at].astype("int32"))
+
+    return map_whole_groups(inside, [*KEYS, "plane"], touch, schema)
 
 
 def _weight(c: PositionConfig) -> Column:

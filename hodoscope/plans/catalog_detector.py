@@ -301,7 +301,7 @@ pred AS (SELECT *, r00 * dx + r10 * dy + r20 * dz AS pred_x, r01 * dx + r11 * dy
 @query(f"WITH {PLANE3} SELECT entry, track_index, {s6("pred_x")} AS pred_x, {s6("pred_y")} AS pred_y FROM pred")
 def plane_intersection(spark, sf) -> DataFrame:
     dets = geometry.detectors(spark, [D3])
-    return geometry.predict(ad.lines(spark, sf), dets).where("pred_x IS NOT NULL").select("entry", "track_index", *r6("pred_x", "pred_y"))
+    return geometry.predict(ad.lines(spark, sf), dets).select("entry", "track_index", *r6("pred_x", "pred_y"))
 
 
 @query(f"""WITH {ad.LINES}, l AS (SELECT *, cos(0.4::DOUBLE) AS c, sin(0.4::DOUBLE) AS s FROM t),
@@ -326,7 +326,7 @@ def axis_planes(spark, sf) -> DataFrame:
 @query(f"""WITH {PLANE3} SELECT entry, track_index, (pred_x >= -0.2 AND pred_x < 102.2 AND (pred_x + pred_y) * cos(radians(45)) >= -0.2 AND (pred_x + pred_y) * cos(radians(45)) < 102.2) AS active FROM pred""")
 def active_area(spark, sf) -> DataFrame:
     planes = geometry.planes(spark, [D3]).groupBy("det").agg(F.collect_list(F.struct("angle_deg", "pitch", "n_strips")).alias("planes"))
-    own = geometry.predict(ad.lines(spark, sf), geometry.detectors(spark, [D3]).join(planes, "det")).where("pred_x IS NOT NULL")
+    own = geometry.predict(ad.lines(spark, sf), geometry.detectors(spark, [D3]).join(planes, "det"))
     return own.select("entry", "track_index", geometry.active_area(F.col("pred_x"), F.col("pred_y"), F.col("planes")).alias("active"))
 
 

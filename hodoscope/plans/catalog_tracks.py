@@ -1,0 +1,346 @@
+"""Queries: track fits and searches, matching, efficiencies, residuals, timing, alignment."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hodoscope.config import AlignmentConfig, EfficiencyConfig, TrackConfig
+from hodoscope.functions import geometry
+from hodoscope.operators import align, efficiency, match, timing, tracks
+from hodoscope.plans import adapters as ad
+from hodoscope.plans.catalog import query
+from hodoscope.plans.catalog_detector import CL, PLANE3, _clusters, _pad_clusters, _pad_sql, r6, s6
+
+# --- tracks --------------------------------------------------------------------------------------------------------------
+
+SUMS = "count(*)::DOUBLE AS n, sum(gz) AS z, sum(gz * gz) AS zz, sum(gx) AS x, sum(gy) AS y, sum(gx * gz) AS xz, sum(gy * gz) AS yz, sum(gx * gx) AS xx, sum(gy * gy) AS yy"
+
+
+@query(f"""WITH {ad.POINTS}, s AS (SELECT entry, {SUMS} FROM g GROUP BY entry),
+f AS (SELECT *, CASE WHEN abs(n * zz - z * z) > 1e-12 THEN (n * xz - z * x) / (n * zz - z * z) END AS kx, CASE WHEN abs(n * zz - z * z) > 1e-12 THEN (n * yz - z * y) / (n * zz - z * z) END AS ky FROM s)
+SELECT entry, {s6("kx")} AS kx, {s6("(x - kx * z) / n")} AS bx, {s6("ky")} AS ky, {s6("(y - ky * z) / n")} AS "by", CAST(n AS INTEGER) AS hits FROM f""")
+def track_fit(spark, sf) -> DataFrame:
+    return tracks.fit_tracks(ad.points(spark, sf), ["entry"]).select("entry", *r6("kx", "bx", "ky", "by"), "hits")
+
+
+@query(f"""WITH {ad.POINTS}, p AS (SELECT a.entry, a.det, a.raw_idx, a.gx, a.gz, b.gx AS ox, b.gz AS oz FROM g a JOIN g b ON a.entry = b.entry AND a.raw_idx <> b.raw_idx),
+f AS (SELECT entry, raw_idx, any_value(gx) AS gx, any_value(gz) AS gz, count(*) AS n, avg(oz) AS mz, regr_slope(ox, oz) AS k, regr_intercept(ox, oz) AS b, sum(oz * oz) - sum(oz) * sum(oz) / count(*) AS szz FROM p GROUP BY entry, raw_idx)
+SELECT entry, raw_idx, CAST(n AS INTEGER) AS n_other, round(gx - (k * gz + b), 7) + 1000 AS res_x FROM f WHERE n >= 2 AND szz > 1""")
+def track_leave_one_out(spark, sf) -> DataFrame:
+    own = tracks.leave_one_out(ad.points(spark, sf), ["entry"]).where("n_other >= 2 AND res_x IS NOT NULL AND pointing < 1e6")
+    return own.select("entry", "raw_idx", "n_other", (F.round("res_x", 7) + 1000).alias("res_x"))
+
+
+@query(f"""WITH {ad.POINTS}, p AS (SELECT a.entry, a.det, a.raw_idx, a.gx, a.gz, b.gx AS ox, b.gz AS oz FROM g a JOIN g b ON a.entry = b.entry AND a.raw_idx <> b.raw_idx),
+f AS (SELECT entry, raw_idx, any_value(det) AS det, any_value(gx) AS gx, any_value(gz) AS gz, count(*) AS n, avg(oz) AS mz, regr_slope(ox, oz) AS k, regr_intercept(ox, oz) AS b, sum(oz * oz) - sum(oz) * sum(oz) / count(*) AS szz FROM p GROUP BY entry, raw_idx)
+SELECT det, round(stddev_pop((gx - (k * gz + b)) / sqrt(1 + 1 / n::DOUBLE + (gz - mz) * (gz - mz) / szz)), 4) AS resolution_x, count(*) AS residuals FROM f WHERE n >= 2 AND szz > 1 GROUP BY det""")
+def pooled_resolution(spark, sf) -> DataFrame:
+    own = tracks.leave_one_out(ad.points(spark, sf), ["entry"]).where("n_other >= 2 AND pointing < 1e6")
+    return tracks.pooled_resolution(own, ["det"]).select("det", F.round("resolution_x", 4).alias("resolution_x"), "residuals")
+
+
+@query("""WITH p AS (SELECT 3.0::DOUBLE AS n, 100.0::DOUBLE AS m, 20000.0::DOUBLE AS szz) SELECT z * 2.0::DOUBLE AS z, round(0.12 * sqrt(1 / n + (z * 2 - m) ^ 2 / szz), 6) AS pointing, round(0.12 / sqrt(szz), 6) AS angular FROM p, range(0, 301) r(z)""")
+def pointing_curve(spark, sf) -> DataFrame:
+    dets = geometry.detectors(spark, ad.SETUP).where("role = 'tracker'")
+    return tracks.pointing_curve(dets, 0.12, 0.0, 600.0).select("z", *r6("pointing", "angular"))
+
+
+@query(f"""WITH {ad.HITS}, d AS (SELECT entry, det, sum(amp * amp * time) / sum(amp * amp) AS t FROM h WHERE is_valid GROUP BY entry, det)
+SELECT entry, {s6("avg(t)")} AS t0, true AS has_t0 FROM d GROUP BY entry""")
+def track_t0(spark, sf) -> DataFrame:
+    return tracks.track_t0(ad.hits(spark, sf).where("is_valid")).select("entry", *r6("t0"), "has_t0")
+
+
+@query(f"WITH {ad.LINES} SELECT entry, track_index, raw_event_id FROM t WHERE chi2 < 4 AND entry IN (SELECT entry FROM t WHERE chi2 < 4 GROUP BY entry HAVING count(*) = 1)")
+def single_track_events(spark, sf) -> DataFrame:
+    return tracks.single_track_events(ad.lines(spark, sf).where("chi2 < 4")).select("entry", "track_index", "raw_event_id")
+
+
+@query(f"""WITH {ad.HITS}, n AS (SELECT entry, det, count(*) AS n FROM h WHERE amp > 40 AND det < 3 GROUP BY entry, det) SELECT entry FROM n GROUP BY entry HAVING count(CASE WHEN n = 1 THEN 1 END) = 3 AND max(n) = 1""")
+def strict_single_hit(spark, sf) -> DataFrame:
+    return tracks.strict_events(ad.hits(spark, sf).where("amp > 40"), [0, 1, 2])
+
+
+@query(f"""WITH {ad.HITS}, e AS (SELECT det, entry, bool_or(plane = 0) AS x, bool_or(plane = 1) AS y FROM h WHERE amp > 35 GROUP BY det, entry)
+SELECT det, count(CASE WHEN x THEN 1 END) AS with_x, count(CASE WHEN y THEN 1 END) AS with_y, count(CASE WHEN x AND y THEN 1 END) AS with_both, (SELECT count(DISTINCT entry) FROM h) AS events FROM e GROUP BY det""")
+def availability(spark, sf) -> DataFrame:
+    own = ad.hits(spark, sf)
+    return tracks.availability(own.where("amp > 35").withColumns({"has_x": F.col("plane") == 0, "has_y": F.col("plane") == 1}), own)
+
+
+def _searchable(spark, sf) -> DataFrame:
+    """Local hits for the search: strips of strong hits, with coordinates of the plain three-plane set-up."""
+    own = ad.points(spark, sf).join(ad.hits(spark, sf).where("amp > 38").select("entry", "raw_idx"), ["entry", "raw_idx"], "left_semi")
+    own = own.withColumns({"x": F.col("gx"), "y": F.col("gy"), "hit_idx": F.col("raw_idx")})
+    return own
+
+
+def _trackers(spark) -> DataFrame:
+    return geometry.detectors(spark, [{"id": i, "type": "planar", "role": "tracker", "position": [0, 0, 100 * i], "rotation": [0, 0, 0]} for i in range(3)])
+
+
+@query()
+def track_search(spark, sf) -> DataFrame:
+    c = TrackConfig(resolution_x=2.0, resolution_y=2.0)
+    found = tracks.find_tracks(_searchable(spark, sf), _trackers(spark), c)
+    return found.withColumn("hits", F.to_json("hits"))
+
+
+@query()
+def tracker_alignment(spark, sf) -> DataFrame:
+    own = _searchable(spark, sf)
+    strict = tracks.strict_events(own, [0, 1, 2])
+    found = align.align_trackers(own.join(strict, "entry", "left_semi"), _trackers(spark), AlignmentConfig(max_iterations=3, min_tracks=5), (5.0, 5.0))
+    return align.corrections_table(spark, found)
+
+
+# --- matching ------------------------------------------------------------------------------------------------------------
+
+DUT = [ad.SETUP[3]]
+CONFIG = EfficiencyConfig(x_bins=4, x_max=24.0, y_bins=3, y_max=21.0, exclude_x=(2,), min_entries_per_bin=5, margin=0.6, fake_partners=3)
+PADS = EfficiencyConfig(x_bins=4, x_max=24.0, y_bins=3, y_max=21.0, min_entries_per_bin=5, margin=0.6)
+
+
+def _pred(spark, sf) -> DataFrame:
+    one = ad.lines(spark, sf).where("track_index = 0")
+    return geometry.predict(one, geometry.detectors(spark, DUT)).select("entry", "det", "pred_x", "pred_y")
+
+
+def _strips(spark, sf) -> DataFrame:
+    planes = geometry.planes(spark, DUT)
+    return match.strip_clusters(_clusters(spark, sf), geometry.axis_planes(planes), planes)
+
+
+PRED = PLANE3.replace("FROM orders)", "FROM orders WHERE o_orderkey % 2 = 0)")
+MATCH = f"""WITH {CL}, {PRED}, k AS (SELECT * FROM cl WHERE det = 3)"""
+
+
+@query(f"""{MATCH}, j AS (SELECT p.entry, k.plane, k.cluster_idx, k.pos * 0.4::DOUBLE AS u, k.pos * 0.4::DOUBLE - CASE WHEN k.plane = 0 THEN pred_x ELSE pred_y END AS res FROM pred p JOIN k ON p.entry = k.entry),
+b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY entry, plane ORDER BY abs(res), cluster_idx) = 1)
+SELECT p.entry, {s6("x.u")} AS hit_x, {s6("x.res")} AS res_x, x.cluster_idx AS cluster_x, {s6("y.u")} AS hit_y, {s6("y.res")} AS res_y, y.cluster_idx AS cluster_y,
+  CAST(CASE WHEN x.entry IS NULL THEN 0 ELSE 1 END + CASE WHEN y.entry IS NULL THEN 0 ELSE 2 END AS INTEGER) AS hit_flag
+FROM pred p LEFT JOIN (SELECT * FROM b WHERE plane = 0) x ON x.entry = p.entry LEFT JOIN (SELECT * FROM b WHERE plane = 1) y ON y.entry = p.entry WHERE x.entry IS NOT NULL AND y.entry IS NOT NULL""")
+def nearest_cluster(spark, sf) -> DataFrame:
+    own = match.nearest_clusters(_pred(spark, sf), _strips(spark, sf)).where("hit_flag = 3")
+    return own.select("entry", *r6("hit_x", "res_x"), "cluster_x", *r6("hit_y", "res_y"), "cluster_y", "hit_flag")
+
+
+SPAN = f"""{ad.HITS}, v AS (SELECT * FROM h WHERE is_valid AND det = 3),
+l AS (SELECT *, CASE WHEN id0 - lag(id0) OVER z <= 2 THEN 0 ELSE 1 END AS first FROM v WINDOW z AS (PARTITION BY entry, plane ORDER BY id0, raw_idx)),
+i AS (SELECT *, sum(first) OVER (PARTITION BY entry, plane ORDER BY id0, raw_idx ROWS UNBOUNDED PRECEDING) AS part FROM l),
+e AS (SELECT entry, plane, min(id0) * 0.4::DOUBLE AS low, max(id0) * 0.4::DOUBLE AS high FROM i GROUP BY entry, plane, part HAVING count(DISTINCT id0) <= 6)"""
+NEED = f"""WITH {SPAN}, {PRED}, w AS (SELECT p.entry, p.pred_x, p.pred_y, e.plane, min(CASE WHEN q0 < low THEN low - q0 WHEN q0 > high THEN q0 - high ELSE 0 END) AS need
+  FROM (SELECT *, unnest([0, 1]) AS plane, unnest([pred_x, pred_y]) AS q0 FROM pred) p LEFT JOIN e ON e.entry = p.entry AND e.plane = p.plane GROUP BY ALL),
+s AS (SELECT p.entry, p.pred_x, p.pred_y, coalesce(max(CASE WHEN w.plane = 0 THEN need END), 'inf'::DOUBLE) AS need_x, coalesce(max(CASE WHEN w.plane = 1 THEN need END), 'inf'::DOUBLE) AS need_y
+  FROM pred p LEFT JOIN w ON w.entry = p.entry GROUP BY p.entry, p.pred_x, p.pred_y),
+f AS (SELECT *, greatest(need_x, need_y) AS need_2d, CASE WHEN pred_x >= 0 AND pred_x < 24 AND pred_y >= 0 AND pred_y < 21 AND floor(pred_x / 24 * 4) + 1 <> 2
+  THEN CAST(floor(pred_x / 24 * 4) * 3 + floor(pred_y / 21 * 3) AS INTEGER) END AS flat_bin FROM s)"""
+
+
+def _samples(spark, sf) -> DataFrame:
+    return match.strip_samples(_pred(spark, sf), match.strip_envelopes(_strips(spark, sf))).withColumn("flat_bin", efficiency.flat_bin(CONFIG))
+
+
+@query(NEED + " SELECT entry, flat_bin, need_x <= 0.61 AS matched_x, need_y <= 0.61 AS matched_y, need_2d <= 0.61 AS matched_2d FROM f")
+def envelope_match(spark, sf) -> DataFrame:
+    return _samples(spark, sf).select("entry", "flat_bin", *[(F.col(f"need_{a}") <= 0.61).alias(f"matched_{a}") for a in efficiency.AXES])
+
+
+GRID = NEED + ", g AS (SELECT flat_bin, count(*) AS total, count(CASE WHEN need_x <= 0.61 THEN 1 END) AS passed_x, count(CASE WHEN need_y <= 0.61 THEN 1 END) AS passed_y, count(CASE WHEN need_2d <= 0.61 THEN 1 END) AS passed_2d FROM f WHERE flat_bin IS NOT NULL GROUP BY flat_bin)"
+
+
+@query(GRID + " SELECT * FROM g")
+def efficiency_map(spark, sf) -> DataFrame:
+    return efficiency.grid(_samples(spark, sf), 0.61).drop("det")
+
+
+@query(GRID + """ SELECT CAST(sum(total) AS BIGINT) AS total_events, count(*) AS valid_bins, round(sum(passed_x) / sum(total), 6) AS efficiency_x, round(sum(passed_2d) / sum(total), 6) AS efficiency_2d,
+  round(stddev_pop(passed_x / total) / avg(passed_x / total), 6) AS nonuniformity_x FROM g WHERE total >= 5""")
+def efficiency_weighted(spark, sf) -> DataFrame:
+    own = efficiency.summary(efficiency.grid(_samples(spark, sf), 0.61), CONFIG, intervals=False)
+    return own.select("total_events", "valid_bins", *r6("efficiency_x", "efficiency_2d", "nonuniformity_x"))
+
+
+@query()
+def clopper_pearson(spark, sf) -> DataFrame:
+    return efficiency.summary(efficiency.grid(_samples(spark, sf), 0.61), CONFIG)
+
+
+@query(GRID + " SELECT CAST(flat_bin // 3 + 1 AS INTEGER) AS slice, CAST(sum(total) AS BIGINT) AS total, round(sum(passed_x) / sum(total), 6) AS efficiency_x, round(sum(passed_2d) / sum(total), 6) AS efficiency_2d FROM g WHERE total >= 5 GROUP BY 1")
+def efficiency_projection(spark, sf) -> DataFrame:
+    return efficiency.projections(efficiency.grid(_samples(spark, sf), 0.61), CONFIG, "x").select("slice", "total", *r6("efficiency_x", "efficiency_2d"))
+
+
+SCAN = EfficiencyConfig(**(CONFIG.__dict__ | {"scan_min": 0.013, "scan_max": 3.0, "scan_step": 0.1}))
+
+
+@query(GRID + f""", big AS (SELECT flat_bin FROM g WHERE total >= 5), m AS (SELECT unnest([{', '.join(f"{m!r}::DOUBLE" for m in efficiency.margins(SCAN))}]) AS margin)
+SELECT round(margin, 6) AS margin, count(*) AS total_events, round(count(CASE WHEN need_x <= margin THEN 1 END) / count(*), 6) AS efficiency_x, round(count(CASE WHEN need_2d <= margin THEN 1 END) / count(*), 6) AS efficiency_2d
+FROM f JOIN big USING (flat_bin), m GROUP BY margin""")
+def margin_scan(spark, sf) -> DataFrame:
+    return efficiency.margin_scan(_samples(spark, sf), SCAN).select(*r6("margin"), "total_events", *r6("efficiency_x", "efficiency_2d"))
+
+
+@query(NEED + """ SELECT count(*) AS eligible, count(CASE WHEN need_x <= 0.61 THEN 1 END) AS matched_x, count(CASE WHEN need_x > 0.61 THEN 1 END) AS lost_x,
+  round(count(CASE WHEN need_2d <= 0.61 THEN 1 END) / count(CASE WHEN need_x <= 0.61 THEN 1 END), 6) AS y_given_x FROM f""")
+def efficiency_report(spark, sf) -> DataFrame:
+    return efficiency.efficiency_report(_samples(spark, sf), 0.61).select("eligible", "matched_x", "lost_x", *r6("y_given_x"))
+
+
+@query()
+def fake_efficiency(spark, sf) -> DataFrame:
+    own = _samples(spark, sf)
+    pairs = match.fake_partners(own.select("det", "entry"), CONFIG.fake_seed, CONFIG.fake_partners)
+    return efficiency.grid(match.strip_fakes(own, pairs, CONFIG.margin), CONFIG.margin)
+
+
+PADMATCH = f"""{_pad_sql("abs(a.id0 - b.id0) + abs(a.id1 - b.id1) <= 1")}"""
+BOX = PADMATCH.replace("SELECT p.entry, CAST(count", f", x AS (SELECT entry, local_x, local_y, x0 * 3 - 1.4::DOUBLE AS xl, x1 * 3 + 1.4::DOUBLE AS xh, y0 * 3 - 1.4::DOUBLE AS yl, y1 * 3 + 1.4::DOUBLE AS yh FROM (SELECT p.entry, min(id0) AS x0, max(id0) AS x1, min(id1) AS y0, max(id1) AS y1, CAST(count").replace("round(sum(amp * id0 * 3) / sum(amp), 6)", "sum(amp * id0 * 3) / sum(amp)").replace("round(sum(amp * id1 * 3) / sum(amp), 6)", "sum(amp * id1 * 3) / sum(amp)") + f""")), {ad.LINES},
+q AS (SELECT entry, kx * 150 + bx AS px, ky * 150 + "by" AS py FROM t WHERE track_index = 0),
+j AS (SELECT q.entry, px, py, local_x, local_y, CASE WHEN px < xl THEN xl - px WHEN px > xh THEN px - xh ELSE 0 END AS nx, CASE WHEN py < yl THEN yl - py WHEN py > yh THEN py - yh ELSE 0 END AS ny FROM q JOIN x ON x.entry = q.entry)"""
+
+
+def _pad_samples(spark, sf) -> DataFrame:
+    dets = geometry.detectors(spark, [ad.SETUP[4]])
+    pred = geometry.predict(ad.lines(spark, sf).where("track_index = 0"), dets).select("entry", "det", "pred_x", "pred_y")
+    return match.pad_samples(pred, match.pad_envelopes(_pad_clusters(spark, sf), dets)).withColumn("flat_bin", efficiency.flat_bin(PADS))
+
+
+@query(BOX.replace(", q AS (SELECT entry, raw_idx", ", q0 AS (SELECT entry, raw_idx").replace("\nq AS (SELECT entry, raw_idx", "\nq0 AS (SELECT entry, raw_idx").replace("FROM p JOIN q ON p.entry = q.entry AND p.raw_idx = q.raw_idx", "FROM p JOIN q0 ON p.entry = q0.entry AND p.raw_idx = q0.raw_idx").replace("\n, x AS", ", x AS") + """
+SELECT entry, min(greatest(nx, ny)) <= 0.61 AS matched, min(nx) <= 0.61 AS matched_x, round(min(CASE WHEN greatest(nx, ny) <= 0.61 THEN sqrt((local_x - px) ^ 2 + (local_y - py) ^ 2) END), 6) AS distance FROM j GROUP BY entry""")
+def pad_envelope_match(spark, sf) -> DataFrame:
+    own = match.pad_nearest(_pad_samples(spark, sf), 0.61).where("boxes IS NOT NULL")
+    return own.select("entry", (F.col("need_2d") <= 0.61).alias("matched"), (F.col("need_x") <= 0.61).alias("matched_x"), F.round(F.sqrt(F.col("res_x") ** 2 + F.col("res_y") ** 2), 6).alias("distance"))
+
+
+@query(f"""{MATCH}, j AS (SELECT p.entry, k.plane, k.centroid * 0.4::DOUBLE - CASE WHEN k.plane = 0 THEN pred_x ELSE pred_y END AS res FROM pred p JOIN k ON p.entry = k.entry),
+w AS (SELECT *, exp((min(res * res) OVER (PARTITION BY entry, plane) - res * res) / (2 * 2.0 * 2.0)) AS w FROM j)
+SELECT entry, CASE WHEN plane = 0 THEN 'x' ELSE 'y' END AS axis, {s6("sum(w * res) / sum(w)")} AS residual, {s6("max(w) / sum(w)")} AS dominance FROM w GROUP BY entry, plane""")
+def soft_match(spark, sf) -> DataFrame:
+    return match.soft_match(_pred(spark, sf), _strips(spark, sf), 2.0).select("entry", "axis", *r6("residual", "dominance"))
+
+
+@query("""WITH r AS (SELECT CAST(l_suppkey % 4 AS INTEGER) AS det, l_quantity - 25 AS res, l_partkey % 64 AS w FROM lineitem)
+SELECT det, round(regr_slope(res, w), 6) AS slope, count(*) AS n FROM r GROUP BY det HAVING count(*) >= 100""")
+def residual_slope(spark, sf) -> DataFrame:
+    li = ad.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 4).cast("int").alias("det"), (F.col("l_quantity") - 25).alias("res_x"), (F.col("l_partkey") % 64).alias("at"))
+    return match.residual_slope(li, "at", "res_x").select("det", *r6("slope"), "n")
+
+
+@query("""WITH r AS (SELECT CAST(l_suppkey % 4 AS INTEGER) AS det, (l_quantity - 25) / 4 AS res FROM lineitem), u AS (SELECT *, row_number() OVER (PARTITION BY det ORDER BY res) - 1 AS k, count(*) OVER (PARTITION BY det) AS n FROM r WHERE abs(res) < 5),
+q AS (SELECT det, max(CASE WHEN k = CAST(round(0.16::DOUBLE * (n - 1)) AS BIGINT) THEN res END) AS lo, max(CASE WHEN k = CAST(round(0.84::DOUBLE * (n - 1)) AS BIGINT) THEN res END) AS hi, count(*) AS used, avg(res) AS mean, stddev_pop(res) AS rms FROM u GROUP BY det)
+SELECT q.det, count(*) AS rows, any_value(used) AS used, round(any_value(mean), 6) AS mean, round(any_value(rms), 6) AS rms, round(count(CASE WHEN abs(res) < 1 THEN 1 END) / count(*), 6) AS within_1mm, any_value((hi - lo) / 2) AS sigma68 FROM q JOIN r ON r.det = q.det GROUP BY q.det""")
+def residual_summary(spark, sf) -> DataFrame:
+    li = ad.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 4).cast("int").alias("det"), ((F.col("l_quantity") - 25) / 4).alias("res_x"))
+    return efficiency.residual_summary(li, "x").select("det", "rows", "used", *r6("mean", "rms", "within_1mm"), "sigma68")
+
+
+# --- timing --------------------------------------------------------------------------------------------------------------
+
+METHODS = {"XMean": "0", "YMean": "1", "XYMean": "0, 1", "XMin": "0", "YMin": "1", "XYMin": "0, 1", "XYWeighted": "0, 1"}
+
+
+def _time_sql(m: str, planes: str) -> str:
+    t = "min(time)" if m.endswith("Min") else "sum(amp * time) / sum(amp)" if m == "XYWeighted" else "sum(time / (time_error * time_error)) / sum(1 / (time_error * time_error))"
+    return f"SELECT '{m}' AS method, entry, det, {s6(t)} AS t FROM h WHERE plane IN ({planes}) GROUP BY entry, det"
+
+
+@query(f"WITH {ad.HITS} " + " UNION ALL ".join(_time_sql(m, p) for m, p in METHODS.items()))
+def time_methods(spark, sf) -> DataFrame:
+    own, out = ad.hits(spark, sf), None
+    for m in METHODS:
+        one = timing.cluster_times(own, ["entry", "det"], m).where("t IS NOT NULL").select(F.lit(m).alias("method"), "entry", "det", *r6("t"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {ad.HITS} SELECT entry, det, raw_idx FROM h WHERE (entry, det) NOT IN (SELECT (entry, det) FROM h WHERE amp > 45)")
+def amplitude_veto(spark, sf) -> DataFrame:
+    return timing.veto(ad.hits(spark, sf), ["entry", "det"], 45).select("entry", "det", "raw_idx")
+
+
+@query(f"""WITH {ad.HITS}, t AS (SELECT entry, det, min(time) AS t FROM h GROUP BY entry, det), w AS (SELECT entry, max(CASE WHEN det = 0 THEN t END) AS a, max(CASE WHEN det = 1 THEN t END) AS b, max(CASE WHEN det = 2 THEN t END) AS c FROM t GROUP BY entry),
+s AS (SELECT stddev_pop(a - b) AS s12, stddev_pop(a - c) AS s13, stddev_pop(b - c) AS s23 FROM w),
+v AS (SELECT (s12 ^ 2 + s13 ^ 2 - s23 ^ 2) / 2 AS v1, (s12 ^ 2 + s23 ^ 2 - s13 ^ 2) / 2 AS v2, (s13 ^ 2 + s23 ^ 2 - s12 ^ 2) / 2 AS v3 FROM s)
+SELECT round(v1, 6) AS v1, round(v2, 6) AS v2, round(v3, 6) AS v3, round(1 / v1 / (1 / v1 + 1 / v2 + 1 / v3), 6) AS w1, round(1 / sqrt(1 / v1 + 1 / v2 + 1 / v3), 6) AS resolution FROM v""")
+def three_corner_hat(spark, sf) -> DataFrame:
+    t = ad.hits(spark, sf).groupBy("entry", "det").agg(F.min("time").alias("t"))
+    pick = lambda d: F.max(F.when(F.col("det") == d, F.col("t")))
+    w = t.groupBy("entry").agg(pick(0).alias("a"), pick(1).alias("b"), pick(2).alias("c"))
+    s = w.agg(F.stddev_pop(F.col("a") - F.col("b")).alias("s12"), F.stddev_pop(F.col("a") - F.col("c")).alias("s13"), F.stddev_pop(F.col("b") - F.col("c")).alias("s23"))
+    return s.withColumns(timing.hat_columns(F.col("s12"), F.col("s13"), F.col("s23"))).select(*r6("v1", "v2", "v3", "w1", "resolution"))
+
+
+@query("SELECT c_nationkey AS nation, round(CASE WHEN var_pop(c_acctbal) - avg(c_custkey) >= 0 THEN sqrt(var_pop(c_acctbal) - avg(c_custkey)) END, 4) AS intrinsic FROM customer GROUP BY c_nationkey")
+def reference_subtraction(spark, sf) -> DataFrame:
+    own = ad.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.stddev_pop("c_acctbal").alias("s"), F.avg("c_custkey").alias("v"))
+    return own.select("nation", F.round(timing.subtract_reference(F.col("s"), F.col("v")), 4).alias("intrinsic"))
+
+
+@query(f"""WITH {ad.LINES}, x AS (SELECT * REPLACE (raw_event_id // 3 AS raw_event_id) FROM t), own AS (SELECT raw_event_id FROM x GROUP BY 1 HAVING count(DISTINCT entry) = 1),
+r AS (SELECT user_id * 10 + event_id % 10 AS id, any_value(value) AS v FROM events GROUP BY 1 HAVING count(*) = 1)
+SELECT x.entry, x.track_index, r.v AS external_t0, r.v IS NOT NULL AS has_external_t0 FROM x LEFT JOIN r ON r.id = x.raw_event_id AND x.raw_event_id IN (SELECT raw_event_id FROM own)""")
+def external_t0(spark, sf) -> DataFrame:
+    own = ad.lines(spark, sf).withColumn("raw_event_id", F.floor(F.col("raw_event_id") / 3))
+    ref = ad.table(spark, sf, "events").select((F.col("user_id") * 10 + F.col("event_id") % 10).alias("event_id"), F.col("value").alias("reference_time"))
+    return timing.external_t0(own, ref).select("entry", "track_index", "external_t0", "has_external_t0")
+
+
+@query(f"""WITH {ad.LINES}, d AS (SELECT DISTINCT l_orderkey >> 1 AS entry, CAST(l_orderkey % 2 AS INTEGER) AS track_index, CAST(l_suppkey % 4 AS INTEGER) AS dut_id FROM lineitem WHERE l_suppkey % 4 = 3 AND l_quantity > 40)
+SELECT t.entry, t.track_index, d.dut_id, CASE WHEN d.dut_id IS NOT NULL THEN 3.5::DOUBLE - chi2 END AS dut_minus_track FROM t LEFT JOIN d ON d.entry = t.entry AND d.track_index = t.track_index WHERE d.dut_id IS NOT NULL OR chi2 > 5""")
+def track_with_dut(spark, sf) -> DataFrame:
+    k = F.col("l_orderkey")
+    duts = ad.table(spark, sf, "lineitem").where("l_suppkey % 4 = 3 AND l_quantity > 40").select(F.shiftright(k, 1).alias("entry"), (k % 2).cast("int").alias("track_index"), F.lit(3).alias("det"), F.lit(3.5).alias("t")).distinct()
+    own = timing.track_with_dut(ad.lines(spark, sf).withColumn("track_time", F.col("chi2")), duts)
+    return own.where("dut_id IS NOT NULL OR chi2 > 5").select("entry", "track_index", "dut_id", "dut_minus_track")
+
+
+@query(f"""WITH {ad.HITS}, t AS (SELECT entry, plane AS track_index, det, min(time) AS t FROM h WHERE det < 3 AND amp > 30 GROUP BY ALL), w AS (SELECT entry, track_index FROM t GROUP BY ALL HAVING count(*) = 3)
+SELECT entry, track_index FROM w WHERE entry IN (SELECT entry FROM w GROUP BY entry HAVING count(*) = 1)""")
+def unique_references(spark, sf) -> DataFrame:
+    t = ad.hits(spark, sf).where("det < 3 AND amp > 30").groupBy("entry", F.col("plane").alias("track_index"), "det").agg(F.min("time").alias("t"))
+    return timing.unique_references(timing.combine_trackers(t, (0, 1, 2), [0.2, 0.3, 0.5])).select("entry", "track_index")
+
+
+@query(f"""WITH {ad.HITS}, w AS (SELECT entry, CAST(entry % 5 AS INTEGER) AS flag FROM h GROUP BY entry)
+SELECT DISTINCT h.entry, h.raw_idx FROM h JOIN w ON w.entry = h.entry WHERE h.det = 3 AND ((w.flag & 1 <> 0 AND h.plane = 0) OR (w.flag & 2 <> 0 AND h.plane = 1)) AND h.entry % 3 = 0""")
+def dut_strips(spark, sf) -> DataFrame:
+    own = ad.hits(spark, sf)
+    rows = own.select("entry").distinct().select("entry", F.lit(3).alias("det"), (F.col("entry") % 5).cast("int").alias("hit_flag"), F.lit(0).alias("cluster_x"), F.lit(1).alias("cluster_y"))
+    refs = own.where("entry % 3 = 0").select("entry").distinct()
+    members = own.withColumn("cluster_idx", F.col("plane"))
+    return timing.dut_strips(rows, refs, members).select("entry", "raw_idx")
+
+
+@query("""WITH r AS (SELECT l_returnflag AS k, l_partkey % 997 + l_quantity / 100 AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_partkey % 997 + l_quantity / 100) - 1 AS rn, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+s AS (SELECT k, max(CASE WHEN rn = CAST(floor(0.005::DOUBLE * (n - 1)) AS BIGINT) THEN v END) - 25 AS lo, max(CASE WHEN rn = CAST(floor(0.995::DOUBLE * (n - 1)) AS BIGINT) THEN v END) AS hi, any_value(n) AS n FROM r GROUP BY k),
+b AS (SELECT *, greatest(1, least(20000, CAST(ceil((hi - lo) / 5.3) AS INTEGER))) AS bins FROM s), w AS (SELECT k, n, lo + (unnest(range(0, bins)) + 0.5) * ((hi - lo) / bins) AS start FROM b),
+c AS (SELECT w.k, w.start, any_value(w.n) AS n, count(*) AS c FROM w JOIN r ON r.k = w.k AND r.v >= w.start AND r.v <= w.start + 25 GROUP BY w.k, w.start)
+SELECT k, c AS numerator, round(start, 6) AS window_start, round(c / n, 6) AS efficiency FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY c DESC, start) = 1""")
+def window_efficiency(spark, sf) -> DataFrame:
+    own = ad.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("k"), (F.col("l_partkey") % 997 + F.col("l_quantity") / 100).alias("v"))
+    out = timing.window_efficiency(own, "v", own.groupBy("k").agg(F.count("*").alias("denominator")), 25.0, 5.3, ["k"])
+    return out.select("k", "numerator", *r6("window_start", "efficiency"))
+
+
+@query()
+def time_walk(spark, sf) -> DataFrame:
+    own = ad.hits(spark, sf).withColumn("res", F.col("time") - F.col("amp") * 0.05)
+    w = timing.time_walk(own, "amp", "res")
+    rows = [("lineitem", 0, w["entries"], w["low"], w["high"], w["parameter"])] if w else []
+    return spark.createDataFrame(rows, "source string, det int, entries long, amp_low double, amp_high double, parameter array<double>")
+
+
+@query(f"""WITH {ad.HITS}, x AS (SELECT entry, det, time - (1 + greatest(least(amp, 40), 10) * (0.5 + greatest(least(amp, 40), 10) * (0.01 + greatest(least(amp, 40), 10) * 0.001))) AS t FROM h WHERE plane = 0)
+SELECT entry, det, {s6("min(t)")} AS t FROM x GROUP BY entry, det""")
+def corrected_times(spark, sf) -> DataFrame:
+    walk = {"low": 10.0, "high": 40.0, "parameter": [1.0, 0.5, 0.01, 0.001]}
+    return timing.corrected_times(ad.hits(spark, sf), ["entry", "det"], walk, "XMin").where("t IS NOT NULL").select("entry", "det", *r6("t"))
+
+
+@query()
+def resolution_fit(spark, sf) -> DataFrame:
+    t = ad.hits(spark, sf).where("det < 3").groupBy("entry", "det").agg(F.avg("time").alias("t")).withColumn("track_index", F.lit(0))
+    h = timing.resolution_by_hat(t, (0, 1, 2))
+    return spark.createDataFrame([(float(h["resolution"]), *map(float, h["variances"]))], "resolution double, v1 double, v2 double, v3 double")

@@ -106,7 +106,7 @@ def regloballed(local: DataFrame, dets: DataFrame) -> DataFrame:
 def predictions(found: DataFrame, duts: DataFrame) -> DataFrame:
     """(entry, det, pred_x, pred_y, kx..by) of single-track events on DUTs."""
     one = tracks.single_track_events(found)
-    return geometry.predict(one.select("entry", "track_index", "kx", "ky", "bx", "by"), duts).select("entry", "track_index", "det", "kx", "ky", "bx", "by", "pred_x", "pred_y").where("pred_x IS NOT NULL")
+    return geometry.predict(one.select("entry", "track_index", "kx", "ky", "bx", "by"), duts).select("entry", "track_index", "det", "kx", "ky", "bx", "by", "pred_x", "pred_y")
 
 
 @ANALYSES.register("DUTAnalysis")
