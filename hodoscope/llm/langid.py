@@ -73,6 +73,8 @@ class Tagger:
 
     def shares(self, texts: list[list[str]]) -> np.ndarray:
         """For each text the mean over its words of their distribution over languages; zeros for a text without words."""
+        if not self.names:
+            return np.zeros((len(texts), 0))
         memo = cache().setdefault("langid memo", {})
         if memo.get("of") is not self.weights or len(memo["rows"]) > MEMO_WORDS:
             memo.clear()

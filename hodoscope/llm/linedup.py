@@ -186,13 +186,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     return marked.groupBy("id0", "rid").agg(F.sort_array(F.collect_list(F.when(~flag, F.col("line_no")))).alias("kept"), F.sort_array(F.collect_list(F.when(flag, F.col("line_no")))).alias("near"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text reduced to its lines that stay, and n_lines, n_kept, n_near (lines without blank ones).
-
-    A line equal to an earlier one, or of 20 characters or more and within one edit of an earlier one of 20 or more, goes;
-    'earlier' is by doc_id (null first), then text hash, then place. Blank lines stay. Null and empty texts are as they were;
-    repeated rows keep the same lines; columns other than doc_id and text pass through.
-    """
+def _reduced(docs: DataFrame) -> DataFrame:
+    """docs with text reduced, and __n_lines, __n_kept, __n_near."""
     kept = kept_lines(docs)
     side = docs.withColumns({"__id0": F.coalesce("doc_id", F.lit(NO_ID)), "__rid": F.xxhash64("doc_id", "text")})
     k = kept.select(F.col("id0").alias("__id0"), F.col("rid").alias("__rid"), F.col("kept").alias("__kept"), F.col("near").alias("__near"))
@@ -201,11 +196,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     blank = lambda s: F.btrim(s, F.lit(" \t\r")) == ""
     none = F.array().cast("array<int>")
     stay = F.filter(lines, lambda s, i: blank(s) | F.array_contains(F.coalesce("__kept", none), i))
-    n = F.coalesce(F.size(F.filter(lines, lambda s: ~blank(s))), F.lit(0))
-    out = both.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n), "n_kept": F.size(F.coalesce("__kept", none)), "n_near": F.size(F.coalesce("__near", none)), "text": F.when(F.col("text").isNotNull(), F.array_join(stay, "\n"))})
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(lines, lambda s: ~blank(s))))
+    out = both.withColumns({"__n_lines": n, "__n_kept": F.size(F.coalesce("__kept", none)), "__n_near": F.size(F.coalesce("__near", none)), "text": F.when(F.col("text").isNotNull(), F.array_join(stay, "\n"))})
     return out.drop("__id0", "__rid", "__kept", "__near")
 
 
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """docs with text reduced to its lines that stay, and n_lines, n_kept, n_near (lines without blank ones).
+
+    A line equal to an earlier one, or of 20 characters or more and within one edit of an earlier one of 20 or more, goes;
+    'earlier' is by doc_id (null first), then text hash, then place. Blank lines stay. Null and empty texts are as they were;
+    repeated rows keep the same lines; columns other than doc_id and text pass through, but for the three that are added.
+    """
+    out = _reduced(docs)
+    return out.withColumns({n: F.col(f"__{n}") for n in ("n_lines", "n_kept", "n_near")}).drop("__n_lines", "__n_kept", "__n_near")
+
+
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     """For every document: its lines, those that stay, and those dropped as near or equal to an earlier line."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -219,6 +225,6 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents with repeated lines removed and n_chars set to the new length; a document whose every line went is gone too."""
-    out = dedup_lines(docs).where("n_kept > 0 OR n_lines = 0")
-    changed = {"n_chars": F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    out = _reduced(docs).where("__n_kept > 0 OR __n_lines = 0")
+    changed = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return out.withColumns(changed).select(*docs.columns)

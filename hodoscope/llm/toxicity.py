@@ -49,6 +49,9 @@ def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, width:
     own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n, d = len(rows), dense.shape[1]
     theta = np.zeros(width + d + 1)
+    if not y.any():  # a category without examples is never predicted
+        theta[-1] = -20.0
+        return theta
     momentum, seen = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
         z = np.bincount(own, theta[:width][at], n) + dense @ theta[width : width + d] + theta[-1]
@@ -128,7 +131,7 @@ def select(hashed: list[np.ndarray], labels: np.ndarray, keep: int, least_rows:
 
 
 def fit_chain(hashed: list[np.ndarray], labels: np.ndarray, names: list[str], keep: int = FEATURES, least_rows: int = LEAST_ROWS, folds: int = FOLDS) -> Chain:
-    """labels: a column of 0/1 for each category. Without rows the models are empty and give 0.5; train() then has nothing to learn from."""
+    """labels: a column of 0/1 for each category. A category without an example, or any without rows, is never predicted."""
     kept = select(hashed, labels, keep, least_rows)
     rows = [np.searchsorted(kept, h[np.isin(h, kept)]) for h in hashed]
     fold = np.arange(len(rows)) % folds
@@ -151,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
     cats = categories or CATEGORIES
     flags = [F.coalesce(F.expr(c), F.lit(False)).cast("int").alias(f"c{i}") for i, c in enumerate(cats.values())]
     order = [F.xxhash64(F.lit("toxicity"), "doc_id"), F.col("doc_id")]
-    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", *flags).dropDuplicates(["doc_id"]).orderBy(*order).limit(rows)
+    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", *flags).groupBy("doc_id").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(len(cats))]).orderBy(*order).limit(rows)
     own = docs.where(F.length("text").between(1, TRAIN_CHARS)).select("doc_id", "text")
     got = own.join(F.broadcast(chosen), "doc_id")  # at most `rows` short rows
 
