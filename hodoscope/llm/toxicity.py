@@ -42,7 +42,7 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(s.encode()) % SPACE for w in words for s in stems(w)), np.int64))
 
 
-def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, width: int, l2: float = 2.0, steps: int = 60) -> np.ndarray:
+def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, width: int, l2: float = 1.0, steps: int = 100) -> np.ndarray:
     """Weights of an L2-regularised logistic regression (features, dense columns, bias) by gradient descent with
     moments, whose step is even for rare and frequent features."""
     at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -53,14 +53,14 @@ def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, width:
         theta[-1] = -20.0
         return theta
     momentum, seen = np.zeros_like(theta), np.zeros_like(theta)
-    for t in range(1, steps + 1):
+    for t in range(1, steps):
         z = np.bincount(own, theta[:width][at], n) + dense @ theta[width : width + d] + theta[-1]
         err = sigmoid(z) - y
         grad = np.concatenate([np.bincount(at, err[own], width), dense.T @ err, [err.sum()]])
         grad[:width] += l2 * theta[:width]
         momentum = 0.9 * momentum + 0.1 * grad
         seen = 0.99 * seen + 0.01 * grad**2
-        theta -= 0.15 * (momentum / (1 - 0.9**t)) / (np.sqrt(seen / (1 - 0.99**t)) + 1e-8)
+        theta -= 0.3 * (1 - t / steps) * (momentum / (1 - 0.9**t)) / (np.sqrt(seen / (1 - 0.99**t)) + 1e-8)
     return theta
 
 
