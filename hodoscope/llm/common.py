@@ -154,17 +154,18 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of edges(a, b): one row (id, root) per node, root the smallest id reachable.
 
     Alternates large-star and small-star steps (each a grouped minimum and a join), so a hub is never gathered in a task;
-    every round is written to the shared folder. No nodes other than those of edges appear.
+    every round is written to the shared folder. Join keys k equal the grouping keys but are expressions of their own: the
+    join then has its own exchanges, whose large partitions Spark may split. No nodes other than those of edges appear.
     """
     both = edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     now, mark = cut(both, "cc"), None
     for _ in range(max_rounds):
         # large star: each node's larger neighbours move to the smallest node of its neighbourhood
         flip = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = flip.groupBy("u").agg(F.min("v").alias("m0")).select(F.col("u").alias("k"), F.least("u", "m0").alias("m"))
+        low = flip.groupBy("u").agg(F.min("v").alias("m0")).select(F.greatest("u", F.least("u", "m0")).alias("k"), F.least("u", "m0").alias("m"))
         large = flip.join(low, flip["u"] == low["k"]).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         # small star: each node and its smaller neighbours move to the smallest of them
-        low = large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "k")
+        low = large.groupBy("v").agg(F.min("u").alias("m")).select(F.greatest("v", "m").alias("k"), "m")
         small = large.join(low, large["v"] == low["k"])
         new = small.select(F.col("m").alias("u"), "v").union(small.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct()
         now = cut(new, "cc")
