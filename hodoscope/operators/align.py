@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hodoscope.config import AlignmentConfig, PadAlignmentConfig
-from hodoscope.functions import geometry, numerics
-from hodoscope.functions.columns import huber
+from hodoscope.functions import geometry
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,7 @@ class Alignment:
 
 def corrections_table(spark, found: Alignment) -> DataFrame:
     """Alignment as rows, so that a later run can use it: (det, dx, dy, dz, rx, ry, rz, loss_before, loss_after)."""
-    rows = [(d, *map(float, c), found.before, found.after) for d, c in sorted(found.corrections.items())]
+    rows = [(d, *map(float, c), float(found.before), float(found.after)) for d, c in sorted(found.corrections.items())]
     return spark.createDataFrame(rows, "det int, dx double, dy double, dz double, rx double, ry double, rz double, loss_before double, loss_after double")
 
 
@@ -38,90 +39,122 @@ def _wide(points: DataFrame, ids: list[int]) -> DataFrame:
     return points.where(F.col("det").isin(*ids)).groupBy("entry").agg(*pick).dropna()
 
 
-def _place(g: dict[str, float], shift: tuple[float, ...], lx: Column, ly: Column) -> list[Column]:
-    r = geometry.rotation(g["rx"] + shift[3], g["ry"] + shift[4], g["rz"] + shift[5])
-    return [F.lit(g[f"p{a}"] + shift[i]) + r[3 * i] * lx + r[3 * i + 1] * ly for i, a in enumerate("xyz")]
-
-
-def tracker_loss(dets: list[dict[str, float]], shifts: dict[int, tuple[float, ...]], sigma: tuple[float, float], k: float) -> Column:
-    """Mean Huber loss of the pulls of leave-one-out residuals over all trackers of an event row."""
-    pts = {g["det"]: _place(g, shifts[g["det"]], F.col(f"lx_{g['det']}"), F.col(f"ly_{g['det']}")) for g in dets}
-    n = len(dets) - 1
-    loss = F.lit(0.0)
-    for d in pts:
-        rest = [p for e, p in pts.items() if e != d]
-        sz = sum((p[2] for p in rest), F.lit(0.0))
-        szz = sum((p[2] * p[2] for p in rest), F.lit(0.0)) - sz * sz / n
-        away = pts[d][2] - sz / n
-        lever = F.sqrt(1 + 1 / F.lit(float(n)) + away * away / szz)
-        for a, s in ((0, sigma[0]), (1, sigma[1])):
-            sv = sum((p[a] for p in rest), F.lit(0.0))
-            slope = (sum((p[a] * p[2] for p in rest), F.lit(0.0)) - sv * sz / n) / szz
-            loss = loss + huber((pts[d][a] - (sv / n + slope * away)) / (s * lever), k)
-    return loss / (2 * len(dets))
+def batch_sums(rows: DataFrame, fn: Callable[[pd.DataFrame, np.ndarray], np.ndarray], points: list[np.ndarray]) -> np.ndarray:
+    """Sums over all rows of fn(frame, point), a row of numbers per point: one pass, and a few partial sums per Arrow batch."""
+    width = len(fn(rows.limit(1).toPandas(), points[0]))
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame([(k, j, float(v)) for k, p in enumerate(points) for j, v in enumerate(fn(frame, p))], columns=["k", "j", "v"])
+
+    out = np.zeros((len(points), width))
+    for r in rows.mapInPandas(run, "k int, j int, v double").groupBy("k", "j").agg(F.sum("v").alias("v")).collect():  # points x width
+        out[r["k"], r["j"]] = r["v"]
+    return out
 
-def align_trackers(local: DataFrame, dets: DataFrame, c: AlignmentConfig, sigma: tuple[float, float] = (0.12, 0.12)) -> Alignment:
-    """dx, dy and rz of all trackers but the first, on events with one hit in each.
 
-    Gauss-Newton on the robust loss: each iteration is one aggregate of finite differences of the loss in all parameters.
-    Steps are bounded; one that does not lower the loss is halved, and given up after a few halvings.
+def huber_sum(r: np.ndarray, k: float) -> float:
+    a = np.abs(r)
+    return float(np.where(a <= k, r * r / 2, k * (a - k / 2)).sum())
+
+
+def tracker_losses(dets: list[dict[str, float]], shifts: dict[int, tuple[float, ...]], sigma: tuple[float, float], k: float, frame: pd.DataFrame) -> np.ndarray:
+    """(rows, summed Huber loss of the pulls of leave-one-out residuals over all trackers) of event rows."""
+    pts = []
+    for g in dets:
+        d, c = g["det"], shifts[g["det"]]
+        r = geometry.rotation(g["rx"] + c[3], g["ry"] + c[4], g["rz"] + c[5])
+        lx, ly = frame[f"lx_{d}"].to_numpy(), frame[f"ly_{d}"].to_numpy()
+        pts.append([g[f"p{a}"] + c[i] + r[3 * i] * lx + r[3 * i + 1] * ly for i, a in enumerate("xyz")])
+    v = np.array(pts)  # tracker, axis, row
+    n, total = len(dets) - 1, 0.0
+    z = v[:, 2]
+    sz = z.sum(0) - z
+    szz = (z * z).sum(0) - z * z - sz * sz / n
+    away = z - sz / n
+    lever = np.sqrt(1 + 1 / n + away**2 / szz)
+    for a in (0, 1):
+        u = v[:, a]
+        su = u.sum(0) - u
+        slope = ((u * z).sum(0) - u * z - su * sz / n) / szz
+        total += huber_sum((u - su / n - slope * away) / (sigma[a] * lever), k)
+    return np.array([len(frame) * 2 * len(dets), total])
+
+
+def descend(losses, start: np.ndarray, step: np.ndarray, most: np.ndarray, iterations: int, relative: float, small: np.ndarray, patience: int) -> tuple[np.ndarray, float, float, int, bool]:
+    """(point, its loss, the first loss, iterations, converged) of a quasi-Newton descent over a loss that Spark evaluates.
+
+    losses(points) gives the losses of several points from one aggregate: per iteration one for the central differences and
+    one for four step lengths. Steps are bounded by `most`; a direction that does not lower the loss ends the descent.
     """
+    n, x = len(start), np.array(start, float)
+    eye = np.eye(n)
+    first = best = losses([x])[0]
+    inverse, before, calm = None, None, 0
+    for used in range(1, iterations + 1):
+        around = np.array(losses([x + s * step[k] * eye[k] for k in range(n) for s in (1, -1)]))
+        up, down = around[::2], around[1::2]
+        slope = (up - down) / (2 * step)
+        if not np.isfinite(slope).all():
+            return x, best, first, used, False
+        if inverse is None:
+            inverse = np.diag(1 / np.maximum((up + down - 2 * best) / step**2, 1e-9))
+        elif before is not None and (dg := slope - before[1]) @ (dx := x - before[0]) > 1e-300:
+            rho = 1 / (dg @ dx)
+            left = eye - rho * np.outer(dx, dg)
+            inverse = left @ inverse @ left.T + rho * np.outer(dx, dx)
+        move = np.clip(-inverse @ slope, -most, most)
+        lengths = (1.0, 0.5, 0.2, 0.05)
+        tries = losses([x + f * move for f in lengths])
+        k = int(np.argmin(tries))
+        if not tries[k] < best:
+            return x, best, first, used, True
+        before = (x, slope)
+        x, gain, best = x + lengths[k] * move, best - tries[k], tries[k]
+        calm = calm + 1 if (np.abs(lengths[k] * move) < small).all() or gain < relative * max(abs(best), 1e-12) else 0
+        if calm >= patience:
+            return x, best, first, used, True
+    return x, best, first, iterations, False
+
+
+def align_trackers(local: DataFrame, dets: DataFrame, c: AlignmentConfig, sigma: tuple[float, float] = (0.12, 0.12)) -> Alignment:
+    """dx, dy and rz of all trackers but the first, on events with one hit in each: the robust loss of their pulls is descended."""
     known = sorted((r.asDict() for r in dets.where("role = 'tracker'").collect()), key=lambda d: (d["pz"], d["det"]))
     ids = [g["det"] for g in known]
     rows = _wide(local, ids).persist()
     try:
-        n = rows.count()
-        shifts = {d: (0.0,) * 6 for d in ids}
-        if n < c.min_tracks or len(ids) < 3:
-            return Alignment(shifts, math.nan, math.nan, 0, False)
+        none = {d: (0.0,) * 6 for d in ids}
+        if len(ids) < 3 or rows.count() < c.min_tracks:
+            return Alignment(none, math.nan, math.nan, 0, False)
         free = [(d, p) for d in ids[1:] for p in (0, 1, 5)]
-        step = np.array([0.01 if p < 5 else 1e-4 for _, p in free])
-        most = np.array([c.max_shift_step if p < 5 else c.max_rotation_step for _, p in free])
+        shift = np.array([p < 5 for _, p in free])
 
-        def moved(at: dict, delta: np.ndarray) -> dict:
-            new = {d: list(v) for d, v in at.items()}
+        def moved(delta: np.ndarray) -> dict[int, tuple[float, ...]]:
+            new = {d: list(v) for d, v in none.items()}
             for (d, p), v in zip(free, delta):
-                new[d][p] += float(v)
+                new[d][p] = float(v)
             return {d: tuple(v) for d, v in new.items()}
 
-        def losses(points: list[dict]) -> list[float]:
-            return list(rows.agg(*[F.avg(tracker_loss(known, p, sigma, c.huber_k)).alias(f"l{i}") for i, p in enumerate(points)]).first())
-
-        eye = np.eye(len(free))
-        start = best = losses([shifts])[0]
-        calm, used, done = 0, 1, False
-        for iteration in range(c.max_iterations):  # noqa: B007
-            around = losses([moved(shifts, s * step[k] * eye[k]) for k in range(len(free)) for s in (1, -1)])
-            used += len(around)
-            up, down = np.array(around[::2]), np.array(around[1::2])
-            slope, curve = (up - down) / (2 * step), (up + down - 2 * best) / step**2
-            delta = np.clip(-slope / np.maximum(curve, 1e-9), -most, most)
-            tries = losses([moved(shifts, delta * f) for f in (1.0, 0.5, 0.25, 0.1)])
-            used += 4
-            k = int(np.argmin(tries))
-            if tries[k] >= best or used > c.max_function_calls:
-                done = tries[k] >= best
-                break
-            delta *= (1.0, 0.5, 0.25, 0.1)[k]
-            shifts, gain, best = moved(shifts, delta), best - tries[k], tries[k]
-            tiny = all(abs(v) < (c.shift_tolerance if p < 5 else c.rotation_tolerance) for (_, p), v in zip(free, delta))
-            calm = calm + 1 if tiny or gain < c.relative_loss_tolerance * max(best, 1e-12) else 0
-            if calm >= c.convergence_patience:
-                done = True
-                break
-        return Alignment(shifts, start, best, iteration + 1, done)
+        def losses(points: list[np.ndarray]) -> list[float]:
+            got = batch_sums(rows, lambda frame, p: tracker_losses(known, moved(p), sigma, c.huber_k, frame), points)
+            return list(got[:, 1] / np.maximum(got[:, 0], 1))
+
+        most_calls = max(1, c.max_function_calls // (2 * len(free) + 4))
+        x, after, before, used, done = descend(losses, np.zeros(len(free)), np.where(shift, 0.01, 1e-4), np.where(shift, c.max_shift_step, c.max_rotation_step), min(c.max_iterations, most_calls), c.relative_loss_tolerance, np.where(shift, c.shift_tolerance, c.rotation_tolerance), c.convergence_patience)
+        return Alignment(moved(x), before, after, used, done)
     finally:
         rows.unpersist()
 
 
-def _predicted(g: dict[str, float], shift: tuple[float, ...]) -> tuple[Column, Column]:
-    """Local prediction of a track row at a plane detector with corrections, as columns."""
+def _predicted(g: dict[str, float], shift: tuple[float, ...], frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Local predictions of track rows at a plane detector with corrections; NaN where there are none."""
     r = geometry.rotation(g["rx"] + shift[3], g["ry"] + shift[4], g["rz"] + shift[5])
     p = [g[f"p{a}"] + shift[i] for i, a in enumerate("xyz")]
-    kx, ky, bx, by = (F.col(n) for n in ("kx", "ky", "bx", "by"))
-    along = kx * r[2] + ky * r[5] + F.lit(r[8])
-    z = ((F.lit(p[0]) - bx) * r[2] + (F.lit(p[1]) - by) * r[5] + F.lit(p[2] * r[8])) / F.when(F.abs(along) >= 1e-12, along)
+    kx, ky, bx, by = (frame[n].to_numpy(float) for n in ("kx", "ky", "bx", "by"))
+    along = kx * r[2] + ky * r[5] + r[8]
+    with np.errstate(all="ignore"):
+        z = np.where(np.abs(along) >= 1e-12, ((p[0] - bx) * r[2] + (p[1] - by) * r[5] + p[2] * r[8]) / along, np.nan)
     d = [kx * z + bx - p[0], ky * z + by - p[1], z - p[2]]
     return r[0] * d[0] + r[3] * d[1] + r[6] * d[2], r[1] * d[0] + r[4] * d[1] + r[7] * d[2]
 
@@ -130,58 +163,53 @@ def _predicted(g: dict[str, float], shift: tuple[float, ...]) -> tuple[Column, C
 STAGES = ((2.0, 0.0), (1.0, 0.55), (0.5, 0.75))
 
 
-def align_strip_dut(tracks: DataFrame, clusters: DataFrame, detector: dict[str, float], calls: int = 400, scan: int = 101, scan_range: float = 0.2) -> Alignment:
+def align_strip_dut(tracks: DataFrame, clusters: DataFrame, detector: dict[str, float], iterations: int = 15, scan: int = 101, scan_range: float = 0.2, free: tuple[int, ...] = (0, 1, 3, 4, 5)) -> Alignment:
     """dx, dy, rx, ry, rz of a strip detector (dz stays), from tracks (entry, kx..by) and clusters (entry, axis, centre).
 
     rx starts at the best of a scan; then three stages of soft matching with narrowing width minimise the mean square
     residual plus penalties on its mean and on its slope along y. A residual's weight falls with its distance from the
-    nearest cluster; the matches of an event are folded in expressions, so each call is one aggregate.
+    nearest cluster; the matches of an event are folded in expressions, so several points share one aggregate.
     """
     arr = F.sort_array(F.collect_list(F.when(F.col("axis") == "x", F.col("centre")))), F.sort_array(F.collect_list(F.when(F.col("axis") == "y", F.col("centre"))))
     own = clusters.groupBy("entry").agg(arr[0].alias("cx"), arr[1].alias("cy"))
     rows = tracks.select("entry", "kx", "ky", "bx", "by").join(own, "entry").where("size(cx) > 0 AND size(cy) > 0").persist()
 
-    def soft(pred: Column, centres: Column, width: float) -> tuple[Column, Column]:
-        res = F.transform(centres, lambda v: v - pred)
-        low = F.array_min(F.transform(res, lambda r: r * r))
-        w = lambda r: F.exp((low - r * r) / (2 * width * width))
-        total = F.aggregate(res, F.lit(0.0), lambda s, r: s + w(r))
-        mean = F.aggregate(res, F.lit(0.0), lambda s, r: s + w(r) * r) / total
-        return mean, 1 / total
+    def soft(pred: np.ndarray, centres: pd.Series, width: float) -> tuple[np.ndarray, np.ndarray]:
+        most = max(map(len, centres))
+        res = np.array([[*c, *[np.nan] * (most - len(c))] for c in centres], float) - pred[:, None]
+        low = np.nanmin(res**2, axis=1, keepdims=True)
+        w = np.nan_to_num(np.exp((low - res**2) / (2 * width * width)))
+        return (w * np.nan_to_num(res)).sum(1) / w.sum(1), 1 / w.sum(1)
+
+    def terms(frame: pd.DataFrame, shift: np.ndarray, width: float, dominance: float) -> np.ndarray:
+        px, py = _predicted(detector, tuple(shift), frame)
+        (rx, dx), (ry, dy) = soft(px, frame["cx"], width), soft(py, frame["cy"], width)
+        ok = (dx >= dominance) & (dy >= dominance) & np.isfinite(px)
+        rx, ry, u = rx[ok], ry[ok], py[ok]
+        return np.array([ok.sum(), (rx**2 + ry**2).sum(), rx.sum(), ry.sum(), u.sum(), (u * u).sum(), (u * ry).sum()])
 
     def objectives(points: list[tuple[float, ...]], width: float, dominance: float) -> list[float]:
-        aggs = []
-        for i, s in enumerate(points):
-            px, py = _predicted(detector, s)
-            (rx, dx), (ry, dy) = soft(px, F.col("cx"), width), soft(py, F.col("cy"), width)
-            ok = (dx >= dominance) & (dy >= dominance)
-            rx, ry, at = F.when(ok, rx), F.when(ok, ry), F.when(ok, py)
-            aggs += [v.alias(f"{n}{i}") for n, v in (("n", F.count(rx)), ("c", F.avg(rx * rx + ry * ry)), ("x", F.avg(rx)), ("y", F.avg(ry)), ("s", F.regr_slope(ry, at)))]
-        got = rows.agg(*aggs).first().asDict()
-        out = []
-        for i in range(len(points)):
-            if not got[f"n{i}"]:
-                out.append(math.inf)
-            else:
-                out.append(got[f"c{i}"] + 1e4 * (got[f"s{i}"] or 0.0) ** 2 + 100 * (got[f"x{i}"] ** 2 + got[f"y{i}"] ** 2))
-        return out
+        n, c, x, y, u, uu, uy = batch_sums(rows, lambda frame, p: terms(frame, p, width, dominance), [np.array(p) for p in points]).T
+        with np.errstate(all="ignore"):
+            slope = np.nan_to_num((uy - u * y / n) / (uu - u * u / n))
+            out = c / n + 1e4 * slope**2 + 100 * ((x / n) ** 2 + (y / n) ** 2)
+        return np.where(n > 0, out, math.inf).tolist()
 
     try:
         zero = (0.0,) * 6
         start = objectives([zero], *STAGES[0])[0]
         angles = np.linspace(-scan_range, scan_range, scan)
         at = zero
-        seen: list[float] = []
-        for k in range(0, scan, 17):  # a few candidates to an aggregate
-            seen += objectives([(0.0, 0.0, 0.0, float(a), 0.0, 0.0) for a in angles[k : k + 17]], *STAGES[0])
+        seen = objectives([(0.0, 0.0, 0.0, float(a), 0.0, 0.0) for a in angles], *STAGES[0])
         if min(seen) < start:
             at = (0.0, 0.0, 0.0, float(angles[int(np.argmin(seen))]), 0.0, 0.0)
-        free, used, value = (0, 1, 3, 4, 5), 0, math.inf
+        turn = np.array([i > 2 for i in free])
+        used, value, done = 0, math.inf, False
         for stage in STAGES:
-            f = lambda v, stage=stage: objectives([_with(zero, free, v)], *stage)[0]
-            best, value, _ = numerics.nelder_mead(f, np.array([at[i] for i in free]), np.array([1.0, 1.0, 0.01, 0.01, 0.01]), calls // len(STAGES))
-            at, used = _with(zero, free, best), used + 1
-        return Alignment({int(detector["det"]): at}, start, value, used, math.isfinite(value))
+            f = lambda points, stage=stage: objectives([_with(zero, free, p) for p in points], *stage)
+            best, value, _, n, done = descend(f, np.array([at[i] for i in free]), np.where(turn, 1e-3, 0.05), np.where(turn, 0.05, 2.0), iterations, 1e-4, np.where(turn, 1e-6, 1e-3), 2)
+            at, used = _with(zero, free, best), used + n
+        return Alignment({int(detector["det"]): at}, start, value, used, done)
     finally:
         rows.unpersist()
 
@@ -220,17 +248,21 @@ def align_pad_dut(detector: dict[str, float], c: PadAlignmentConfig, match) -> A
             if rows.count() < c.min_matches:
                 break
 
-            def loss(v: np.ndarray) -> float:
-                shift = _with(at, free, v)
-                if any(abs(s) > (c.max_translation if i < 3 else c.max_rotation) for i, s in enumerate(shift)):
-                    return math.inf
-                px, py = _predicted(detector, shift)
-                return rows.agg(F.avg(huber(F.col("x") - px, delta) + huber(F.col("y") - py, delta))).first()[0]
+            def losses(points: list[np.ndarray], rows: DataFrame = rows, at: tuple[float, ...] = at) -> list[float]:
+                shifts = [_with(at, free, p) for p in points]
+
+                def terms(frame: pd.DataFrame, shift: np.ndarray) -> np.ndarray:
+                    px, py = _predicted(detector, tuple(shift), frame)
+                    return np.array([len(frame), huber_sum(frame["x"].to_numpy() - px, delta) + huber_sum(frame["y"].to_numpy() - py, delta)])
+
+                got = batch_sums(rows, terms, [np.array(s) for s in shifts])
+                far = [any(abs(v) > (c.max_translation if i < 3 else c.max_rotation) for i, v in enumerate(s)) for s in shifts]
+                return [math.inf if f else float(v) for f, v in zip(far, got[:, 1] / np.maximum(got[:, 0], 1))]
 
             old = np.array([at[i] for i in free])
-            before = loss(old)
+            turn = np.array([i > 2 for i in free])
+            best, value, before, _, ok = descend(losses, old, np.where(turn, 1e-4, 0.02), np.where(turn, 0.02, 5.0), 20, c.tolerance * 1e-2, np.where(turn, c.rotation_convergence, c.shift_convergence), 2)
             first = before if math.isnan(first) else first
-            best, value, ok = numerics.nelder_mead(loss, old, np.array([0.5 if i < 3 else 0.005 for i in free]), min(c.max_function_calls, 400), c.tolerance * 1e-3)
             if not ok or value >= before:
                 last = before
                 break

@@ -28,12 +28,12 @@ def nearest_clusters(pred: DataFrame, own: DataFrame) -> DataFrame:
     near = near.withColumn("res", res).where(finite(F.col("res")))
     best = near.groupBy("entry", "det", "axis").agg(F.min_by(F.struct("u", "res", "cluster_idx"), F.struct(F.abs("res"), "cluster_idx")).alias("b"))
     pick = lambda a: F.max(F.when(F.col("axis") == a, F.col("b")))
-    wide = best.groupBy("entry", "det").agg(pick("x").alias("bx"), pick("y").alias("by"))
+    wide = best.groupBy("entry", "det").agg(pick("x").alias("best_x"), pick("y").alias("best_y"))
     out = pred.join(wide, ["entry", "det"], "left")
     for a in "xy":
-        out = out.withColumns({f"hit_{a}": F.col(f"b{a}.u"), f"res_{a}": F.col(f"b{a}.res"), f"cluster_{a}": F.col(f"b{a}.cluster_idx")})
+        out = out.withColumns({f"hit_{a}": F.col(f"best_{a}.u"), f"res_{a}": F.col(f"best_{a}.res"), f"cluster_{a}": F.col(f"best_{a}.cluster_idx")})
     flag = F.when(F.col("hit_x").isNotNull(), 1).otherwise(0) + F.when(F.col("hit_y").isNotNull(), 2).otherwise(0)
-    return out.withColumn("hit_flag", flag).drop("bx", "by")
+    return out.withColumn("hit_flag", flag).drop("best_x", "best_y")
 
 
 def strip_envelopes(own: DataFrame) -> DataFrame:

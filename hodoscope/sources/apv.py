@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hodoscope.schemas import schema
-from hodoscope.sources.canonical import with_entry
+from hodoscope.sources.canonical import field, with_entry
 
 CHANNELS_PER_CHIP = 128
 
@@ -68,7 +68,7 @@ def convert(raw: DataFrame, geometry: DataFrame, pedestals: DataFrame | None = N
     own = both.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("pos", *dict.fromkeys(names.values())))).alias("h"))
     stamp = F.col("time_s") * 1_000_000 + F.col("time_us")
     head = safe.select("entry", F.col("apv_evt").alias("event_id"), F.coalesce(stamp, F.lit(0)).alias("timestamp"))
-    arrays = [F.coalesce(F.transform("h", lambda x, c=c: x[c]), F.array()).alias(n) for n, c in names.items()]
+    arrays = [F.coalesce(F.transform("h", field(c)), F.array()).alias(n) for n, c in names.items()]
     events = head.join(own, "entry", "left").select("entry", "event_id", "timestamp", *arrays, F.transform(F.coalesce("h", F.array()), lambda x: F.lit(0)).alias("board_id"), F.transform(F.coalesce("h", F.array()), lambda x: F.lit(0).cast("long")).alias("channel_flags"))
     observed = both.select("chip_id", "ch", "det", "plane", "id0", "id1").distinct()
     return events, pedestal_channels(observed, geometry, pedestals)

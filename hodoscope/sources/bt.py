@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hodoscope.sources.canonical import with_entry
+from hodoscope.sources.canonical import field, with_entry
 
 #: Fixed values of the stream: big-endian 16-bit words, marks, and the flag of a channel without a map entry.
 SYNC, BLOCK, UNMAPPED = 0xCACA, 0xEEEE, 0x80000000
@@ -172,7 +172,7 @@ def convert(blocks: DataFrame, channel_map: DataFrame, stats: DataFrame, allow_u
         raise ValueError("readouts of channels that the map lacks")
     fields = ["detector_id", "plane_type", "strip_id", "board_id", "chip_id", "channel_id", "waveform", "channel_flags"]
     own = mapped.groupBy("path", "ext_event").agg(F.min_by("event_id", "block").alias("event_id"), F.min_by("timestamp", "block").alias("timestamp"), F.sort_array(F.collect_list(F.struct("block", "pos", *fields))).alias("h"))
-    events = with_entry(own, ["path", "ext_event"]).select("entry", "event_id", "timestamp", *[F.transform("h", lambda x, n=n: x[n]).alias(n) for n in fields])
+    events = with_entry(own, ["path", "ext_event"]).select("entry", "event_id", "timestamp", *[F.transform("h", field(n)).alias(n) for n in fields])
     channels = channel_map.drop("pedestal", "noise_sigma").join(stats.drop("samples"), ["board_id", "chip_id", "channel_id"])
     return events, channels
 

@@ -62,6 +62,11 @@ def calibration(channels: DataFrame) -> DataFrame:
     return last.select("det", "plane", "id0", "id1", F.coalesce("f.pedestal", F.lit(0.0)).alias("pedestal"), F.when(F.col("s") >= 0, F.col("s")).otherwise(-1.0).alias("noise_sigma"), F.coalesce("f.gain", F.lit(1.0)).alias("gain"), F.coalesce("f.polarity", F.lit(1)).alias("polarity"))
 
 
+def field(name: str):
+    """x -> x[name], for transform(); a default argument there would be taken for the position."""
+    return lambda x: x[name]
+
+
 def with_entry(events: DataFrame, order: list[str]) -> DataFrame:
     """events with entry, their row number in `order`.
 
