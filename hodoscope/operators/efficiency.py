@@ -124,6 +124,13 @@ def residual_summary(rows: DataFrame, axis: str, cut: float = 5.0, keys: tuple[s
     return out.withColumn("sigma68", (F.col("q84") - F.col("q16")) / 2).drop("q16", "q84")
 
 
+def residual_range(rows: DataFrame, axis: str, keys: tuple[str, ...] = ("det",)) -> DataFrame:
+    """Half-width of a residual map: 1.2 times the 99 % element of |res|, within 1 and 100."""
+    own = rows.withColumn("__a", F.abs(F.col(f"res_{axis}")))
+    q = group_quantile(own, list(keys), "__a", 0.99, "floor_fn", "p99")
+    return q.select(*keys, F.least(F.greatest(F.col("p99") * 1.2, F.lit(1.0)), F.lit(100.0)).alias("half_width"))
+
+
 def residual_fractions(rows: DataFrame, widths: DataFrame, axis: str, keys: tuple[str, ...] = ("det",)) -> DataFrame:
     """Shares of all rows within 3 and 5 widths of the mean. widths: keys, mean, sigma; a row a detector."""
     res = F.col(f"res_{axis}")

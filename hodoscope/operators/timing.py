@@ -167,6 +167,16 @@ def time_walk(samples: DataFrame, amp: str, res: str, least: int = 20, bins: int
     return {"entries": n, "low": a["low"], "high": a["high"], "parameter": [float(c) for c in p]}
 
 
+def amplitude_map(strips: DataFrame, keys: list[str], amp: str, res: str, bins: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(2-D counts, profile) of a residual over amplitude per key, each axis over its robust range cut into `bins`."""
+    span = [robust_range(strips, keys, c).select(*keys, F.col("low").alias(f"{n}0"), F.col("high").alias(f"{n}1")) for n, c in (("a", amp), ("r", res))]
+    own = strips.join(F.broadcast(span[0].join(span[1], keys)), keys).where(F.col(amp).between(F.col("a0"), F.col("a1")) & F.col(res).between(F.col("r0"), F.col("r1")))
+    at = lambda v, n: F.least(F.floor((F.col(v) - F.col(f"{n}0")) / (F.col(f"{n}1") - F.col(f"{n}0")) * bins) + 1, F.lit(bins)).cast("int")
+    own = own.withColumns({"bin_x": at(amp, "a"), "bin_y": at(res, "r")})
+    counts = own.groupBy(*keys, "bin_x", "bin_y").agg(F.count("*").alias("count"))
+    return counts, own.groupBy(*keys, "bin_x").agg(F.count("*").alias("count"), F.avg(res).alias("mean"), (F.stddev_pop(res) / F.sqrt(F.count("*"))).alias("error"))
+
+
 def walk_column(amp: Column, walk: dict) -> Column:
     x, p = clamp(amp, walk["low"], walk["high"]), walk["parameter"]
     return F.when(finite(amp), F.lit(p[0]) + x * (F.lit(p[1]) + x * (F.lit(p[2]) + x * F.lit(p[3]))))

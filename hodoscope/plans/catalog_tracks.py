@@ -344,3 +344,19 @@ def resolution_fit(spark, sf) -> DataFrame:
     t = ad.hits(spark, sf).where("det < 3").groupBy("entry", "det").agg(F.avg("time").alias("t")).withColumn("track_index", F.lit(0))
     h = timing.resolution_by_hat(t, (0, 1, 2))
     return spark.createDataFrame([(float(h["resolution"]), *map(float, h["variances"]))], "resolution double, v1 double, v2 double, v3 double")
+
+
+@query("""WITH r AS (SELECT l_returnflag AS k, l_quantity AS a, l_partkey % 101 AS r FROM lineitem), x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY a) - 1 AS ra, row_number() OVER (PARTITION BY k ORDER BY r) - 1 AS rr, count(*) OVER (PARTITION BY k) AS n FROM r),
+s AS (SELECT k, max(CASE WHEN ra = CAST(floor(0.005::DOUBLE * (n - 1)) AS BIGINT) THEN a END) AS a0, max(CASE WHEN ra = CAST(floor(0.995::DOUBLE * (n - 1)) AS BIGINT) THEN a END) AS a1,
+  max(CASE WHEN rr = CAST(floor(0.005::DOUBLE * (n - 1)) AS BIGINT) THEN r END) AS r0, max(CASE WHEN rr = CAST(floor(0.995::DOUBLE * (n - 1)) AS BIGINT) THEN r END) AS r1 FROM x GROUP BY k)
+SELECT r.k, CAST(least(floor((a - a0) / (a1 - a0) * 20) + 1, 20) AS INTEGER) AS bin_x, count(*) AS count, round(avg(r), 6) AS mean FROM r JOIN s ON r.k = s.k WHERE a BETWEEN a0 AND a1 AND r BETWEEN r0 AND r1 GROUP BY 1, 2""")
+def time_amplitude_map(spark, sf) -> DataFrame:
+    own = ad.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("k"), F.col("l_quantity").alias("a"), (F.col("l_partkey") % 101).cast("double").alias("r"))
+    return timing.amplitude_map(own, ["k"], "a", "r")[1].select("k", "bin_x", "count", *r6("mean"))
+
+
+@query("""WITH r AS (SELECT CAST(l_suppkey % 4 AS INTEGER) AS det, abs(l_quantity - 25) AS a FROM lineitem), x AS (SELECT *, row_number() OVER (PARTITION BY det ORDER BY a) - 1 AS k, count(*) OVER (PARTITION BY det) AS n FROM r)
+SELECT det, round(least(greatest(max(CASE WHEN k = least(n - 1, CAST(floor(0.99::DOUBLE * n) AS BIGINT)) THEN a END) * 1.2::DOUBLE, 1), 100), 6) AS half_width FROM x GROUP BY det""")
+def residual_range(spark, sf) -> DataFrame:
+    li = ad.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 4).cast("int").alias("det"), (F.col("l_quantity") - 25).alias("res_x"))
+    return efficiency.residual_range(li, "x").select("det", *r6("half_width"))
