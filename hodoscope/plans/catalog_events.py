@@ -57,11 +57,11 @@ def observed_channels(spark, sf) -> DataFrame:
 
 
 @query(f"""WITH {ad.STREAM}, t AS (SELECT run, id AS trigger, time AS t FROM s WHERE det = 1 AND adc > 20)
-SELECT t.run, t.trigger, h.id, h.time - t.t AS hit_time_ns FROM t LEFT JOIN (SELECT * FROM s WHERE det <> 1) h ON h.run = t.run AND h.time >= t.t + 10 - 600 AND h.time < t.t + 10 + 300""")
+SELECT t.run, t.trigger, coalesce(h.id, -1) AS id, h.time - t.t AS hit_time_ns FROM t LEFT JOIN (SELECT * FROM s WHERE det <> 1) h ON h.run = t.run AND h.time >= t.t + 10 - 600 AND h.time < t.t + 10 + 300""")
 def event_window_hits(spark, sf) -> DataFrame:
     s = ad.stream(spark, sf)
     triggers = s.where("det = 1 AND adc > 20").select("run", F.col("id").alias("trigger"), F.col("time").alias("t"))
-    return ev.event_window(triggers, s.where("det <> 1"), C).select("run", "trigger", "id", "hit_time_ns")
+    return ev.event_window(triggers, s.where("det <> 1"), C).select("run", "trigger", F.coalesce("id", F.lit(-1).cast("long")).alias("id"), "hit_time_ns")
 
 
 @query(f"""WITH {ad.STREAM}, t AS (SELECT run, id AS trigger, time AS t FROM s WHERE det = 1 AND adc > 20),

@@ -142,9 +142,9 @@ def _samples(spark, sf) -> DataFrame:
     return match.strip_samples(_pred(spark, sf), match.strip_envelopes(_strips(spark, sf))).withColumn("flat_bin", efficiency.flat_bin(CONFIG))
 
 
-@query(NEED + " SELECT entry, flat_bin, need_x <= 0.61 AS matched_x, need_y <= 0.61 AS matched_y, need_2d <= 0.61 AS matched_2d FROM f")
+@query(NEED + " SELECT entry, coalesce(flat_bin, -1) AS flat_bin, need_x <= 0.61 AS matched_x, need_y <= 0.61 AS matched_y, need_2d <= 0.61 AS matched_2d FROM f")
 def envelope_match(spark, sf) -> DataFrame:
-    return _samples(spark, sf).select("entry", "flat_bin", *[(F.col(f"need_{a}") <= 0.61).alias(f"matched_{a}") for a in efficiency.AXES])
+    return _samples(spark, sf).select("entry", F.coalesce("flat_bin", F.lit(-1)).alias("flat_bin"), *[(F.col(f"need_{a}") <= 0.61).alias(f"matched_{a}") for a in efficiency.AXES])
 
 
 GRID = NEED + ", g AS (SELECT flat_bin, count(*) AS total, count(CASE WHEN need_x <= 0.61 THEN 1 END) AS passed_x, count(CASE WHEN need_y <= 0.61 THEN 1 END) AS passed_y, count(CASE WHEN need_2d <= 0.61 THEN 1 END) AS passed_2d FROM f WHERE flat_bin IS NOT NULL GROUP BY flat_bin)"
@@ -288,12 +288,12 @@ def external_t0(spark, sf) -> DataFrame:
 
 
 @query(f"""WITH {ad.LINES}, d AS (SELECT DISTINCT l_orderkey >> 1 AS entry, CAST(l_orderkey % 2 AS INTEGER) AS track_index, CAST(l_suppkey % 4 AS INTEGER) AS dut_id FROM lineitem WHERE l_suppkey % 4 = 3 AND l_quantity > 40)
-SELECT t.entry, t.track_index, d.dut_id, CASE WHEN d.dut_id IS NOT NULL THEN 3.5::DOUBLE - chi2 END AS dut_minus_track FROM t LEFT JOIN d ON d.entry = t.entry AND d.track_index = t.track_index WHERE d.dut_id IS NOT NULL OR chi2 > 5""")
+SELECT t.entry, t.track_index, coalesce(d.dut_id, -1) AS dut_id, CASE WHEN d.dut_id IS NOT NULL THEN 3.5::DOUBLE - chi2 END AS dut_minus_track FROM t LEFT JOIN d ON d.entry = t.entry AND d.track_index = t.track_index WHERE d.dut_id IS NOT NULL OR chi2 > 5""")
 def track_with_dut(spark, sf) -> DataFrame:
     k = F.col("l_orderkey")
     duts = ad.table(spark, sf, "lineitem").where("l_suppkey % 4 = 3 AND l_quantity > 40").select(F.shiftright(k, 1).alias("entry"), (k % 2).cast("int").alias("track_index"), F.lit(3).alias("det"), F.lit(3.5).alias("t")).distinct()
     own = timing.track_with_dut(ad.lines(spark, sf).withColumn("track_time", F.col("chi2")), duts)
-    return own.where("dut_id IS NOT NULL OR chi2 > 5").select("entry", "track_index", "dut_id", "dut_minus_track")
+    return own.where("dut_id IS NOT NULL OR chi2 > 5").select("entry", "track_index", F.coalesce("dut_id", F.lit(-1)).alias("dut_id"), "dut_minus_track")
 
 
 @query(f"""WITH {ad.HITS}, t AS (SELECT entry, plane AS track_index, det, min(time) AS t FROM h WHERE det < 3 AND amp > 30 GROUP BY ALL), w AS (SELECT entry, track_index FROM t GROUP BY ALL HAVING count(*) = 3)
