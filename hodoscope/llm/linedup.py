@@ -228,3 +228,26 @@ def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = _reduced(docs).where("__n_kept > 0 OR __n_lines = 0")
     changed = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return out.withColumns(changed).select(*docs.columns)
+
+
+ORACLE = r"""
+WITH l AS (
+  SELECT doc_id, line_no - 1 AS line_no, trim(line, ' ' || chr(9) || chr(13)) AS s FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL)
+  WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+f AS (SELECT *, length(s) AS n FROM l QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, line_no) = 1),
+k AS (SELECT *, m // 2 AS h FROM (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= 20) WHERE m >= 20),
+c AS (
+  SELECT a.doc_id AS da, a.line_no AS la, a.s AS a, a.n AS na, b.doc_id, b.line_no, b.s AS b, b.n AS nb FROM k a JOIN k b ON a.m = b.m AND left(a.s, a.h) = left(b.s, b.h)
+  UNION SELECT a.doc_id, a.line_no, a.s, a.n, b.doc_id, b.line_no, b.s, b.n FROM k a JOIN k b ON a.m = b.m AND right(a.s, a.m - a.h) = right(b.s, b.m - b.h)),
+near AS (
+  SELECT DISTINCT doc_id, line_no FROM c WHERE (da, la) < (doc_id, line_no) AND abs(na - nb) <= 1
+    AND len(list_filter(range(0, least(na, nb) + 1), lambda i: left(a, i) = left(b, i)
+      AND substr(a, i + CASE WHEN na >= nb THEN 2 ELSE 1 END) = substr(b, i + CASE WHEN nb >= na THEN 2 ELSE 1 END))) > 0),
+m AS (SELECT f.doc_id, f.line_no, near.doc_id IS NOT NULL AS near FROM f LEFT JOIN near ON f.doc_id = near.doc_id AND f.line_no = near.line_no),
+g AS (SELECT doc_id, count(CASE WHEN NOT near THEN 1 END) AS n_kept, count(CASE WHEN near THEN 1 END) AS n_near,
+  coalesce(string_agg(CASE WHEN NOT near THEN CAST(line_no AS VARCHAR) END, ',' ORDER BY line_no), '') AS kept_lines FROM m GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(t.n, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_kept, 0) AS INTEGER) AS n_kept, CAST(coalesce(n_near, 0) AS INTEGER) AS n_near, coalesce(kept_lines, '') AS kept_lines
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id
+"""
