@@ -15,10 +15,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hodoscope.llm.common import bound_batches, cache, map_rows
+from hodoscope.llm.common import bound_batches, cache, cut, map_rows
 
 #: Labelled rows and their largest length that the fit may use.
-TRAIN_ROWS, TRAIN_CHARS = 12_000, 60_000
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 60_000
 #: Features kept by the fit, and the fewest training rows a feature must occur in.
 FEATURES, LEAST_ROWS = 4096, 6
 #: Hash space in which candidate features are counted.
@@ -162,8 +162,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
         return {"doc_id": cols["doc_id"], "y": cols["y"], "h": [features(t).astype("<i4").tobytes() for t in cols["text"]]}
 
     packed = map_rows(got.select("doc_id", "text", F.array(*[f"c{i}" for i in range(len(cats))]).alias("y")), run, "doc_id long, y array<int>, h binary")
-    drawn = sorted((r["doc_id"], r["y"], r["h"]) for r in packed.toLocalIterator())
-    hashed = [np.frombuffer(h, "<i4").astype(np.int64) for _, _, h in drawn]
+    packed = cut(packed, "labelled")
+    # two passes over the sample: the driver keeps counts, and then only features that the fit could keep
+    counts = np.zeros(SPACE, np.int32)
+    for r in packed.select("h").toLocalIterator():
+        counts[np.frombuffer(r["h"], "<i4")] += 1
+    drawn = []
+    for r in packed.toLocalIterator():
+        h = np.frombuffer(r["h"], "<i4")
+        drawn.append((r["doc_id"], tuple(r["y"]), h[counts[h] >= LEAST_ROWS].tobytes()))
+    drawn.sort()
+    hashed = [np.frombuffer(h, "<i4") for _, _, h in drawn]
     y = np.array([v for _, v, _ in drawn], float).reshape(len(drawn), len(cats))
     return fit_chain(hashed, y, list(cats))
 
