@@ -86,7 +86,7 @@ class Chain:
 
     def rows(self, texts: list[str | None]) -> list[np.ndarray]:
         member = cache().setdefault(("chain words", self.kept.tobytes()), {})
-        if len(member) > 300_000:
+        if len(member) > 60_000:
             member.clear()
         where = {int(h): i for i, h in enumerate(self.kept)}
         out = []
