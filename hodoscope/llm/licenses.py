@@ -3,7 +3,8 @@
 Words that occur once in both sides are anchors; the longest increasing subsequence of their places is kept, and the gaps
 between neighbouring anchors are aligned in the same way (a gap without anchors by its equal ends). Coverage is the share of
 a template's words that are aligned. Regions of a text that can reach the coverage are found first, by the template's words
-within a window of its length.
+within a window of its length. In a region the shortest stretch whose longest common subsequence with the template reaches
+the coverage is aligned and extended on both sides, then the search goes on behind it, so copies may stand side by side.
 """
 
 from __future__ import annotations
@@ -99,6 +100,7 @@ class Templates:
     def __init__(self, templates: dict[str, str]):
         self.own = {n: [w for w, _, _ in words(t)] for n, t in templates.items()}
         self.sets = {n: frozenset(w) for n, w in self.own.items()}
+        self.bits = {n: (_bits(w), _bits(w[::-1])) for n, w in self.own.items()}
         self.order = sorted(self.own)
 
 
@@ -111,13 +113,81 @@ def regions(own: list[str], want: frozenset[str], size: int, least: float) -> li
             low += 1
         if high - low + 1 >= need:
             a, b = max(0, hits[low] - size // 4), min(len(own), at + 1 + size // 4)
-            if out and a <= out[-1][1] and b - out[-1][0] <= 4 * size:
+            if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], b)
-            elif not out or hits[low] >= out[-1][1]:
+            else:
                 out.append((a, b))
     return out
 
 
+def _bits(own: list[str]) -> dict[str, int]:
+    """Places of each word, as the bits of a number."""
+    out: dict[str, int] = {}
+    for i, w in enumerate(own):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def _reach(own: list[str], places: range, bits: dict[str, int], size: int, need: int) -> int:
+    """The first of places up to which a template's longest common subsequence with own has need words; -1 if it never has."""
+    full = left = (1 << size) - 1
+    for i in places:
+        at = left & bits.get(own[i], 0)
+        if at:
+            left = (left + at | left - at) & full
+            if size - left.bit_count() >= need:
+                return i
+    return -1
+
+
+def _trimmed(pairs: list[tuple[int, int]], edge: int, side: int) -> list[tuple[int, int]]:
+    """Of pairs going away from edge, those worth the text skipped for them at half a word each."""
+    score, best, keep = 0.0, 0.0, 0
+    for i, (at, _) in enumerate(pairs):
+        score += 1 - (abs(at - edge) - 1) / 2
+        edge = at
+        if score > best:
+            best, keep = score, i + 1
+    return pairs[:keep][::side]
+
+
+def _extended(own: list[str], want: list[str], low: int, a: int, b: int, high: int) -> list[tuple[int, int]]:
+    """Pairs of the alignment of own[a:b], extended into low..a and b..high by the words the template has left on that side."""
+    core = [(a + x, y) for x, y in align(own[a:b], want)]
+    if not core:
+        return []
+    (a, first), (b, last) = core[0], core[-1]
+    low, high = max(low, a - 2 * first), min(high, b + 1 + 2 * (len(want) - last - 1))
+    before = [(low + x, y) for x, y in align(own[low:a], want[:first])]
+    after = [(b + 1 + x, last + 1 + y) for x, y in align(own[b + 1 : high], want[last + 1 :])]
+    return _trimmed(before[::-1], a, -1) + core + _trimmed(after, b, 1)
+
+
+def copies(own: list[str], want: list[str], bits: tuple[dict[str, int], dict[str, int]], a: int, b: int, coverage: float) -> list[list[tuple[int, int]]]:
+    """Alignments of at least the coverage within own[a:b] that do not overlap, from left to right."""
+    size, out = len(want), []
+    need = next(k for k in range(1, size + 2) if k / size >= coverage)
+    while a < b:
+        high = min(b, a + 3 * size)
+        end = _reach(own, range(a, high), bits[0], size, need)
+        if end < 0:
+            a += size  # a stretch of twice the template's length that starts before would lie in a..high
+            continue
+        start = _reach(own, range(end, a - 1, -1), bits[1], size, need)
+        best: list[tuple[int, int]] = []
+        if end - start < 2 * size:
+            best = _densest(_extended(own, want, a, start, end + 1, b), size)
+            if len(best) < need:
+                low = max(a, start - size // 4)
+                best = _densest([(low + x, y) for x, y in align(own[low : min(b, end + 1 + size // 4)], want)], size)
+        if len(best) >= need:
+            out.append(best)
+            a = best[-1][0] + 1
+        else:
+            a = start + 1
+    return out
+
+
 def scan(text: str | None, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
     """(license, coverage, start, end) of templates covered in a text, by start; of overlapping finds the longest alignment stays."""
     if not text:
@@ -132,18 +202,9 @@ def scan(text: str | None, templates: dict[str, str] | None = None, coverage: fl
     found = []
     for name in tries:
         want = known.own[name]
-        todo = regions(plain, known.sets[name], len(want), coverage * 0.75)
-        while todo:  # a region may hold the template more than once
-            a, b = todo.pop()
-            if b - a >= coverage * len(want):
-                pairs = align(plain[a:b], want)
-                tight = _densest(pairs, len(want))
-                share = len(tight) / len(want)
-                if share < coverage:
-                    continue
-                first, last = a + tight[0][0], a + tight[-1][0]
-                found.append((len(tight), name, share, own[first][1], own[last][2]))
-                todo += [(a, first), (last + 1, b)]
+        for a, b in regions(plain, known.sets[name], len(want), coverage * 0.75):
+            for pairs in copies(plain, want, known.bits[name], a, b, coverage):
+                found.append((len(pairs), name, len(pairs) / len(want), own[pairs[0][0]][1], own[pairs[-1][0]][2]))
     out: list[tuple[str, float, int, int]] = []
     for _, name, share, start, end in sorted(found, key=lambda f: (-f[0], f[3], f[1])):
         if all(end <= s or e <= start for _, _, s, e in out):

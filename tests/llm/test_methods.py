@@ -254,6 +254,19 @@ def test_license_texts_are_found():
     assert licenses.scan("released software under no terms at all, mit is a school") == []
 
 
+def test_adjacent_license_copies_are_all_found():
+    rng = random.Random(4)
+    for name, text in licenses.TEMPLATES.items():
+        for n, gap in [(2, 0), (3, 0), (3, 4), (2, 40), (7, 1)]:
+            between = " " + "lorem " * gap
+            found = licenses.scan("foo bar baz " * 30 + between.join([text] * n) + " sit amet" * 40)
+            assert [(f[0], f[1]) for f in found] == [(name, 1.0)] * n
+    own = licenses.TEMPLATES["MIT"].split()
+    for _ in range(20):
+        worn = [" ".join(w if rng.random() > 0.04 else rng.choice(["", "foo", w + " bar"]) for w in own) for _ in range(3)]
+        assert [f[0] for f in licenses.scan("foo bar baz " * 30 + " ".join(worn) + " sit amet" * 40)] == ["MIT"] * 3
+
+
 # --- decontamination -----------------------------------------------------------------------------------------------------
 
 
