@@ -50,8 +50,8 @@ def runs(own: list[str], n: int = 3) -> set[tuple[str, ...]]:
 
 def overlap(own: list[str], passage: list[str]) -> float:
     """Share of own's word runs of three (or of all its words, if fewer) that the passage has; 1 if there are none."""
-    want = runs(own)
-    return len(want & runs(passage, min(3, len(own)))) / len(want) if want else 1.0
+    want, n = runs(own), min(3, len(own))
+    return len({r for i in range(len(passage) - n + 1) if (r := tuple(passage[i : i + n])) in want}) / len(want) if want else 1.0
 
 
 class Index:
@@ -159,15 +159,31 @@ class Index:
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float]]:
         """(text, item, score, question overlap, answer overlap): the best verified passage of each pair."""
-        tokens, best, half = [words(t) for t in texts], {}, WINDOW // 2
+        tokens, hits, best, half = [words(t) for t in texts], {}, {}, WINDOW // 2
         for d, w in self.windows(tokens):
             own = tokens[d][max(0, (w - 1) * half) : (w + 1) * half]  # window w starts half a window before its number
             for k, score in self.search(set(own), SCORE):
-                q, a = self.texts[k]
-                near = tokens[d][max(0, (w - 2) * half) : (w + 2) * half]
-                found = (score, overlap(q, near), overlap(a, near))
-                if found[1] >= OVERLAP and found[2] >= OVERLAP and found > best.get((d, k), (0,)):
-                    best[d, k] = found
+                hits.setdefault((d, k), []).append((score, w))
+        for (d, k), own in hits.items():
+            q, a = self.texts[k]
+            more = max(half, len(q) + len(a))  # a copy of the item that meets a window ends within the item's length of it
+            seen: dict[tuple[int, int], tuple[float, float]] = {}
+
+            def near(low: int, high: int) -> tuple[float, float]:
+                span = max(0, low), min(len(tokens[d]), high)
+                if span not in seen:
+                    part = tokens[d][span[0] : span[1]]
+                    seen[span] = overlap(q, part), overlap(a, part)
+                return seen[span]
+
+            if len(own) > 1 and more > half and min(near(0, len(tokens[d]))) < OVERLAP:
+                continue  # no span overlaps more than the whole text
+            for score, w in sorted(own, reverse=True):
+                if (d, k) in best and score < best[d, k][0]:
+                    break
+                found = (score, *near((w - 1) * half - more, (w + 1) * half + more))
+                if min(found[1:]) >= OVERLAP:
+                    best[d, k] = max(found, best.get((d, k), found))
         return [(*key, *v) for key, v in sorted(best.items())]
 
 

@@ -302,6 +302,20 @@ def test_planted_passages_are_found_and_others_not():
         assert ix.matches([" ".join([*own[:at], question, *own[at:]])]) == []  # without its answer it is no leak
 
 
+def test_long_items_are_found():
+    rng = random.Random(9)
+    words = [f"b{i}" for i in range(3000)] + ["the", "of", "a"] * 300
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, say(q) + ". " + say(a)) for i, (q, a) in enumerate([(30, 6), (120, 6), (300, 6), (600, 6), (650, 40), (1500, 6), (40, 700)])]
+    df = collections.Counter(w for _, t in items for w in set(decontam.words(t)))
+    ix = decontam.Index(items, df, len(items), sum(len(decontam.words(t)) for _, t in items) / len(items))
+    for i, t in items * 6:
+        before, after = say(rng.randint(0, 700)), say(rng.randint(0, 700))
+        assert [m[1] for m in ix.matches([f"{before} {t} {after}"])] == [i]
+        assert ix.matches([f"{before} {' '.join(decontam.question_answer(t)[0])} {after}"]) == []
+    assert ix.matches([say(5000)]) == []
+
+
 # --- packing -------------------------------------------------------------------------------------------------------------
 
 
