@@ -2,8 +2,8 @@
 
 Words that occur once in both sides are anchors; the longest increasing subsequence of their places is kept, and the gaps
 between neighbouring anchors are aligned in the same way (a gap without anchors by its equal ends). Coverage is the share of
-a template's words that are aligned. Regions of a text that can reach the coverage are found first, by the template's words
-within a window of its length. In a region the shortest stretch whose longest common subsequence with the template reaches
+a template's words that are aligned. Regions of a text that can reach the coverage are found first, without loss, by the
+template's words within a window of twice its length. In a region the shortest stretch whose longest common subsequence with the template reaches
 the coverage is aligned and extended on both sides, then the search goes on behind it, so copies may stand side by side.
 """
 
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
+from math import ceil
 
 from pyspark.sql import DataFrame
 
@@ -100,23 +102,32 @@ class Templates:
     def __init__(self, templates: dict[str, str]):
         self.own = {n: [w for w, _, _ in words(t)] for n, t in templates.items()}
         self.sets = {n: frozenset(w) for n, w in self.own.items()}
+        self.every = frozenset(w for s in self.sets.values() for w in s)
+        self.counts = {n: Counter(w) for n, w in self.own.items()}
         self.bits = {n: (_bits(w), _bits(w[::-1])) for n, w in self.own.items()}
         self.order = sorted(self.own)
 
 
-def regions(own: list[str], want: frozenset[str], size: int, least: float) -> list[tuple[int, int]]:
-    """Stretches of own in which some window of `size` words has least * size words of the template."""
-    hits = [i for i, w in enumerate(own) if w in want]
-    need, out, low = max(1, int(least * size)), [], 0
-    for high, at in enumerate(hits):
-        while hits[low] <= at - size:
+def regions(own: list[str], counts: Counter[str], size: int, need: int) -> list[tuple[int, int]]:
+    """Stretches of own in which some window of 2 * size words has need words of the template, each as often as there at most.
+
+    No alignment of need words within that length lies outside of them.
+    """
+    hits = [i for i, w in enumerate(own) if w in counts]
+    seen, both, low, out = Counter(), 0, 0, []
+    for at in hits:
+        seen[own[at]] += 1
+        both += seen[own[at]] <= counts[own[at]]
+        while hits[low] <= at - 2 * size:
+            w = own[hits[low]]
+            both -= seen[w] <= counts[w]
+            seen[w] -= 1
             low += 1
-        if high - low + 1 >= need:
-            a, b = max(0, hits[low] - size // 4), min(len(own), at + 1 + size // 4)
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], b)
+        if both >= need:
+            if out and hits[low] <= out[-1][1]:
+                out[-1] = (out[-1][0], at + 1)
             else:
-                out.append((a, b))
+                out.append((hits[low], at + 1))
     return out
 
 
@@ -163,10 +174,14 @@ def _extended(own: list[str], want: list[str], low: int, a: int, b: int, high: i
     return _trimmed(before[::-1], a, -1) + core + _trimmed(after, b, 1)
 
 
-def copies(own: list[str], want: list[str], bits: tuple[dict[str, int], dict[str, int]], a: int, b: int, coverage: float) -> list[list[tuple[int, int]]]:
-    """Alignments of at least the coverage within own[a:b] that do not overlap, from left to right."""
+def _need(size: int, coverage: float) -> int:
+    """The fewest of a template's words that reach the coverage."""
+    return max(1, ceil(coverage * size - 1e-9))
+
+
+def copies(own: list[str], want: list[str], bits: tuple[dict[str, int], dict[str, int]], a: int, b: int, need: int) -> list[list[tuple[int, int]]]:
+    """Alignments of at least need words within own[a:b] that do not overlap, from left to right."""
     size, out = len(want), []
-    need = next(k for k in range(1, size + 2) if k / size >= coverage)
     while a < b:
         high = min(b, a + 3 * size)
         end = _reach(own, range(a, high), bits[0], size, need)
@@ -193,8 +208,9 @@ def scan(text: str | None, templates: dict[str, str] | None = None, coverage: fl
     if not text:
         return []
     known = Templates(templates) if templates else once("license templates", lambda: Templates(TEMPLATES))
-    bag = set(WORD.findall(text.lower()))
-    tries = [n for n in known.order if len(known.sets[n] & bag) >= coverage * len(known.sets[n])]
+    bag = known.every.intersection(WORD.findall(text.lower()))
+    needs = {n: _need(len(known.own[n]), coverage) for n in known.order}
+    tries = [n for n in known.order if sum(map(known.counts[n].__getitem__, known.sets[n] & bag)) >= needs[n]]
     if not tries:
         return []
     own = words(text)
@@ -202,8 +218,8 @@ def scan(text: str | None, templates: dict[str, str] | None = None, coverage: fl
     found = []
     for name in tries:
         want = known.own[name]
-        for a, b in regions(plain, known.sets[name], len(want), coverage * 0.75):
-            for pairs in copies(plain, want, known.bits[name], a, b, coverage):
+        for a, b in regions(plain, known.counts[name], len(want), needs[name]):
+            for pairs in copies(plain, want, known.bits[name], a, b, needs[name]):
                 found.append((len(pairs), name, len(pairs) / len(want), own[pairs[0][0]][1], own[pairs[-1][0]][2]))
     out: list[tuple[str, float, int, int]] = []
     for _, name, share, start, end in sorted(found, key=lambda f: (-f[0], f[3], f[1])):

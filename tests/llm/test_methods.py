@@ -267,6 +267,28 @@ def test_adjacent_license_copies_are_all_found():
         assert [f[0] for f in licenses.scan("foo bar baz " * 30 + " ".join(worn) + " sit amet" * 40)] == ["MIT"] * 3
 
 
+def test_license_prefilters_lose_nothing():
+    ends = "foo bar baz " * 30, " sit amet" * 40
+    for name, cut in [("BSD-2-Clause", (86, 104)), ("MPL-2.0", (28, 35)), ("ISC", (78, 99)), ("Zlib", (3, 25)), ("Unlicense", (14, 23)), ("Apache-2.0", (54, 70))]:
+        own = [w for w, _, _ in licenses.words(licenses.TEMPLATES[name])]
+        found = licenses.scan(ends[0] + " ".join(own[: cut[0]] + own[cut[1] :]) + ends[1])
+        assert [(f[0], f[1]) for f in found] == [(name, 1 - (cut[1] - cut[0]) / len(own))]
+    for name, text in licenses.TEMPLATES.items():  # a number before each word, as of lines
+        own = [w for w, _, _ in licenses.words(text)]
+        found = licenses.scan(ends[0] + " ".join(f"x{i} {w}" for i, w in enumerate(own)) + ends[1])
+        assert [f[0] for f in found] == [name]
+    rng = random.Random(2)
+    for _ in range(200):
+        size, need = rng.randint(2, 12), rng.randint(1, 9)
+        want = collections.Counter(rng.choice("abcdef") for _ in range(size))
+        own = [rng.choice("abcdefghijklm") for _ in range(60)]
+        inside = {i for a, b in licenses.regions(own, want, size, need) for i in range(a, b)}
+        for i in range(60):
+            part = own[i : i + 2 * size]
+            if sum((collections.Counter(part) & want).values()) >= need:
+                assert all(x in inside for x in range(i, i + len(part)) if own[x] in want)
+
+
 # --- decontamination -----------------------------------------------------------------------------------------------------
 
 
