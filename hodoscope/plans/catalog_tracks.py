@@ -70,10 +70,8 @@ def availability(spark, sf) -> DataFrame:
 
 
 def _searchable(spark, sf) -> DataFrame:
-    """Local hits for the search: strips of strong hits, with coordinates of the plain three-plane set-up."""
-    own = ad.points(spark, sf).join(ad.hits(spark, sf).where("amp > 38").select("entry", "raw_idx"), ["entry", "raw_idx"], "left_semi")
-    own = own.withColumns({"x": F.col("gx"), "y": F.col("gy"), "hit_idx": F.col("raw_idx")})
-    return own
+    """Local hits for the search: all valid tracker hits, with coordinates of the plain three-plane set-up."""
+    return ad.points(spark, sf).withColumns({"x": F.col("gx"), "y": F.col("gy"), "hit_idx": F.col("raw_idx")})
 
 
 def _trackers(spark) -> DataFrame:
@@ -89,9 +87,11 @@ def track_search(spark, sf) -> DataFrame:
 
 @query()
 def tracker_alignment(spark, sf) -> DataFrame:
-    own = _searchable(spark, sf)
+    # among all hits no event has a single one in each plane, as the alignment's events must; among strong ones some do
+    strong = ad.hits(spark, sf).where("amp > 38").select("entry", "raw_idx")
+    own = _searchable(spark, sf).join(strong, ["entry", "raw_idx"], "left_semi")
     strict = tracks.strict_events(own, [0, 1, 2])
-    found = align.align_trackers(own.join(strict, "entry", "left_semi"), _trackers(spark), AlignmentConfig(max_iterations=3, min_tracks=5), (5.0, 5.0))
+    found = align.align_trackers(own.join(strict, "entry", "left_semi"), _trackers(spark), AlignmentConfig(min_tracks=5), (5.0, 5.0))
     return align.corrections_table(spark, found)
 
 

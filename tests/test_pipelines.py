@@ -1,6 +1,7 @@
 """Whole chains: a synthetic telescope, converters and files, streaming, properties."""
 
 import math
+import os
 import random
 import struct
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from hodoscope.config import AlignmentConfig, ClusterConfig, EfficiencyConfig, EventBuilderConfig, HitConfig, PadAlignmentConfig, PositionConfig, ScopeConfig, TimingConfig, TrackConfig
 from hodoscope.functions import geometry
 from hodoscope.operators import align, clusters, efficiency, events, grouped, match, scope, timing, tracks
-from hodoscope.plans import registry, stages
+from hodoscope.plans import adapters, catalog_tracks, registry, stages
 from hodoscope.sources import apv, bt, canonical, results, scope as scope_source, vmm
 from hodoscope.streaming import events as streaming
 
@@ -332,3 +333,9 @@ def test_clusters_do_not_depend_on_order(spark):
 
 def test_unused_settings_are_harmless():
     assert efficiency.margins(EfficiencyConfig(scan_step=0)) == [] and HitConfig().mode == "Default" and timing.three_corner_hat(1, 1, 1) == (0.5, 0.5, 0.5)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+def test_search_sees_all_valid_tracker_hits(spark):
+    sf = "/root/testdata/sf0.001"
+    assert catalog_tracks._searchable(spark, sf).count() == adapters.hits(spark, sf).where("is_valid AND det < 3").count() > 0
