@@ -233,6 +233,14 @@ def test_toxicity_on_held_out_rows():
     assert (chain.scores([t for t, _ in data[800:]])[:, 2] < 0.01).all()  # no examples, never predicted
 
 
+def test_toxicity_fit_draws_12000_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit_chain", lambda hashed, y, names: len(hashed))
+    docs = spark.range(12_500).selectExpr("id AS doc_id", "concat('word ', id % 7) AS text")
+    labels = spark.range(12_500).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert toxicity.train(docs, labels) == 12_000
+    assert toxicity.train(docs.limit(9_000), labels.where("doc_id < 9000")) == 9_000
+
+
 # --- licenses ------------------------------------------------------------------------------------------------------------
 
 
