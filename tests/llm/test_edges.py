@@ -79,6 +79,13 @@ def test_stages_keep_columns(spark, folder, name, empty):
         assert all((r["id0"], r["n_lines"]) == ("q", "w") for r in got if r["doc_id"] is not None)
 
 
+def test_neardup_stage_keeps_one_of_repeated_rows_and_null_ids(spark, folder):
+    a, b, c = ("w%s " * 40 % tuple(range(k, k + 40)) for k in (0, 100, 200))
+    data = [(1, a), (1, a), (2, b), (None, b), (None, a + "x"), (None, c), (None, c), (None, c + "x"), (3, None), (3, None), (None, None)]
+    got = neardup.neardup_stage(spark, spark.createDataFrame(data, "doc_id long, text string"), folder).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in got) == [(0, ""), (0, "w200"), (1, "w0 w"), (2, "w100"), (3, "")]
+
+
 def test_topk_odd_vectors(spark):
     data = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (6, [1.0, 2.0]), (7, [0.5, 1.0]), (100, [-1.0, 0.25]), (None, [1.0, 1.0]), (6, [1.0, 2.0])]
     v = topk.quantised(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
