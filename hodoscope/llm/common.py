@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import sys
 import tempfile
@@ -10,6 +11,7 @@ import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,11 @@ WHITESPACE = "\x20\x09-\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is unset (tests), a local one."""
+    """The folder all executors share: spark.checkpoint.dir, or, where that is unset and all run in one process, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = cache().get("own_dir")
         if not found:
             found = cache()["own_dir"] = "file://" + tempfile.mkdtemp(prefix="hodoscope-")
@@ -71,12 +75,26 @@ def cache() -> dict:
     return sys.modules.setdefault("_hodoscope_cache", types.ModuleType("_hodoscope_cache")).__dict__
 
 
-def once(key: str, make: Callable[[], object]) -> object:
-    """make() once per process."""
+def once(key: object, make: Callable[[], object]) -> object:
+    """make() once per process, as long as no other key is asked for: a worker holds one operator's model at a time.
+
+    Workers are used again from stage to stage; what an earlier one has built would stay for as long as they live.
+    """
     own = cache()
-    if key not in own:
-        own[key] = make()
-    return own[key]
+    if own.get("once key") != key:
+        own["once"] = own["once key"] = None
+        own["once"] = make()
+        own["once key"] = key
+    return own["once"]
+
+
+def give_back() -> None:
+    """Return what is free, but still held by the allocators, to the system: an idle worker counts with all it holds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing to trim
+        return
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
@@ -87,19 +105,78 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow with bounded batches, by workers that give back at the end of a partition what they took for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return bound_batches(df).mapInArrow(run, schema)
+
+
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, rows: int = SLICE_ROWS) -> DataFrame:
+    """fn on slices of at most `rows` rows of df."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(at, rows))
+
+    return map_batches(df, run, schema)
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str | T.StructType, rows: int = SLICE_ROWS) -> DataFrame:
     """Apply fn to slices of df as columns of Python values; fn returns columns of schema, any number of rows."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        out = fn({n: c.to_pylist() for n, c in zip(piece.schema.names, piece.columns)})
+        return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+
+    return map_slices(df, run, kind, rows)
+
+
+def filter_texts(df: DataFrame, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of df, with all their columns, whose text keep wants."""
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        return piece.filter(pa.array(keep(piece.column(piece.schema.get_field_index("text")).to_pylist()), pa.bool_()))
+
+    return map_slices(df, run, df.schema)
+
+
+def map_tables(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], pa.RecordBatch | None], schema: str, order: list[str] | None = None) -> DataFrame:
+    """fn(key, table) for each group of integer keys, streamed from sorted partitions; groups must be of bounded size."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+        held: list[pa.RecordBatch] = []
+        now = None
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                piece = batch.slice(at, rows)
-                out = fn({n: c.to_pylist() for n, c in zip(piece.schema.names, piece.columns)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            if not batch.num_rows:
+                continue
+            ks = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys], 1)
+            cuts = [0, *(np.flatnonzero((ks[1:] != ks[:-1]).any(1)) + 1).tolist(), len(ks)]
+            for a, b in zip(cuts, cuts[1:]):
+                key = tuple(ks[a].tolist())
+                if key != now:
+                    if held:
+                        yield now, pa.Table.from_batches(held)
+                    now, held = key, []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield now, pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, table in groups(batches):
+            out = fn(key, table)
+            if out is not None and out.num_rows:
+                yield out
 
-    return bound_batches(df).mapInArrow(run, kind)
+    return map_batches(df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])), run, schema)
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, dict[str, list]], Iterable[tuple]], schema: str, order: list[str] | None = None, out_rows: int = 2000) -> DataFrame:
@@ -147,14 +224,15 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, dict[str, li
                 out = []
         yield pack(out)
 
-    return bound_batches(df).repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, kind)
+    return map_batches(df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])), run, kind)
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of edges(a, b): one row (id, root) per node, root the smallest id reachable.
 
     Alternates large-star and small-star steps (each a grouped minimum and a join), so a hub is never gathered in a task;
-    every round is written to the shared folder. No nodes other than those of edges appear.
+    every round is written to the shared folder. No nodes other than those of edges appear. Rounds grow with the logarithm
+    of the longest chain; more than max_rounds, which 2**40 links in a row would take, is an error.
     """
     both = edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     now, mark = cut(both, "cc"), None
