@@ -13,14 +13,16 @@ sixteenth only.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hodoscope.llm.common import bound_batches, cut, send
+from hodoscope.llm.common import bound_batches, cut, map_slices, send
 
-#: Lines shorter than this are compared for equality only.
-LEAST_CHARS = 20
+#: Lines shorter than this are compared for equality only: by default none, a line of one character is an edit from any other.
+LEAST_CHARS = 1
 FINE = 16
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 NO_ID = -(1 << 63)
@@ -72,15 +74,6 @@ class Rolling:
         return self.of(a, x, k) + tail
 
 
-def _arrow(df: DataFrame, run, schema: str, rows: int = 512) -> DataFrame:
-    def step(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield run(batch.slice(at, rows))
-
-    return bound_batches(df).mapInArrow(step, schema)
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -90,7 +83,7 @@ def split_lines(text: str | None) -> list[str]:
     return [s.strip(" \t\r") for s in text.split("\n")] if text else []
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
+def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
     """Every line that is not blank: id0, rid, line_no, its hashes h1, h2 and its keys without a half."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -106,13 +99,13 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         every = np.arange(len(lines))
         end = r.start + r.size
         keys = np.stack([r.rest(every, np.maximum(0, r.size - d), np.full(len(lines), j), 2) for d in (0, 1) for j in (0, 1)], 1) if lines else np.zeros((0, 4), np.uint64)
-        valid = np.stack([r.size >= LEAST_CHARS] * 2 + [r.size > LEAST_CHARS] * 2, 1)
+        valid = np.stack([r.size >= least_chars] * 2 + [r.size > least_chars] * 2, 1)
         offsets = np.concatenate([[0], np.cumsum(valid.sum(1))]).astype(np.int32)
         nested = pa.ListArray.from_arrays(offsets, _signed(np.ascontiguousarray(keys[valid])))
         return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[own]), pa.array(np.array(rids, np.int64)[own]), pa.array(np.array(number, np.int32)), _signed(r.of(r.start, end)), _signed(r.of(r.start, end, 1)), nested], ["id0", "rid", "line_no", "h1", "h2", "keys"])
 
     src = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id0"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-    return _arrow(src, run, "id0 long, rid long, line_no int, h1 long, h2 long, keys array<long>")
+    return map_slices(src, run, "id0 long, rid long, line_no int, h1 long, h2 long, keys array<long>", 512)
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
@@ -128,9 +121,20 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     suspects = cut(half.groupBy(*ID).agg(F.sort_array(F.collect_set("part")).alias("parts")), "suspects")
     by_row = suspects.groupBy("id0", "rid").agg(F.collect_list(F.struct("line_no", "parts")).alias("wanted"))
     src = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id0"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-    found = src.join(send(by_row, suspects.count()), ["id0", "rid"]).select("id0", "rid", F.explode("wanted").alias("w"), "text")
-    line = F.btrim(F.get(F.split("text", "\n"), F.col("w.line_no")), F.lit(" \t\r"))
-    lines = cut(found.select("id0", "rid", F.col("w.line_no").alias("line_no"), F.col("w.parts").alias("parts"), line.alias("line")).dropDuplicates(ID), "lines")
+    found = src.join(send(by_row, suspects.count()), ["id0", "rid"]).select("id0", "rid", "wanted", "text")
+
+    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The wanted lines of each text, which is split once."""
+        out: list[tuple] = []
+        for id0, rid, wanted, text in zip(*(c.to_pylist() for c in batch.columns)):
+            own = split_lines(text)
+            out.extend((id0, rid, w["line_no"], w["parts"], own[w["line_no"]]) for w in wanted)
+        cols = list(zip(*out)) if out else [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [*ID, "parts", "line"])
+
+    picked = map_slices(found, pick, "id0 long, rid long, line_no int, parts array<int>, line string", 64)
+    lines = cut(picked.dropDuplicates(ID), "lines")
 
     def fine(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = {n: c for n, c in zip(batch.schema.names, batch.columns)}
@@ -141,7 +145,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         key = r.rest(own, r.size[own] - less, part, FINE)
         return pa.RecordBatch.from_arrays([cols[n].take(pa.array(own)) for n in ID] + [_signed(key), pa.array(less.astype(np.int32)), pa.array(part.astype(np.int32))], [*ID, "key", "less", "part"])
 
-    places = _shared(_arrow(lines.select(*ID, "parts", "line"), fine, "id0 long, rid long, line_no int, key long, less int, part int"), "key")
+    places = _shared(map_slices(lines.select(*ID, "parts", "line"), fine, "id0 long, rid long, line_no int, key long, less int, part int", 512), "key")
     places = places.groupBy(*ID).agg(F.collect_set(F.struct("less", "part")).alias("places"))
 
     def variants(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -163,7 +167,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         place = np.where(kind == 1, at, -1)  # a substitution joins variants of one place only
         return pa.RecordBatch.from_arrays([cols[n].take(pa.array(own)) for n in ID] + [_signed(out[0]), _signed(out[1]), pa.array(place), pa.array(kind.astype(np.int32))], [*ID, "v1", "v2", "place", "kind"])
 
-    emitted = _arrow(lines.select(*ID, "line").join(places, ID), variants, "id0 long, rid long, line_no int, v1 long, v2 long, place long, kind int", 128)
+    emitted = map_slices(lines.select(*ID, "line").join(places, ID), variants, "id0 long, rid long, line_no int, v1 long, v2 long, place long, kind int", 128)
     emitted = cut(emitted, "variants")
     # a group's size is bounded by the alphabet and the line: its members differ in one character
     me = F.struct(*ID)
@@ -176,9 +180,9 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return left.join(other, "w").where(F.levenshtein("line", "before", 1).between(0, 1)).select(*ID)
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
+def kept_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(id0, rid, kept, near): for each document row the numbers of the lines that stay, and of those within an edit of an earlier one."""
-    firsts = _occurrences(docs).groupBy("h1", "h2").agg(F.min(F.struct(*ID)).alias("o"), F.any_value("keys").alias("keys"))
+    firsts = _occurrences(docs, least_chars).groupBy("h1", "h2").agg(F.min(F.struct(*ID)).alias("o"), F.any_value("keys").alias("keys"))
     firsts = cut(firsts.select("o.id0", "o.rid", "o.line_no", "keys"), "firsts")
     near = near_lines(docs, firsts).withColumn("near", F.lit(True))
     marked = firsts.select(*ID).join(near, ID, "left")
@@ -186,38 +190,51 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     return marked.groupBy("id0", "rid").agg(F.sort_array(F.collect_list(F.when(~flag, F.col("line_no")))).alias("kept"), F.sort_array(F.collect_list(F.when(flag, F.col("line_no")))).alias("near"))
 
 
-def _reduced(docs: DataFrame) -> DataFrame:
+@F.pandas_udf(T.StringType())
+def _staying(text: pd.Series, kept: pd.Series) -> pd.Series:
+    """The texts' blank lines and those of the given numbers."""
+
+    def one(t: str | None, numbers: np.ndarray | None) -> str | None:
+        if t is None:
+            return None
+        stay = set() if numbers is None else set(numbers.tolist())
+        return "\n".join(s for k, s in enumerate(t.split("\n")) if k in stay or not s.strip(" \t\r"))
+
+    return pd.Series([one(t, k) for t, k in zip(text, kept)], dtype=object)
+
+
+def _reduced(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """docs with text reduced, and __n_lines, __n_kept, __n_near."""
-    kept = kept_lines(docs)
+    kept = kept_lines(docs, least_chars)
     side = docs.withColumns({"__id0": F.coalesce("doc_id", F.lit(NO_ID)), "__rid": F.xxhash64("doc_id", "text")})
     k = kept.select(F.col("id0").alias("__id0"), F.col("rid").alias("__rid"), F.col("kept").alias("__kept"), F.col("near").alias("__near"))
-    both = side.join(k, ["__id0", "__rid"], "left")
-    lines = F.split("text", "\n")
-    blank = lambda s: F.btrim(s, F.lit(" \t\r")) == ""
+    both = bound_batches(side.join(k, ["__id0", "__rid"], "left"))
     none = F.array().cast("array<int>")
-    stay = F.filter(lines, lambda s, i: blank(s) | F.array_contains(F.coalesce("__kept", none), i))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(lines, lambda s: ~blank(s))))
-    out = both.withColumns({"__n_lines": n, "__n_kept": F.size(F.coalesce("__kept", none)), "__n_near": F.size(F.coalesce("__near", none)), "text": F.when(F.col("text").isNotNull(), F.array_join(stay, "\n"))})
+    out = both.withColumns({"__n_lines": n_lines(), "__n_kept": F.size(F.coalesce("__kept", none)), "__n_near": F.size(F.coalesce("__near", none)), "text": _staying("text", "__kept")})
     return out.drop("__id0", "__rid", "__kept", "__near")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def n_lines() -> Column:
+    """A text's lines without blank ones."""
+    lines = F.filter(F.split("text", "\n"), lambda s: F.btrim(s, F.lit(" \t\r")) != "")
+    return F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+
+
+def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """docs with text reduced to its lines that stay, and n_lines, n_kept, n_near (lines without blank ones).
 
-    A line equal to an earlier one, or of 20 characters or more and within one edit of an earlier one of 20 or more, goes;
+    A line equal to an earlier one, or within one edit of an earlier one (both of least_chars characters or more), goes;
     'earlier' is by doc_id (null first), then text hash, then place. Blank lines stay. Null and empty texts are as they were;
     repeated rows keep the same lines; columns other than doc_id and text pass through, but for the three that are added.
     """
-    out = _reduced(docs)
+    out = _reduced(docs, least_chars)
     return out.withColumns({n: F.col(f"__{n}") for n in ("n_lines", "n_kept", "n_near")}).drop("__n_lines", "__n_kept", "__n_near")
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     """For every document: its lines, those that stay, and those dropped as near or equal to an earlier line."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lines = F.filter(F.split("text", "\n"), lambda s: F.btrim(s, F.lit(" \t\r")) != "")
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    own = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id0"), F.xxhash64("doc_id", "text").alias("rid"), n.alias("n_lines"))
+    own = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id0"), F.xxhash64("doc_id", "text").alias("rid"), n_lines().alias("n_lines"))
     none = F.array().cast("array<int>")
     out = own.join(kept_lines(docs), ["id0", "rid"], "left").select("doc_id", "n_lines", F.coalesce("kept", none).alias("kept_lines"), F.coalesce("near", none).alias("near_lines"))
     return out.select("doc_id", "n_lines", F.size("kept_lines").alias("n_kept"), F.size("near_lines").alias("n_near"), F.array_join(F.col("kept_lines").cast("array<string>"), ",").alias("kept_lines"))
@@ -236,7 +253,7 @@ WITH l AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL)
   WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
 f AS (SELECT *, length(s) AS n FROM l QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, line_no) = 1),
-k AS (SELECT *, m // 2 AS h FROM (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= 20) WHERE m >= 20),
+k AS (SELECT *, m // 2 AS h FROM (SELECT *, unnest([n, n - 1]) AS m FROM f) WHERE m >= 1),
 c AS (
   SELECT a.doc_id AS da, a.line_no AS la, a.s AS a, a.n AS na, b.doc_id, b.line_no, b.s AS b, b.n AS nb FROM k a JOIN k b ON a.m = b.m AND left(a.s, a.h) = left(b.s, b.h)
   UNION SELECT a.doc_id, a.line_no, a.s, a.n, b.doc_id, b.line_no, b.s, b.n FROM k a JOIN k b ON a.m = b.m AND right(a.s, a.m - a.h) = right(b.s, b.m - b.h)),
