@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hodoscope.llm.common import bound_batches, cache, cut, map_rows
+from hodoscope.llm.common import cut, filter_texts, map_rows, once
 
 #: Labelled rows and their largest length that the fit may use.
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 60_000
@@ -85,7 +85,7 @@ class Chain:
         self.names, self.kept, self.weights = names, kept, weights
 
     def rows(self, texts: list[str | None]) -> list[np.ndarray]:
-        member = cache().setdefault(("chain words", self.kept.tobytes()), {})
+        member = once(("chain words", self.kept.tobytes()), dict)
         if len(member) > 60_000:
             member.clear()
         where = {int(h): i for i, h in enumerate(self.kept)}
@@ -162,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
         return {"doc_id": cols["doc_id"], "y": cols["y"], "h": [features(t).astype("<i4").tobytes() for t in cols["text"]]}
 
     packed = map_rows(got.select("doc_id", "text", F.array(*[f"c{i}" for i in range(len(cats))]).alias("y")), run, "doc_id long, y array<int>, h binary")
-    packed = cut(packed, "labelled")
+    # of rows repeated with one doc_id, one: `rows` bounds what reaches the driver
+    packed = cut(packed.groupBy("doc_id").agg(F.min(F.struct("h", "y")).alias("r")).select("doc_id", "r.y", "r.h"), "labelled")
     # two passes over the sample: the driver keeps counts, and then only features that the fit could keep
     counts = np.zeros(SPACE, np.int32)
     for r in packed.select("h").toLocalIterator():
@@ -202,16 +203,9 @@ def op5_toxicity(spark, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not toxic, with their columns as they were."""
     chain = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = docs.columns
 
-    def keep(batches):
-        import pyarrow as pa
+    def keep(texts: list[str | None]) -> list[bool]:
+        p = chain.scores(texts)[:, chain.names.index("toxic")]
+        return [not t or v < THRESHOLD for t, v in zip(texts, p.tolist())]
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                texts = piece.column(piece.schema.get_field_index("text")).to_pylist()
-                p = chain.scores(texts)[:, chain.names.index("toxic")]
-                yield piece.filter(pa.array([not t or v < THRESHOLD for t, v in zip(texts, p)]))
-
-    return bound_batches(docs).mapInArrow(keep, docs.schema).select(*names)
+    return filter_texts(docs, keep)
