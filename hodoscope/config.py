@@ -121,6 +121,16 @@ class EfficiencyConfig:
             object.__setattr__(self, name, clean_bins(getattr(self, name), n))
 
 
+@dataclass(frozen=True)
+class StripAlignmentConfig:
+    """The region of predictions, in local mm, that the alignment of a strip DUT uses."""
+
+    x_min: float = 0.0
+    x_max: float = 100.0
+    y_min: float = 0.0
+    y_max: float = 100.0
+
+
 @dataclass(frozen=True)
 class PadAlignmentConfig:
     parameters: tuple[str, ...] = ("dx", "dy", "rotZ")
@@ -246,8 +256,11 @@ def load_config(base: str | Path) -> dict[str, Any]:
     raise FileNotFoundError(f"no config.json in {base} or its raw folder")
 
 
-def validate(config: Any) -> list[str]:
-    """Every problem of a configuration, with the path of its field; an empty list if there is none."""
+def validate(config: Any, scripts_known: tuple[str, ...] = SCRIPTS) -> list[str]:
+    """Every problem of a configuration, with the path of its field; an empty list if there is none.
+
+    scripts_known: the names of analyses, with those that user code has registered.
+    """
     bad: list[str] = []
     if not isinstance(config, dict):
         return ["config: must be an object"]
@@ -290,8 +303,8 @@ def validate(config: Any) -> list[str]:
         bad.append("scripts: must be a list with at least one entry")
     else:
         for i, s in enumerate(scripts):
-            if not isinstance(s, dict) or s.get("name") not in SCRIPTS:
-                bad.append(f"scripts[{i}].name: must be one of {', '.join(SCRIPTS)}")
+            if not isinstance(s, dict) or s.get("name") not in scripts_known:
+                bad.append(f"scripts[{i}].name: must be one of {', '.join(scripts_known)}")
         if mode == "analysis" and not any(isinstance(s, dict) and s.get("enabled", True) for s in scripts):
             bad.append("scripts: at least one must be enabled")
     return bad

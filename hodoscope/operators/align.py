@@ -163,12 +163,13 @@ def _predicted(g: dict[str, float], shift: tuple[float, ...], frame: pd.DataFram
 STAGES = ((2.0, 0.0), (1.0, 0.55), (0.5, 0.75))
 
 
-def align_strip_dut(tracks: DataFrame, clusters: DataFrame, detector: dict[str, float], iterations: int = 15, scan: int = 101, scan_range: float = 0.2, free: tuple[int, ...] = (0, 1, 3, 4, 5)) -> Alignment:
+def align_strip_dut(tracks: DataFrame, clusters: DataFrame, detector: dict[str, float], iterations: int = 15, scan: int = 101, scan_range: float = 0.2, free: tuple[int, ...] = (0, 1, 3, 4, 5), region: tuple[float, float, float, float] | None = None) -> Alignment:
     """dx, dy, rx, ry, rz of a strip detector (dz stays), from tracks (entry, kx..by) and clusters (entry, axis, centre).
 
     rx starts at the best of a scan; then three stages of soft matching with narrowing width minimise the mean square
     residual plus penalties on its mean and on its slope along y. A residual's weight falls with its distance from the
-    nearest cluster; the matches of an event are folded in expressions, so several points share one aggregate.
+    nearest cluster; the matches of an event are folded in expressions, so several points share one aggregate. region: the
+    least and largest local x and y of predictions that count.
     """
     arr = F.sort_array(F.collect_list(F.when(F.col("axis") == "x", F.col("centre")))), F.sort_array(F.collect_list(F.when(F.col("axis") == "y", F.col("centre"))))
     own = clusters.groupBy("entry").agg(arr[0].alias("cx"), arr[1].alias("cy"))
@@ -185,6 +186,8 @@ def align_strip_dut(tracks: DataFrame, clusters: DataFrame, detector: dict[str,
         px, py = _predicted(detector, tuple(shift), frame)
         (rx, dx), (ry, dy) = soft(px, frame["cx"], width), soft(py, frame["cy"], width)
         ok = (dx >= dominance) & (dy >= dominance) & np.isfinite(px)
+        if region:
+            ok &= (px >= region[0]) & (px <= region[1]) & (py >= region[2]) & (py <= region[3])
         rx, ry, u = rx[ok], ry[ok], py[ok]
         return np.array([ok.sum(), (rx**2 + ry**2).sum(), rx.sum(), ry.sum(), u.sum(), (u * u).sum(), (u * ry).sum()])
 

@@ -33,6 +33,8 @@ class Registry:
         return sorted(self._own)
 
 
+#: A user's analysis takes (tables, script): the run's tables by name and its entry in the configuration; it returns tables by
+#: name. A user's converter takes (spark, base, run_id, conversion) and returns (events, channels, schema version).
 ALGORITHMS, ANALYSES, CONVERTERS = Registry("algorithm"), Registry("analysis"), Registry("converter")
 #: The transforms a detector uses unless its configuration names others.
 DEFAULT_CHAIN = ("HitProcessor", "ClusterBuilder", "ClusterReconstructor")

@@ -6,12 +6,13 @@ name a configuration uses.
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hodoscope.config import AlignmentConfig, ClusterConfig, EfficiencyConfig, EventBuilderConfig, HitConfig, PadAlignmentConfig, PositionConfig, ScopeConfig, TimingConfig, TrackConfig
+from hodoscope.config import AlignmentConfig, ClusterConfig, EfficiencyConfig, EventBuilderConfig, HitConfig, PadAlignmentConfig, PositionConfig, ScopeConfig, StripAlignmentConfig, TimingConfig, TrackConfig
 from hodoscope.functions import geometry
 from hodoscope.operators import align, clusters, efficiency, hits, match, scope, timing, tracks
 from hodoscope.plans.registry import ALGORITHMS, ANALYSES, CONVERTERS
@@ -103,21 +104,37 @@ def regloballed(local: DataFrame, dets: DataFrame) -> DataFrame:
     return own.select(*[c for c in local.columns if c not in ("gx", "gy", "gz")], *[v.alias(f"g{n}") for n, v in zip("xyz", g)])
 
 
-def predictions(found: DataFrame, duts: DataFrame) -> DataFrame:
-    """(entry, det, pred_x, pred_y, kx..by) of single-track events on DUTs."""
+def predictions(found: DataFrame, duts: DataFrame, max_events: int = -1) -> DataFrame:
+    """(entry, det, pred_x, pred_y, kx..by) of single-track events on DUTs: all of them, or the first max_events by entry."""
     one = tracks.single_track_events(found)
+    one = one.orderBy("entry").limit(max_events) if max_events > 0 else one
     return geometry.predict(one.select("entry", "track_index", "kx", "ky", "bx", "by"), duts).select("entry", "track_index", "det", "kx", "ky", "bx", "by", "pred_x", "pred_y")
 
 
 @ANALYSES.register("DUTAnalysis")
-def dut_analysis(found: DataFrame, own: DataFrame, dets: DataFrame, plane_dim: DataFrame, config: EfficiencyConfig, strict: DataFrame | None = None) -> Tables:
-    """Strip DUTs: row table (nearest clusters), residuals, efficiency map, summary, projections, scan and accidental rates."""
+def dut_analysis(found: DataFrame, own: DataFrame, dets: DataFrame, plane_dim: DataFrame, config: EfficiencyConfig, strict: DataFrame | None = None, alignment: StripAlignmentConfig | None = None, max_events: int = -1) -> Tables:
+    """Strip DUTs: row table (nearest clusters), residuals, efficiency map, summary, projections, scan and accidental rates.
+
+    With alignment settings each detector is aligned first, on the tracks and clusters of single-track events, and all that
+    follows uses its moved geometry; the corrections are returned as tables.
+    """
     axes = geometry.axis_planes(plane_dim)
     strips = match.strip_clusters(own, axes, plane_dim)
-    pred = predictions(found, dets.where("role = 'dut' AND type <> 'planar_pad'"))
+    duts = dets.where("role = 'dut' AND type <> 'planar_pad'")
+    out: dict[str, Any] = {}
+    if alignment:
+        region = (alignment.x_min, alignment.x_max, alignment.y_min, alignment.y_max)
+        for d in [r.asDict() for r in duts.where("type = 'planar'").collect()]:  # a configuration's detectors
+            lines = predictions(found, duts.where(F.col("det") == d["det"]), max_events)
+            got = align.align_strip_dut(lines, strips.where(F.col("det") == d["det"]), d, region=region)
+            if math.isfinite(got.after):
+                duts = moved(duts, got)
+            out[f"alignment_{d['det']}"] = align.corrections_table(found.sparkSession, got)
+        out["detectors"] = duts
+    pred = predictions(found, duts, max_events)
     rows = match.nearest_clusters(pred.where(efficiency.in_region(config)), strips)
     samples = match.strip_samples(pred, match.strip_envelopes(strips)).withColumn("flat_bin", efficiency.flat_bin(config))
-    out = _efficiency_tables(samples, config)
+    out |= _efficiency_tables(samples, config)
     out |= {"dut_rows": rows, "residuals_x": efficiency.residual_summary(rows, "x"), "residuals_y": efficiency.residual_summary(rows, "y"), "slope_x": match.residual_slope(rows, "pred_x", "res_x")}
     if config.fake_enabled and strict is not None:
         kept = samples.join(strict, "entry", "left_semi")
@@ -186,10 +203,56 @@ def time_resolution(strips: DataFrame, config: TimingConfig, tracks_: DataFrame
     return out
 
 
+def refitted(raw: DataFrame, strips: DataFrame, settings: HitConfig) -> DataFrame:
+    """strips (entry, det, raw_idx, ...) with time, time_error and amp of their raw hits by other waveform settings.
+
+    Only the raw hits that strips name are worked on; strips whose hit is then not valid are left out.
+    """
+    names = ["entry", "det", "raw_idx"]
+    again = hits.channel_hits(raw.join(strips.select(*names).distinct(), names, "left_semi"), settings).where("is_valid")
+    keep = [c for c in strips.columns if c not in ("time", "time_error", "amp")]
+    return strips.select(*keep).join(again.select(*names, "time", "time_error", "amp"), names)
+
+
+def in_active_area(rows: DataFrame, dets: DataFrame, plane_dim: DataFrame) -> DataFrame:
+    """rows (det, pred_x, pred_y, ...) with `inside`: whether the prediction lies on the detector's strips or pads."""
+    along = F.struct("angle_deg", "pitch", "n_strips")
+    strips = plane_dim.groupBy("det").agg(F.collect_list(along).alias("__planes"))  # a detector's planes
+    dim = dets.select("det", "type", "pad_rows", "pad_columns", "pad_pitch_x", "pad_pitch_y").join(strips, "det", "left")
+    both = rows.join(F.broadcast(dim), "det")  # a configuration's detectors
+    on_strips = F.forall("__planes", lambda p: (F.col("pred_x") * F.cos(F.radians(p["angle_deg"])) + F.col("pred_y") * F.sin(F.radians(p["angle_deg"]))).between(-0.5 * p["pitch"], (p["n_strips"] - 0.5) * p["pitch"] - 1e-12))
+    on_pads = F.expr("pred_x >= -0.5 * pad_pitch_x AND pred_x < (pad_columns - 0.5) * pad_pitch_x AND pred_y >= -0.5 * pad_pitch_y AND pred_y < (pad_rows - 0.5) * pad_pitch_y")
+    return both.withColumn("inside", F.coalesce(F.when(F.col("type") == "planar_pad", on_pads).otherwise(on_strips), F.lit(False))).drop("type", "pad_rows", "pad_columns", "pad_pitch_x", "pad_pitch_y", "__planes")
+
+
+def dut_timing(rows: DataFrame, members: DataFrame, references: DataFrame, config: TimingConfig, dets: DataFrame, plane_dim: DataFrame, raw: DataFrame | None = None) -> Tables:
+    """DUT times against the track time of events with one timed track.
+
+    rows: DUT rows (entry, det, pred_x, pred_y, hit_flag, cluster_x, cluster_y); members: strips of clusters; references:
+    (entry, track_index, track_time). Returns the samples, tracks with their DUTs, the best timing window's efficiency for two
+    denominators (tracks inside the active area, and those of them with a matched hit), and residuals over amplitude.
+    """
+    unique = timing.unique_references(references).select("entry", "track_index", "track_time")
+    cases = in_active_area(rows, dets, plane_dim).join(unique.select("entry"), "entry", "left_semi")
+    strips = timing.dut_strips(rows, unique, members)
+    strips = refitted(raw, strips, config.waveform) if raw is not None else strips
+    times = timing.cluster_times(strips, ["entry", "track_index", "track_time", "det"], config.time_method, config.amplitude_weight_power)
+    samples = times.where("t IS NOT NULL").withColumn("residual", F.col("t") - F.col("track_time")).join(cases.select("entry", "det", "inside"), ["entry", "det"], "left")
+    inside = samples.where("inside")
+    counts = cases.where("inside").groupBy("det").agg(F.count("*").alias("tracks"), F.count_if(F.col("hit_flag") != 0).alias("matched"))
+    windows = None
+    for case in ("tracks", "matched"):
+        one = timing.window_efficiency(inside, "residual", counts.select("det", F.col(case).alias("denominator")), config.window_ns, config.window_step_ns, ["det"]).withColumn("case", F.lit(case))
+        windows = one if windows is None else windows.unionByName(one)
+    late = strips.withColumn("residual", F.col("time") - F.col("track_time"))
+    map_, profile = timing.amplitude_map(late, ["det"], "amp", "residual")
+    return {"dut_times": samples, "track_duts": timing.track_with_dut(references, times), "window_efficiency": windows, "dut_amplitude_map": map_, "dut_amplitude_profile": profile}
+
+
 @ANALYSES.register("OscilloscopeAnalysis")
 def oscilloscope(spark, directory: str, config: ScopeConfig) -> dict[str, Any]:
     """Scope events with reference times, the fits behind them, and status counts."""
-    measured = scope.measure(scope_source.read_segments(spark, directory, config.max_waveform_files), config).persist()
+    measured = scope.measure(scope_source.read_segments(spark, directory, config.max_waveform_files), config)
     events, fits = scope.reference_times(scope.complete(measured), config.histogram_bins)
     return {"scope_events": events, "fits": fits, "status": scope.status_counts(measured)}
 

@@ -60,3 +60,33 @@ def read_runs(spark: SparkSession, path: str, runs: list[int] | None = None) ->
 def write(df: DataFrame, path: str, by: list[str] | None = None, overwrite: bool = True) -> None:
     w = df.write.mode("overwrite" if overwrite else "error")
     (w.partitionBy(*by) if by else w).parquet(path)
+
+
+def parameters(spark: SparkSession, values: dict) -> DataFrame:
+    """Fits and other nested results of a run as rows (path, value): keys and list places joined by dots; numbers only."""
+    rows: list[tuple[str, float]] = []
+
+    def add(path: str, v: object) -> None:
+        if isinstance(v, dict):
+            for k, w in v.items():
+                add(f"{path}.{'-'.join(map(str, k)) if isinstance(k, tuple) else k}", w)
+        elif isinstance(v, list | tuple):
+            for i, w in enumerate(v):
+                add(f"{path}.{i}", w)
+        elif isinstance(v, int | float):
+            rows.append((path, float(v)))
+
+    for name, v in values.items():
+        add(name, v)
+    return spark.createDataFrame(rows, "path string, value double")
+
+
+def read_parameters(spark: SparkSession, path: str) -> dict[str, float]:
+    """The stored fits of a run by path, e.g. "hat.pairs.1-2.sigma"."""
+    return {r["path"]: r["value"] for r in _need(spark.read.parquet(path), ["path", "value"], "parameters").collect()}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there, in any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -289,7 +289,7 @@ def test_result_readers(spark, folder):
 
 
 def test_registries():
-    assert registry.ANALYSES.names() == sorted(["TrackAnalysis", "DUTAnalysis", "PadDUTAnalysis", "TimeResolution", "OscilloscopeAnalysis", "ExampleScript"])
+    assert {"TrackAnalysis", "DUTAnalysis", "PadDUTAnalysis", "TimeResolution", "OscilloscopeAnalysis", "ExampleScript"} <= set(registry.ANALYSES.names())
     assert registry.CONVERTERS.get("VMM") is registry.CONVERTERS.get("vmm3a") and registry.ALGORITHMS.names() == sorted(registry.DEFAULT_CHAIN)
     with pytest.raises(KeyError, match="known: .*TrackAnalysis"):
         registry.ANALYSES.get("nothing")
