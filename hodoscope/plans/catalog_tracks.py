@@ -248,14 +248,12 @@ def _time_sql(m: str, planes: str) -> str:
 
 @query(f"WITH {ad.HITS} " + " UNION ALL ".join(_time_sql(m, p) for m, p in METHODS.items()))
 def time_methods(spark, sf) -> DataFrame:
-    own, out = ad.hits(spark, sf), None
-    for m in METHODS:
-        one = timing.cluster_times(own, ["entry", "det"], m).where("t IS NOT NULL").select(F.lit(m).alias("method"), "entry", "det", *r6("t"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    # one scan and one shuffle for all methods
+    wide = ad.hits(spark, sf).groupBy("entry", "det").agg(*[timing.combined_time(m).alias(m) for m in METHODS])
+    return wide.unpivot(["entry", "det"], list(METHODS), "method", "t").where("t IS NOT NULL").select("method", "entry", "det", *r6("t"))
 
 
-@query(f"WITH {ad.HITS} SELECT entry, det, raw_idx FROM h WHERE (entry, det) NOT IN (SELECT (entry, det) FROM h WHERE amp > 45)")
+@query(f"WITH {ad.HITS} SELECT entry, det, raw_idx FROM h ANTI JOIN (SELECT DISTINCT entry, det FROM h WHERE amp > 45) v USING (entry, det)")
 def amplitude_veto(spark, sf) -> DataFrame:
     return timing.veto(ad.hits(spark, sf), ["entry", "det"], 45).select("entry", "det", "raw_idx")
 
