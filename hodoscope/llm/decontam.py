@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hodoscope.llm.common import bound_batches, cut, map_rows
+from hodoscope.llm.common import cut, map_batches, map_rows
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and of its question's and answer's word runs.
@@ -23,8 +26,10 @@ SCORE, OVERLAP = 0.5, 0.5
 #: Words of a passage; passages start every half of it.
 WINDOW = 128
 BLOCK = 64
-#: Characters of items in one index; more items are searched in as many further passes as that takes.
+#: Characters of items in one index; more items are dealt to as many further indexes (shards) as that takes.
 INDEX_CHARS = 8_000_000
+#: Characters of texts that a task holds to search them in one shard after the other, where there are several.
+HELD_CHARS = 64_000_000
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -187,8 +192,9 @@ class Index:
         return [(*key, *v) for key, v in sorted(best.items())]
 
 
-def indexes(items: DataFrame) -> list[Index]:
-    """Indexes of all items (item_id, text), each over INDEX_CHARS characters at most; statistics are those of all items.
+def indexes(items: DataFrame, index_chars: int = INDEX_CHARS) -> Iterator[Index]:
+    """Indexes of all items (item_id, text), one after the other, each over about index_chars characters; statistics are those
+    of all items.
 
     Items of null id or without words are left out; a repeated id counts once, with its least text.
     """
@@ -201,39 +207,69 @@ def indexes(items: DataFrame) -> list[Index]:
 
     parsed = cut(map_rows(items, split, "item_id long, text string, terms array<string>, size long"), "items")
     n, mean, chars = parsed.agg(F.count("*"), F.avg("size"), F.sum(F.length("text"))).first()
-    if not n:
-        return []
-    shards = max(1, -(-chars // INDEX_CHARS))
+    shards = max(1, -(-(chars or 0) // index_chars))
     df = parsed.select("item_id", F.explode("terms").alias("term"))
     counts = df.groupBy("term").agg(F.count("*").alias("df"))
-    out = []
+    if shards > 1:
+        counts = cut(counts, "df")
     for s in range(shards):
         mine = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s
         own = sorted((r["item_id"], r["text"]) for r in parsed.where(mine).select("item_id", "text").collect())
         known = {r["term"]: r["df"] for r in counts.join(df.where(mine).select("term").distinct(), "term").collect()}
         if own:
-            out.append(Index(own, known, n, mean))
-    return out
+            yield Index(own, known, n, mean)
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def sent(docs: DataFrame, items: DataFrame, index_chars: int) -> list[Broadcast]:
+    """The shards as broadcast files; the driver's process builds and holds one of them at a time."""
+    return [docs.sparkSession.sparkContext.broadcast(index) for index in indexes(items, index_chars)]
+
+
+def search_all(batches: Iterator[pa.RecordBatch], shards: list[Broadcast], held_chars: int = HELD_CHARS) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Slices of the batches, each with its (row, item id, score, question overlap, answer overlap) from every shard.
+
+    One scan of the texts serves all shards. Of several, a task loads one at a time, for all of the texts it holds.
+    """
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        found: list[list[tuple]] = [[] for _ in held]
+        for shard in shards:
+            index = shard.value
+            for out, piece in zip(found, held):
+                texts = piece.column(piece.schema.get_field_index("text")).to_pylist()
+                out.extend((row, index.ids[k], *rest) for row, k, *rest in index.matches(texts))
+            if len(shards) > 1:
+                del index
+                shard.__dict__.pop("_value", None)  # it is read from its file again for the next texts
+        yield from zip(held, found)
+
+    held, size = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            held.append(batch.slice(at, 256))
+            size += held[-1].nbytes
+            if len(shards) == 1 or size >= held_chars:
+                yield from flush(held)
+                held, size = [], 0
+    yield from flush(held)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every leaked item in every document.
 
     Null and empty texts hold none; repeated rows give repeated pairs; extra columns are ignored; without documents or items
     there are no rows. score is the share of the item's own BM25 score.
     """
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    out = None
-    for index in indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # INDEX_CHARS bounds it
+    shards = sent(docs, items, index_chars)
 
-        def run(cols: dict[str, list], shared=shared) -> dict[str, list]:
-            found = shared.value.matches(cols["text"])
-            return {"doc_id": [cols["doc_id"][f[0]] for f in found], "item_id": [shared.value.ids[f[1]] for f in found], "score": [f[2] for f in found], "question_overlap": [f[3] for f in found], "answer_overlap": [f[4] for f in found]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        for piece, found in search_all(batches, shards):
+            if found:
+                cols = list(zip(*found))
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(cols[0])), *(pa.array(c, k) for c, k in zip(cols[1:], kinds))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        one = map_rows(docs.select("doc_id", "text"), run, schema)
-        out = one if out is None else out.union(one)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -242,16 +278,11 @@ def op8_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that leak no item, with their columns as they were."""
-    shared = [spark.sparkContext.broadcast(i) for i in indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))]
+    shards = sent(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), INDEX_CHARS)
 
-    def keep(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                texts = piece.column(piece.schema.get_field_index("text")).to_pylist()
-                bad = {f[0] for s in shared for f in s.value.matches(texts)}
-                yield piece.filter(pa.array([i not in bad for i in range(len(texts))]))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, found in search_all(batches, shards):
+            bad = {f[0] for f in found}
+            yield piece.filter(pa.array([i not in bad for i in range(piece.num_rows)], pa.bool_()))
 
-    return bound_batches(docs).mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)
