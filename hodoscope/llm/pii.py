@@ -24,15 +24,16 @@ BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "x_email", "x_ip", "x_card", "x_phone"]
 LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(rb"[0-9][0-9]*\.[0-9]+\.[0-9]+\.[0-9]+")
+#: Begun at the start of a run of digits only and without giving digits back: where that fails, a later start in the run does.
+IP = re.compile(rb"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(rb"[0-9]")
 #: Instances that may be identifiers: number groups, and tokens with an at sign.
 NUMBER = re.compile(rb"(?<![A-Za-z0-9_])\(?[0-9][0-9().:-]*(?:\x20[0-9(][0-9().-]*)*(?![A-Za-z0-9_])")
-AT = re.compile(rb"[^\s@\"'<>()\[\],;|]+@[^\s@\"'<>()\[\],;|]+")
-#: A pattern needs so many distinct seeds and that confidence; rounds of scoring; the score of a discovered instance.
-LEAST_SEEDS, CONFIDENT, ROUNDS, FOUND = 5, 0.8, 3, 0.8
+AT = re.compile(rb"(?<![^\s@\"'<>()\[\],;|])[^\s@\"'<>()\[\],;|]++@[^\s@\"'<>()\[\],;|]++")
+#: A pattern needs so many distinct known instances and that confidence; the score of a discovered instance; an end to rounds.
+LEAST_KNOWN, CONFIDENT, FOUND, MAX_ROUNDS = 5, 0.8, 0.8, 20
 LETTER = re.compile(r"[^\W\d_]")
 NEAR = re.compile(r"\w+|[^\w\s]")
 
@@ -148,22 +149,30 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def discovered(instances: DataFrame) -> DataFrame:
-    """(kind, value) of identifiers beyond the seeds that confident patterns name. instances: kind, value, seed, patterns."""
+    """(kind, value) of identifiers beyond the seeds that confident patterns name. instances: kind, value, seed, patterns.
+
+    Each round scores patterns by the instances known so far, and instances by their patterns; what is discovered is known in
+    the next round, where it lends its own patterns the support to discover more. Rounds end when scores change no more.
+    """
     edges = cut(instances.select("kind", "value", "seed", F.explode("patterns").alias("pattern")).distinct(), "edges")
-    support = edges.groupBy("kind", "pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-    good = support.where(F.col("seeds") >= LEAST_SEEDS).select("kind", "pattern", "n", "seeds")
-    # only patterns with enough seeds ever count, and only their instances need a score
-    open_ = cut(edges.where(~F.col("seed")).select("kind", "value", "pattern").join(good, ["kind", "pattern"]), "open")
-    values = open_.select("kind", "value").distinct().withColumn("s", F.lit(0.0))
-    for round_ in range(ROUNDS):
-        gained = open_.join(values, ["kind", "value"]).groupBy("kind", "pattern").agg(F.sum("s").alias("s"), F.max("n").alias("n"), F.max("seeds").alias("seeds"))
+    patterns_ = cut(edges.groupBy("kind", "pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds")).where(F.col("n") > F.col("seeds")), "patterns")
+    # only patterns of an instance that is open, and enough instances to count, ever name one
+    open_ = cut(edges.where(~F.col("seed")).select("kind", "value", "pattern").join(patterns_.where(F.col("n") >= LEAST_KNOWN), ["kind", "pattern"]), "open")
+    values, found = None, None
+    for round_ in range(MAX_ROUNDS):
+        if values is None:
+            scored = open_.groupBy("kind", "pattern").agg(F.max("n").alias("n"), F.max("seeds").alias("seeds")).withColumns({"s": F.lit(0.0), "more": F.lit(0)})
+        else:
+            scored = open_.join(values, ["kind", "value"], "left").groupBy("kind", "pattern").agg(F.max("n").alias("n"), F.max("seeds").alias("seeds"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.count(F.when(F.col("found"), 1)).alias("more"))
         # a pattern's confidence: the share of its distinct instances that are known, with one unknown added
-        scored = gained.select("kind", "pattern", ((F.col("seeds") + F.col("s")) / (F.col("n") + 1)).alias("p")).where(F.col("p") >= CONFIDENT / 2)
+        p = ((F.col("seeds") + F.col("s")) / (F.col("n") + 1)).alias("p")
+        scored = scored.where(F.col("seeds") + F.col("more") >= LEAST_KNOWN).select("kind", "pattern", p).where(F.col("p") >= CONFIDENT / 2)
         named = open_.join(scored, ["kind", "pattern"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999)))))).alias("s"), F.max("p").alias("best"))
-        values = cut(named, f"scores{round_}")
-        if round_ + 1 < ROUNDS:
-            values = values.select("kind", "value", "s")
-    return values.where((F.col("s") >= FOUND) & (F.col("best") >= CONFIDENT)).select("kind", "value")
+        values = cut(named.withColumn("found", (F.col("s") >= FOUND) & (F.col("best") >= CONFIDENT)), f"scores{round_}")
+        before, found = found, values.agg(F.count(F.when(F.col("found"), 1)), F.round(F.sum("s"), 3)).first()
+        if found == before:
+            break
+    return values.where("found").select("kind", "value")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
