@@ -25,6 +25,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 CHECKED = re.compile(rb"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+JWT_RUN = re.compile(rb"[A-Za-z0-9_-]+")
 PEM = re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "api_key": "assign", "apikey": "assign", "akia": "access", "ghp_": "forge", "gho_": "forge", "ghu_": "forge", "ghs_": "forge", "ghr_": "forge", "npm_": "registry", "eyj": "jwt", "-----begin ": "pem"}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -87,7 +88,11 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     taken = dict.fromkeys(KINDS, 0)
     hits = [(end + 1 - size, kind) for end, (kind, size) in once("secret keywords", _automaton).iter(buf.lower().decode("latin-1"))]
     for at, kind in sorted(hits):
-        if at < taken[kind] or not (m := RULES[kind].match(buf, at)):
+        if at < taken[kind]:
+            continue
+        if not (m := RULES[kind].match(buf, at)):
+            if kind == "jwt":  # what follows this run decides for every start in it
+                taken[kind] = JWT_RUN.match(buf, at).end()
             continue
         taken[kind] = m.end()
         if kind == "assign":
