@@ -4,7 +4,7 @@ A word's features are its character n-grams with marked ends (so its affixes too
 transitions between the languages of neighbouring words are learned. Forward-backward gives each word a distribution over
 languages, also where a text switches; a text's language is the one with the largest expected share of its words.
 Training texts are spliced from segments of labelled documents, so that switches occur and their cost can be learned.
-Only the fit uses a bounded sample (about TRAIN_ROWS rows a language, each of at most TRAIN_CHARS characters).
+Only the fit uses a bounded sample (at most TRAIN_ROWS rows a language, each of at most TRAIN_CHARS characters).
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hodoscope.llm.common import cache, map_rows
+from hodoscope.llm.common import map_rows, once
 
-TRAIN_ROWS, TRAIN_CHARS = 400, 20_000
+TRAIN_ROWS, TRAIN_CHARS = 800, 20_000
 SPACE = 1 << 17
 GRAMS = (1, 2, 3, 4)
 #: Words of a training sequence, and of a segment that inference treats side by side with others.
@@ -27,7 +27,11 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of word characters but decimals and _, if they hold a letter (a superscript or a fraction is none)."""
+    if not text:
+        return []
+    own = WORD.findall(text.lower())
+    return own if text.isascii() else [w for w in own if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def word_features(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +77,13 @@ class Tagger:
 
     def shares(self, texts: list[list[str]]) -> np.ndarray:
         """For each text the mean over its words of their distribution over languages; zeros for a text without words."""
+        return self.read(texts)[0]
+
+    def read(self, texts: list[list[str]]) -> tuple[np.ndarray, list[list[tuple[str, int, int]]]]:
+        """The texts' shares, and their runs of words of one language: (language, first word, word after the last)."""
         if not self.names:
-            return np.zeros((len(texts), 0))
-        memo = cache().setdefault("langid memo", {})
+            return np.zeros((len(texts), 0)), [[] for _ in texts]
+        memo = once(("langid memo", id(self.weights)), dict)
         if memo.get("of") is not self.weights or len(memo["rows"]) > MEMO_WORDS:
             memo.clear()
             memo |= {"of": self.weights, "rows": {}, "table": np.zeros((0, len(self.names)), np.float32)}
@@ -90,7 +98,14 @@ class Tagger:
         marginals = posteriors(memo["table"][flat], size, self.moves)
         out = np.zeros((len(texts), len(self.names)))
         np.add.at(out, np.repeat(np.arange(len(texts)), size), marginals)
-        return out / np.maximum(1, size)[:, None]
+        label, own = marginals.argmax(1), np.repeat(np.arange(len(texts)), size)
+        runs: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        if len(label):
+            at = np.concatenate([[0], np.flatnonzero((label[1:] != label[:-1]) | (own[1:] != own[:-1])) + 1, [len(label)]])
+            first = np.cumsum(size) - size
+            for a, b, i, k in zip(at.tolist(), at[1:].tolist(), own[at[:-1]].tolist(), label[at[:-1]].tolist()):
+                runs[i].append((self.names[k], a - int(first[i]), b - int(first[i])))
+        return out / np.maximum(1, size)[:, None], runs
 
 
 def posteriors(scores: np.ndarray, size: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -220,40 +235,45 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Tagger:
-    """Fit on about `rows` documents a language, drawn by a hash of the text among those that are not held out."""
+    """Fit on at most `rows` documents a language, drawn by a hash of doc_id among those that are not held out.
+
+    Three quarters of `rows` are drawn on average; what exceeds `rows` by chance is left out by doc_id.
+    """
     usable = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.length("text").between(1, TRAIN_CHARS))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([], [])
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 1.5 * rows / n))])
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 0.75 * rows / n))])
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
     drawn = sorted((r["lang"], r["doc_id"], r["text"]) for r in usable.where(draw).select("doc_id", "lang", "text").toLocalIterator())
     texts, langs, n = [], [], {}
     for lang, _, text in drawn:
         own = words(text)
         n[lang] = n.get(lang, 0) + bool(own)
-        if own and n[lang] <= 2 * rows:
+        if own and n[lang] <= rows:
             texts.append(own)
             langs.append(lang)
     return fit(texts, langs)
 
 
 def identify(docs: DataFrame, tagger: Tagger) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of docs; only the text is read for a prediction.
+    """doc_id, held_out, lang_pred, score, runs for every row of docs; only the text is read for a prediction.
 
-    A null text or one without a letter is `und` with score 0. Repeated rows are each predicted; extra columns are ignored.
+    A null text or one without a letter is `und` with score 0 and without runs. runs: language:first:end of neighbouring
+    words of one language (numbers of the text's words, the end exclusive), comma-joined; more than one where the text
+    switches. Repeated rows are each predicted; extra columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)  # SPACE x languages weights
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         own = [words(t) for t in cols["text"]]
         t = shared.value
-        share = t.shares(own)
+        share, runs = t.read(own)
         known = [bool(w) and bool(t.names) for w in own]
         best = share.argmax(1) if t.names else [0] * len(own)
-        return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "lang_pred": [t.names[b] if k else "und" for b, k in zip(best, known)], "score": [min(1.0, float(share[i, b])) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))]}
+        return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "lang_pred": [t.names[b] if k else "und" for b, k in zip(best, known)], "score": [min(1.0, float(share[i, b])) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))], "runs": [",".join(f"{n}:{a}:{e}" for n, a, e in r) for r in runs]}
 
-    return map_rows(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_rows(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double, runs string")
 
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:
