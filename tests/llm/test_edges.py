@@ -87,9 +87,61 @@ def test_neardup_stage_keeps_one_of_repeated_rows_and_null_ids(spark, folder):
 
 
 def test_topk_odd_vectors(spark):
-    data = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (6, [1.0, 2.0]), (7, [0.5, 1.0]), (100, [-1.0, 0.25]), (None, [1.0, 1.0]), (6, [1.0, 2.0])]
+    data = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (6, [1.0, 2.0]), (7, [0.5, 1.0]), (100, [-1.0, 0.25]), (None, [1.0, 2.0]), (6, [1.0, 2.0])]
     v = topk.quantised(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
-    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v.where("id % 100 = 0"), v, 2).orderBy("query_id", "rank").collect()]
-    # ties go to the smaller id; vectors that are null or hold null or non-finite components take no part
-    assert got == [(0, 1, 6, 1024 * 1024 * 5), (0, 2, 7, 1024 * 512 + 2048 * 1024), (100, 1, 7, -512 * 1024 + 256 * 1024), (100, 2, 0, -1024 * 1024 + 256 * 2048)]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v.where("id % 100 = 0"), v, 4).orderBy("query_id", "rank").collect()]
+    # ties go to the smaller id, null last; rows of one id take part each; vectors that are null or hold null or non-finite
+    # components take no part; an empty vector scores 0
+    five = 1024 * 1024 * 5
+    assert got[:4] == [(0, 1, 6, five), (0, 2, 6, five), (0, 3, None, five), (0, 4, 7, five // 2)]
+    assert got[4:] == [(100, 1, 5, 0), (100, 2, 7, -256 * 1024), (100, 3, 0, -512 * 1024), (100, 4, 6, -512 * 1024)]
+    twice = topk.top_k(v.where("id = 6"), v, 1).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in twice] == [(6, 1, 0, five)] * 2
     assert topk.top_k(v.limit(0), v.limit(0), 3).count() == 0
+
+
+def test_long_runs_are_read_once(spark):
+    """Texts on which a search that restarts within a run would take minutes."""
+    import time
+
+    began = time.time()
+    assert secrets.scan("eyJ" * 300_000 + " token=abcdef1") == [("assign", 900_001, 900_014)]
+    assert pii.read("1" * 1_000_000 + " a@b.co")[0] == [("email", 1_000_001, 1_000_007)]
+    assert pii.read("x" * 1_000_000 + " a@b.co")[0] == [("email", 1_000_001, 1_000_007)]
+    assert time.time() - began < 20
+
+
+def test_one_document_of_many_lines(spark):
+    import time
+
+    lines = [f"line {i * 7919 % 100_003} of the one long document" for i in range(100_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, lines[5] + "\n" + lines[70_000] + "!\nanother")], "doc_id long, text string")
+    began = time.time()
+    out = {r["doc_id"]: r for r in linedup.dedup_lines(docs).collect()}
+    assert time.time() - began < 120
+    assert out[1]["n_lines"] == 100_000 and out[2]["text"] == "another"
+
+
+def test_no_language_without_a_letter(spark):
+    docs = spark.createDataFrame([(1, "²½ ①", None), (2, "12 _ !", None), (3, "hello there", "en"), (4, "hello world²", "en"), (6, "bonjour bonjour", "fr"), (7, "bonjour", "fr"), (8, "bonjour", "fr"), (9, "bonjour", "fr")], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert [out[i]["lang_pred"] for i in (1, 2)] == ["und", "und"] and out[1]["score"] == 0 and out[1]["runs"] == ""
+    assert out[6]["lang_pred"] == "fr" and out[6]["runs"] == "fr:0:2"
+
+
+def test_packing_stage_and_shards_on_odd_rows(spark, folder):
+    out = packing.pack_stage(spark, rows(spark), folder)
+    assert out.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > len(TEXTS)
+    assert packing.pack_stage(spark, rows(spark).limit(0), folder).count() == 0
+    own = [(i, f"what is the name of river number {i} in the far valley. the answer is river{i} here") for i in range(10, 30)]
+    docs = spark.createDataFrame([(i, f"word {t} word", "x") for i, t in own] + [(50, None, None)], "doc_id long, text string, item_id string")
+    found = lambda *chars: sorted((r[0], r[1], *(round(v, 9) for v in r[2:])) for r in decontam.contaminated(docs, items(spark, own), *chars).collect())
+    one, many = found(), found(300)
+    assert one == many and {r[:2] for r in one} >= {(i, i) for i in range(10, 30)}
+    assert decontam.contaminated(docs.limit(0), items(spark, own), 300).count() == 0
+
+
+def test_repeated_labelled_documents_count_once(spark):
+    docs = spark.createDataFrame([(1, "good words here"), *[(2, f"bad words {i}") for i in range(40)]], "doc_id long, text string")
+    chain = toxicity.train(docs, labels(spark, 3))
+    assert toxicity.score(docs, chain).count() == 41

@@ -23,15 +23,16 @@ def within_one(a, b):
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
-def test_lines_against_all_pairs(spark):
+@pytest.mark.parametrize("least, chars", [(1, (1, 12)), (1, (18, 60)), (20, (18, 60))])
+def test_lines_against_all_pairs(spark, least, chars):
     rng, rows = random.Random(5), []
-    base = ["".join(rng.choice("abcdé xyz") for _ in range(rng.randint(18, 60))) for _ in range(40)]
+    base = ["".join(rng.choice("abcdé xyz") for _ in range(rng.randint(*chars))) for _ in range(40)]
     for i in range(150):
         lines = []
         for _ in range(rng.randint(0, 6)):
             s = rng.choice(base)
             for _ in range(rng.choice([0, 0, 1, 1, 2])):
-                p, o = rng.randrange(len(s) + 1), rng.randrange(3)
+                p, o = rng.randrange(len(s) + 1), rng.randrange(3)  # an insertion, a substitution or a deletion
                 s = s[:p] + (rng.choice("abq") if o else "") + s[p + (o != 1) :]
             lines.append(s)
         rows.append((i, "\n".join(lines)))
@@ -41,11 +42,11 @@ def test_lines_against_all_pairs(spark):
         if s in first:
             continue
         first[s] = (d, k)
-        if not (len(s) >= 20 and any(within_one(s, x) for x in before)):
+        if not (len(s) >= least and any(within_one(s, x) for x in before)):
             kept[d].append(k)
-        if len(s) >= 20:
+        if len(s) >= least:
             before.append(s)
-    out = {r["doc_id"]: r for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()}
     for d, t in rows:
         assert out[d]["text"] == "\n".join(s for k, s in enumerate(t.split("\n")) if not s.strip() or k in kept[d])
     assert sum(r["n_near"] for r in out.values()) > 50
@@ -94,7 +95,7 @@ def test_code_switched_words():
 
 # --- secrets and personal data -------------------------------------------------------------------------------------------
 
-ASSIGN = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")).replace("_?", "_?") + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+ASSIGN = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
 
 def test_secret_base_spans():
@@ -145,6 +146,38 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert out[102]["n_found"] == 0 and all(out[i]["n_phone"] == 1 for i in range(30))
 
 
+def test_discovered_identifiers_induce_patterns(spark):
+    """Numbers that the seeds' pattern names stand in another context too; that one names further numbers, in a later round."""
+    number = lambda i: f"555 123 {4000 + i}"
+    rows = [(i, f"zu {i} please call me on +1 555 {100 + i} {2000 + i} today") for i in range(30)]
+    rows += [(100 + i, f"oh please call me on {number(i)} today ok and later ring us at {number(i)} always so") for i in range(20)]
+    rows += [(200, f"or ring us at {number(99)} always so"), (201, f"lot {number(98)} is sold")]
+    out = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[200]["n_found"] == 1 and out[100]["n_found"] == 2 and out[201]["n_found"] == 0
+
+
+def test_discovery_against_plain_loops(spark):
+    rng = random.Random(12)
+    edges = {("email", rng.randrange(60), f"p{rng.randrange(14)}") for _ in range(260)}
+    seeds = {v for _, v, _ in edges if v < 30}
+    data = [("email", v, v in seeds, [p]) for _, v, p in edges]
+    got = {r["value"] for r in pii.discovered(spark.createDataFrame(data, "kind string, value long, seed boolean, patterns array<string>")).collect()}
+    names = collections.defaultdict(set)
+    for _, v, p in edges:
+        names[p].add(v)
+    s, found = {}, set()
+    for _ in range(40):
+        conf = {}
+        for p, own in names.items():
+            known = sum(v in seeds for v in own)
+            c = (known + sum(s.get(v, 0) for v in own)) / (len(own) + 1)
+            if known + len(own & found) >= pii.LEAST_KNOWN and c >= pii.CONFIDENT / 2 and any(v not in seeds for v in own):
+                conf[p] = c
+        s = {v: 1 - np.prod([1 - min(0.999, conf[p]) for p in conf if v in names[p]]) for v in {v for _, v, _ in edges} - seeds if any(v in names[p] for p in conf)}
+        found = {v for v in s if s[v] >= pii.FOUND and max(conf[p] for p in conf if v in names[p]) >= pii.CONFIDENT}
+    assert got == found
+
+
 # --- near duplicates -----------------------------------------------------------------------------------------------------
 
 
@@ -182,8 +215,8 @@ def test_components_against_all_pairs(spark):
     assert all(out[i]["kept"] == (root(i) == i) for i in range(len(rows)))
 
 
-def test_large_groups_take_the_grid(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 16)
+@pytest.mark.parametrize("sizes", [(256, 64, 256, 64), (16, 16, 8, 64), (16, 8, 8, 2)])
+def test_large_groups_in_chunks_blocks_and_windows(spark, sizes):
     rng, rows = random.Random(9), []
     base = [f"w{i}" for i in range(100)]
     for i in range(150):  # a hub and spokes, most of which link with the hub only, some with other spokes only
@@ -191,7 +224,7 @@ def test_large_groups_take_the_grid(spark, monkeypatch):
         for p in rng.sample(range(100), 0 if i == 0 else rng.randint(1, 3)):
             own[p] = f"x{rng.randint(0, 3)}"
         rows.append((i, " ".join(own)))
-    out = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), *sizes).collect()}
     sets = [set(neardup.shingle_set(t).tolist()) for _, t in rows]
     up = list(range(150))
     for _ in range(150):
@@ -204,6 +237,27 @@ def test_large_groups_take_the_grid(spark, monkeypatch):
     assert [out[i] for i in range(150)] == up
 
 
+def test_window_neighbours_are_those_of_the_sorted_order(spark):
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 3, (60, neardup.VALUES)).astype(np.uint32)  # few values, so that prefixes are shared
+    data = [(i, i, i, 1, v.astype(">u4").tobytes(), v.astype(np.uint8).tobytes()) for i, v in enumerate(values)]
+    ranked = neardup.forest(spark.createDataFrame(data, "id long, s1 long, s2 long, n_shingles long, sig binary, agree binary").repartition(5))
+    got = [(r["tree"], r["id"]) for r in ranked.orderBy("rank").collect()]
+    want = []
+    for t in range(neardup.TREES):
+        order = sorted((tuple(np.roll(v, -4 * t)[: neardup.DEPTH].tolist()), i) for i, v in enumerate(values))
+        heads = collections.Counter(o[: neardup.LEAST_DEPTH] for o, _ in order)
+        want += [(t, i) for o, i in order if heads[o[: neardup.LEAST_DEPTH]] > 1]
+    assert got == want and [r["rank"] for r in ranked.orderBy("rank").collect()] == list(range(len(want)))
+
+
+def test_one_document_of_several_texts_joins_their_groups(spark):
+    a, b = (" ".join(f"w{k}" for k in range(s, s + 40)) for s in (0, 100))
+    rows = [(7, a), (7, b), (3, b), (9, a + " x"), (9, ""), (4, "q r s t u v")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == [(3, 36, 3), (4, 2, 4), (7, 36, 3), (7, 36, 3), (9, 0, 9), (9, 37, 3)]
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (7, 7)]
     got = {r["id"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -376,15 +430,29 @@ def test_genetic_packing_beats_best_fit():
     sizes = [rng.randint(200, 900) for _ in range(300)]
     plain = packing.Bins(sizes, 2048)
     plain.best_fit(list(range(300)))
-    best = packing.evolve(sizes, 2048, 3, [], 6, 40)
+    island = packing.Evolution(sizes, 2048, 3)
+    begun = island.random_grouping()
+    best = island.run([], 6, 60)
     assert sorted(i for b in best.bins for i in b) == list(range(300)) and all(sum(sizes[i] for i in b) <= 2048 for b in best.bins)
-    assert len(best.bins) <= len(plain.bins)
+    assert len(best.bins) <= len(plain.bins) < len(begun.bins)
+    assert island.crossovers >= 1 and island.gains >= 1
     child = packing.crossover(best, plain, rng)
     assert sorted(i for b in child.bins for i in b) == list(range(300))
 
 
+def test_genetic_packing_on_lengths_of_documents():
+    """From random groupings, some 8 percent above the bound, crossovers come within one bin of it."""
+    rng = random.Random(2)
+    for seed in range(4):
+        sizes = [min(2047, int(rng.lognormvariate(6.2, 1))) + 1 for _ in range(4096)]
+        island = packing.Evolution(sizes, 2048, seed)
+        begun, best = len(island.random_grouping().bins), island.run([], 4, 40)
+        assert len(best.bins) <= island.least + 1 and begun > 1.04 * island.least
+        assert island.crossovers >= 1 and island.gains >= 1
+
+
 def test_packing_in_many_blocks(spark):
-    items = spark.range(3000).selectExpr("id AS doc_id", "id AS row_key", "0 AS piece", "0L AS start", "1 + pmod(hash(id), 1500) AS length", "0L AS ids_crc32")
+    items = spark.range(3000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1 + pmod(hash(id), 1500) AS length", "0L AS ids_crc32")
     out = packing.pack(items, block_items=256).toPandas()
     assert len(out) == 3000 and (out.groupby("sequence_id")["length"].sum() <= 2048).all()
     assert out["sequence_id"].nunique() <= 1.02 * out["length"].sum() / 2048 + 1
@@ -397,7 +465,7 @@ def test_packing_in_many_blocks(spark):
 def test_topk_against_all_pairs(spark, blocks):
     rng = np.random.default_rng(5)
     rows = [(i, [int(x) for x in rng.integers(-3, 4, 6)]) for i in range(60)]
-    v = spark.createDataFrame(rows, "id long, v array<long>")
+    v = spark.createDataFrame([(i, i, x) for i, x in rows], "id long, row long, v array<long>")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v.where("id % 10 = 0"), v, 4, *blocks).orderBy("query_id", "rank").collect()]
     want = []
     for q, a in rows:
