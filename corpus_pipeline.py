@@ -19,7 +19,7 @@ STAGES = [
     ("packing", pack_stage),
 ]
 
-#: SQL can't express the stages; tests hold them against brute force.
+#: SQL can't express the stages; tests/llm/test_pipeline.py holds run() against the stages done one by one without Spark.
 ORACLE_SQL = None
 
 
