@@ -15,6 +15,7 @@ _OPS = {
     "op8_decontamination": ("decontam", "op8_decontamination"),
     "op9_bestfit_packing": ("packing", "op9_bestfit_packing"),
     "op10_exact_topk": ("topk", "op10_exact_topk"),
+    "op12_merkle_manifest": ("merkle", "op12_merkle_manifest"),
 }
 
 
