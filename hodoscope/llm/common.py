@@ -38,11 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there and survives lost executors."""
+    return cut_anew(df, what, None)[0]
+
+
+def cut_anew(df: DataFrame, what: str, old: str | None) -> tuple[DataFrame, str]:
+    """(df written and read again, its path); the table at `old`, from which df was made, is deleted then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hodoscope-{uuid.uuid4().hex}-{what}"
     df.write.parquet(path)
     _drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if old:
+        _delete(spark, old)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _drop_at_exit(spark: SparkSession, path: str) -> None:
@@ -55,8 +67,7 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
 def _drop_all() -> None:
     for spark, path in cache().get("paths", []):
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at exit; the shared folder is then cleared by its owner
             return
 

@@ -15,7 +15,9 @@ _OPS = {
     "op8_decontamination": ("decontam", "op8_decontamination"),
     "op9_bestfit_packing": ("packing", "op9_bestfit_packing"),
     "op10_exact_topk": ("topk", "op10_exact_topk"),
+    "op11_vector_codes": ("veccodes", "op11_vector_codes"),
     "op12_merkle_manifest": ("merkle", "op12_merkle_manifest"),
+    "op13_chat_format": ("chat", "op13_chat_format"),
 }
 
 
