@@ -94,6 +94,13 @@ class Index:
         self.item = np.array([k for p in flat for k, _ in p], np.int64)
         self.impact = np.array([v for p in flat for _, v in p])
 
+    @classmethod
+    def of(cls, fields: dict) -> Index:
+        """The index that has these fields."""
+        own = cls.__new__(cls)
+        own.__dict__.update(fields)
+        return own
+
     def search(self, terms: set[str], least: float) -> list[tuple[int, float]]:
         """All (item, score) with score >= least, by block-max WAND over the distinct terms of a passage."""
         cursors = [[self.postings[t][0], self.postings[t][1], self.blocks[t], self.most[t], 0] for t in sorted(terms) if t in self.postings]
@@ -196,9 +203,9 @@ def indexes(items: DataFrame, index_chars: int = INDEX_CHARS) -> Iterator[Index]
     """Indexes of all items (item_id, text), one after the other, each over about index_chars characters; statistics are those
     of all items.
 
-    Items of null id or without words are left out; a repeated id counts once, with its least text.
+    Items of null id or without words are left out; each different text of a repeated id is indexed, as an item of that id.
     """
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
+    items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
 
     def split(cols: dict[str, list]) -> dict[str, list]:
         own = [words(t) for t in cols["text"]]
@@ -221,8 +228,11 @@ def indexes(items: DataFrame, index_chars: int = INDEX_CHARS) -> Iterator[Index]
 
 
 def sent(docs: DataFrame, items: DataFrame, index_chars: int) -> list[Broadcast]:
-    """The shards as broadcast files; the driver's process builds and holds one of them at a time."""
-    return [docs.sparkSession.sparkContext.broadcast(index) for index in indexes(items, index_chars)]
+    """The shards as broadcast files; the driver's process builds and holds one of them at a time.
+
+    They are plain lists and arrays: executors need not know the class to load them.
+    """
+    return [docs.sparkSession.sparkContext.broadcast(vars(index)) for index in indexes(items, index_chars)]
 
 
 def search_all(batches: Iterator[pa.RecordBatch], shards: list[Broadcast], held_chars: int = HELD_CHARS) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
@@ -232,16 +242,17 @@ def search_all(batches: Iterator[pa.RecordBatch], shards: list[Broadcast], held_
     """
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
-        found: list[list[tuple]] = [[] for _ in held]
+        found: list[dict[tuple, tuple]] = [{} for _ in held]
         for shard in shards:
-            index = shard.value
+            index = Index.of(shard.value)
             for out, piece in zip(found, held):
                 texts = piece.column(piece.schema.get_field_index("text")).to_pylist()
-                out.extend((row, index.ids[k], *rest) for row, k, *rest in index.matches(texts))
+                for row, k, *rest in index.matches(texts):  # of several texts of an item, the best
+                    out[row, index.ids[k]] = max(tuple(rest), out.get((row, index.ids[k]), tuple(rest)))
             if len(shards) > 1:
                 del index
                 shard.__dict__.pop("_value", None)  # it is read from its file again for the next texts
-        yield from zip(held, found)
+        yield from zip(held, ([(*key, *v) for key, v in out.items()] for out in found))
 
     held, size = [], 0
     for batch in batches:

@@ -237,7 +237,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Tagger:
     """Fit on at most `rows` documents a language, drawn by a hash of doc_id among those that are not held out.
 
-    Three quarters of `rows` are drawn on average; what exceeds `rows` by chance is left out by doc_id.
+    Three quarters of `rows` are drawn on average; what exceeds `rows` by chance is left out by doc_id. Of rows
+    that share language and doc_id only the least text is drawn.
     """
     usable = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.length("text").between(1, TRAIN_CHARS))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -245,7 +246,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Tagger:
         return fit([], [])
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 0.75 * rows / n))])
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
-    drawn = sorted((r["lang"], r["doc_id"], r["text"]) for r in usable.where(draw).select("doc_id", "lang", "text").toLocalIterator())
+    one = usable.where(draw).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # repeated rows of an id count once
+    drawn = sorted((r["lang"], r["doc_id"], r["text"]) for r in one.toLocalIterator())
     texts, langs, n = [], [], {}
     for lang, _, text in drawn:
         own = words(text)
@@ -263,11 +265,12 @@ def identify(docs: DataFrame, tagger: Tagger) -> DataFrame:
     words of one language (numbers of the text's words, the end exclusive), comma-joined; more than one where the text
     switches. Repeated rows are each predicted; extra columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)  # SPACE x languages weights
+    # SPACE x languages weights, as plain arrays: executors need not know the class to load them
+    shared = docs.sparkSession.sparkContext.broadcast((tagger.names, tagger.weights, tagger.moves))
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         own = [words(t) for t in cols["text"]]
-        t = shared.value
+        t = Tagger(*shared.value)
         share, runs = t.read(own)
         known = [bool(w) and bool(t.names) for w in own]
         best = share.argmax(1) if t.names else [0] * len(own)

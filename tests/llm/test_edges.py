@@ -1,5 +1,6 @@
 """Every operator and stage on nulls, empty and long texts, repeated rows, clashing columns, and empty tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,24 @@ def test_repeated_labelled_documents_count_once(spark):
     docs = spark.createDataFrame([(1, "good words here"), *[(2, f"bad words {i}") for i in range(40)]], "doc_id long, text string")
     chain = toxicity.train(docs, labels(spark, 3))
     assert toxicity.score(docs, chain).count() == 41
+
+
+def test_decontamination_indexes_every_text_of_an_item(spark):
+    from hodoscope.llm.decontam import contaminated
+
+    rng = np.random.default_rng(4)
+    said = [" ".join(f"w{x}" for x in rng.integers(0, 9000, 40)) + "? " + " ".join(f"a{x}" for x in rng.integers(0, 9000, 6)) for _ in range(4)]
+    items = spark.createDataFrame([(1, said[0]), (1, said[1]), (1, ""), (1, None), (1, said[0]), (2, said[2])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"start {t} end") for i, t in enumerate(said)] + [(9, f"{said[0]} and {said[1]}")], "doc_id long, text string")
+    found = [(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()]
+    assert sorted(found) == [(0, 1), (1, 1), (2, 2), (9, 1)]
+
+
+def test_language_sample_takes_one_row_of_an_id(spark):
+    from hodoscope.llm.langid import held_out, train
+
+    ids = [r.i for r in spark.range(200).withColumnRenamed("id", "i").where(~held_out(F.col("i"))).collect()]
+    rows = [(i, f"alpha beta {i}" if i % 2 else f"uno dos {i}", "en" if i % 2 else "es") for i in ids]
+    more = rows + [(ids[0], f"zulu {k}", "en") for k in range(500)]
+    t = train(spark.createDataFrame(more, "doc_id long, text string, lang string"), rows=50)
+    assert t.names == ["en", "es"]
