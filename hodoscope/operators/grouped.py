@@ -10,27 +10,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 
-def map_whole_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: StructType | str, order: list[str] | None = None) -> DataFrame:
+def map_whole_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: StructType | str, order: list[str] | None = None, least_rows: int = 0) -> DataFrame:
     """fn(frame, group numbers) on frames that hold only whole groups of keys, sorted by keys and order.
 
-    A group must fit in memory; a thousand small ones cost one call.
+    A group must fit in memory; a thousand small ones cost one call. Groups are gathered until they have least_rows rows.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        rows = 0
         for frame in frames:
             if not len(frame):
                 continue
             last = frame[keys].iloc[-1]
             same = (frame[keys] == last).all(axis=1).to_numpy()
             start = len(frame) - int(np.argmax(~same[::-1])) if not same.all() else 0
-            if start == 0 and held and not (held[-1][keys].iloc[-1] == last).all():
-                yield done(pd.concat(held))
-                held = []
-            elif start > 0:
+            ends = start > 0 or (held and not (held[-1][keys].iloc[-1] == last).all())  # a group ends at start
+            if ends and rows + start >= least_rows:
                 yield done(pd.concat([*held, frame.iloc[:start]]))
-                held = []
-            held.append(frame.iloc[start:])
+                held, rows, frame = [], 0, frame.iloc[start:]
+            held.append(frame)
+            rows += len(frame)
         if held:
             yield done(pd.concat(held))
 

@@ -12,12 +12,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def hits(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem as channel hits: 16 orders an event, 4 detectors (3 is the DUT) of 2 planes with 64 strips."""
+def hits(spark: SparkSession, sf: str, bits: int = 4) -> DataFrame:
+    """lineitem as channel hits: 2**bits orders an event, 4 detectors (3 is the DUT) of 2 planes with 64 strips."""
     li = table(spark, sf, "lineitem")
-    w = Window.partitionBy(F.shiftright("l_orderkey", 4)).orderBy("l_orderkey", *ROW.split(", "))
+    w = Window.partitionBy(F.shiftright("l_orderkey", bits)).orderBy("l_orderkey", *ROW.split(", "))
     return li.select(
-        F.shiftright("l_orderkey", 4).alias("entry"), (F.col("l_suppkey") % 4).cast("int").alias("det"), (F.col("l_linenumber") % 2).cast("int").alias("plane"),
+        F.shiftright("l_orderkey", bits).alias("entry"), (F.col("l_suppkey") % 4).cast("int").alias("det"), (F.col("l_linenumber") % 2).cast("int").alias("plane"),
         (F.col("l_partkey") % 64).cast("int").alias("id0"), F.lit(-1).alias("id1"), (F.row_number().over(w) - 1).cast("int").alias("raw_idx"),
         F.col("l_quantity").alias("amp"), F.round(F.col("l_extendedprice")).alias("charge"), F.round(F.col("l_discount") * 100).alias("time"), (F.round(F.col("l_tax") * 100) + 1).alias("time_error"),
         F.lit(False).alias("is_saturated"), (F.col("l_quantity") >= 5).alias("is_valid"),
@@ -31,9 +31,14 @@ HITS = f"""h AS (SELECT l_orderkey >> 4 AS entry, CAST(l_suppkey % 4 AS INTEGER)
   l_quantity >= 5 AS is_valid FROM lineitem)"""
 
 
-def pad_hits(spark: SparkSession, sf: str) -> DataFrame:
+def by_order(sql: str) -> str:
+    """The same SQL where each order is an event, of hits and of tracks."""
+    return sql.replace("l_orderkey >> 4", "l_orderkey").replace("o_orderkey >> 1", "o_orderkey").replace("CAST(o_orderkey % 2 AS INTEGER)", "CAST(0 AS INTEGER)")
+
+
+def pad_hits(spark: SparkSession, sf: str, bits: int = 4) -> DataFrame:
     """lineitem as pad hits: columns and rows of an 8 x 8 grid."""
-    own = hits(spark, sf)
+    own = hits(spark, sf, bits)
     return own.select("entry", F.lit(5).alias("det"), F.lit(0).alias("plane"), (F.col("id0") % 8).alias("id0"), F.floor(F.col("id0") / 8).cast("int").alias("id1"), "raw_idx", "amp", "charge", "time", "time_error", "is_saturated", (F.col("amp") >= 40).alias("is_valid"))
 
 
@@ -83,20 +88,20 @@ SETUP = [
 ]
 
 
-def points(spark: SparkSession, sf: str) -> DataFrame:
+def points(spark: SparkSession, sf: str, bits: int = 4) -> DataFrame:
     """Global points of three planes: hits of detectors 0..2, z = 100 det, x and y from strip and charge."""
-    own = hits(spark, sf).where("det < 3 AND is_valid")
+    own = hits(spark, sf, bits).where("det < 3 AND is_valid")
     return own.select("entry", "det", "raw_idx", (F.col("id0") * 0.4).alias("gx"), (F.pmod("charge", F.lit(97)) * 0.4).alias("gy"), (F.col("det") * 100.0).alias("gz"))
 
 
 POINTS = HITS + """, g AS (SELECT entry, det, raw_idx, id0 * 0.4::DOUBLE AS gx, CAST(CAST(charge AS BIGINT) % 97 AS DOUBLE) * 0.4::DOUBLE AS gy, det * 100.0::DOUBLE AS gz FROM h WHERE det < 3 AND is_valid)"""
 
 
-def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """orders as tracks: slopes and intercepts from keys; one track an order, events of 2 orders."""
+def lines(spark: SparkSession, sf: str, bits: int = 1) -> DataFrame:
+    """orders as tracks: slopes and intercepts from keys; one track an order, events of 2**bits orders."""
     o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
-    return o.select(F.shiftright(k, 1).alias("entry"), (k % 2).cast("int").alias("track_index"), k.alias("raw_event_id"), ((k % 21 - 10) / 1000).alias("kx"), ((k % 17 - 8) / 1000).alias("ky"), (k % 50 / 2).cast("double").alias("bx"), (k % 46 / 2).cast("double").alias("by"), (k % 9).cast("double").alias("chi2"))
+    return o.select(F.shiftright(k, bits).alias("entry"), (k % 2**bits).cast("int").alias("track_index"), k.alias("raw_event_id"), ((k % 21 - 10) / 1000).alias("kx"), ((k % 17 - 8) / 1000).alias("ky"), (k % 50 / 2).cast("double").alias("bx"), (k % 46 / 2).cast("double").alias("by"), (k % 9).cast("double").alias("chi2"))
 
 
 LINES = """t AS (SELECT o_orderkey >> 1 AS entry, CAST(o_orderkey % 2 AS INTEGER) AS track_index, o_orderkey AS raw_event_id, (o_orderkey % 21 - 10) / 1000.0::DOUBLE AS kx,

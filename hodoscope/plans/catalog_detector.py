@@ -154,8 +154,8 @@ CLUSTER = """SELECT entry, det, plane, CAST(row_number() OVER (PARTITION BY entr
 SHOW = ["entry", "det", "plane", "cluster_idx", "size", "range", "charge", "max_amp", "time"]
 
 
-def _clusters(spark, sf, c: ClusterConfig = GAP, p: PositionConfig = PLAIN) -> DataFrame:
-    return clusters.build_clusters(clusters.strip_groups(clusters.ordered_hits(ad.hits(spark, sf)), c), c, p)
+def _clusters(spark, sf, c: ClusterConfig = GAP, p: PositionConfig = PLAIN, bits: int = 4) -> DataFrame:
+    return clusters.build_clusters(clusters.strip_groups(clusters.ordered_hits(ad.hits(spark, sf, bits)), c), c, p)
 
 
 @query(f"WITH {ISLANDS} {CLUSTER.format(w='amp')}")
@@ -181,10 +181,10 @@ def strip_islands_timewindow(spark, sf) -> DataFrame:
     return _clusters(spark, sf, TIMED).select(*SHOW, *r6("centroid", "pos"))
 
 
-def _pad_clusters(spark, sf, connectivity: int = 4) -> DataFrame:
+def _pad_clusters(spark, sf, connectivity: int = 4, bits: int = 4) -> DataFrame:
     c = ClusterConfig(max_cluster_size=64, connectivity=connectivity)
     dets = geometry.detectors(spark, ad.SETUP).select("det", "pad_rows", "pad_columns", "pad_pitch_x", "pad_pitch_y")
-    own = clusters.ordered_hits(ad.pad_hits(spark, sf)).join(F.broadcast(dets), "det")
+    own = clusters.ordered_hits(ad.pad_hits(spark, sf, bits)).join(F.broadcast(dets), "det")
     return clusters.build_clusters(clusters.pad_groups(own, c), c, PLAIN, pads=True)
 
 
@@ -332,9 +332,9 @@ def active_area(spark, sf) -> DataFrame:
 
 @query(f"""WITH {ad.LINES}, q AS (SELECT entry, track_index, kx * 150 + bx AS x, ky * 150 + "by" AS y FROM t)
 SELECT entry, track_index, (x >= -1.5 AND x < 22.5 AND y >= -1.5 AND y < 22.5) AS active,
-  (x + 1.5 >= 0 AND x + 1.5 < 24 AND abs((x + 1.5) - 3 * floor((x + 1.5) / 3) - 1.5) <= 1.4 AND y + 1.5 >= 0 AND y + 1.5 < 24 AND abs((y + 1.5) - 3 * floor((y + 1.5) / 3) - 1.5) <= 1.4) AS on_pad FROM q WHERE track_index = 0""")
+  (x + 1.5 >= 0 AND x + 1.5 < 24 AND abs((x + 1.5) - 3 * floor((x + 1.5) / 3) - 1.5) <= 1.4 AND y + 1.5 >= 0 AND y + 1.5 < 24 AND abs((y + 1.5) - 3 * floor((y + 1.5) / 3) - 1.5) <= 1.4) AS on_pad FROM q""")
 def pad_containment(spark, sf) -> DataFrame:
-    own = geometry.predict(ad.lines(spark, sf).where("track_index = 0"), geometry.detectors(spark, [ad.SETUP[4]]))
+    own = geometry.predict(ad.lines(spark, sf), geometry.detectors(spark, [ad.SETUP[4]]))
     x, y = F.col("pred_x"), F.col("pred_y")
     return own.select("entry", "track_index", geometry.active_area(x, y, None).alias("active"), geometry.in_pad(x, y).alias("on_pad"))
 

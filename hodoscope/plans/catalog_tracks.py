@@ -69,9 +69,9 @@ def availability(spark, sf) -> DataFrame:
     return tracks.availability(own.where("amp > 35").withColumns({"has_x": F.col("plane") == 0, "has_y": F.col("plane") == 1}), own)
 
 
-def _searchable(spark, sf) -> DataFrame:
+def _searchable(spark, sf, bits: int = 4) -> DataFrame:
     """Local hits for the search: all valid tracker hits, with coordinates of the plain three-plane set-up."""
-    return ad.points(spark, sf).withColumns({"x": F.col("gx"), "y": F.col("gy"), "hit_idx": F.col("raw_idx")})
+    return ad.points(spark, sf, bits).withColumns({"x": F.col("gx"), "y": F.col("gy"), "hit_idx": F.col("raw_idx")})
 
 
 def _trackers(spark) -> DataFrame:
@@ -85,11 +85,30 @@ def track_search(spark, sf) -> DataFrame:
     return found.withColumn("hits", F.to_json("hits"))
 
 
+# every order its own event: so few hits that SQL can try all sets of tracks
+SEEDS = f"""{ad.by_order(ad.POINTS)}, ab AS (SELECT a.entry, a.raw_idx AS a, b.raw_idx AS b, a.gx AS ax, a.gy AS ay, b.gx AS bx, b.gy AS byy FROM g a JOIN g b ON a.entry = b.entry AND a.det = 0 AND b.det = 2),
+near AS (SELECT ab.*, m.raw_idx AS m, m.gx AS mx, m.gy AS my, ((m.gx - (ax + bx) / 2) / 2) ^ 2 + ((m.gy - (ay + byy) / 2) / 1.9::DOUBLE) ^ 2 AS d2 FROM ab JOIN g m ON m.entry = ab.entry AND m.det = 1),
+mid AS (SELECT * FROM near WHERE d2 <= 9 QUALIFY row_number() OVER (PARTITION BY entry, a, b ORDER BY d2, m) <= 3),
+fit AS (SELECT *, (bx - ax) / 200 AS kx, (byy - ay) / 200 AS ky, (ax + mx + bx) / 3 - (bx - ax) / 2 AS x0, (ay + my + byy) / 3 - (byy - ay) / 2 AS y0 FROM mid),
+chi AS (SELECT *, (((ax - x0) ^ 2 + (mx - x0 - 100 * kx) ^ 2 + (bx - x0 - 200 * kx) ^ 2) / 4 + ((ay - y0) ^ 2 + (my - y0 - 100 * ky) ^ 2 + (byy - y0 - 200 * ky) ^ 2) / (1.9::DOUBLE * 1.9::DOUBLE)) / 2 AS chi2 FROM fit),
+pool AS (SELECT *, 300 - chi2 AS score, row_number() OVER (PARTITION BY entry ORDER BY 300 - chi2 DESC, a, m, b) AS k FROM chi WHERE chi2 <= 10 QUALIFY k <= 80)"""
+SETS = """sets AS (SELECT entry, k, score AS total, [k] AS ks, [a, m, b] AS used FROM pool
+  UNION ALL SELECT s.entry, p.k, s.total + p.score, list_append(s.ks, p.k), list_concat(s.used, [p.a, p.m, p.b]) FROM sets s JOIN pool p ON p.entry = s.entry AND p.k > s.k AND NOT list_has_any(s.used, [p.a, p.m, p.b])),
+top AS (SELECT entry, unnest(ks) AS k, generate_subscripts(ks, 1) - 1 AS track_index FROM (SELECT * FROM sets QUALIFY row_number() OVER (PARTITION BY entry ORDER BY total DESC, ks) = 1))"""
+
+
+@query(f"""WITH RECURSIVE {SEEDS}, {SETS}
+SELECT entry, CAST(track_index AS INTEGER) AS track_index, {s6("kx")} AS kx, {s6("x0")} AS bx, {s6("ky")} AS ky, {s6("y0")} AS "by", {s6("chi2")} AS chi2, a AS hit_0, m AS hit_1, b AS hit_2 FROM pool JOIN top USING (entry, k)""")
+def track_search_orders(spark, sf) -> DataFrame:
+    """The search where each order is an event: the caps are not met there, so the result is the best of all sets of tracks."""
+    found = tracks.find_tracks(_searchable(spark, sf, 0), _trackers(spark), TrackConfig(resolution_x=2.0, resolution_y=1.9))
+    return found.select("entry", "track_index", *r6("kx", "bx", "ky", "by", "chi2"), *(F.col("hits")[k].alias(f"hit_{k}") for k in range(3)))
+
+
 @query()
 def tracker_alignment(spark, sf) -> DataFrame:
-    # among all hits no event has a single one in each plane, as the alignment's events must; among strong ones some do
-    strong = ad.hits(spark, sf).where("amp > 38").select("entry", "raw_idx")
-    own = _searchable(spark, sf).join(strong, ["entry", "raw_idx"], "left_semi")
+    """Each order is an event, so that many events have a single hit in each plane; all valid hits take part."""
+    own = _searchable(spark, sf, 0)
     strict = tracks.strict_events(own, [0, 1, 2])
     found = align.align_trackers(own.join(strict, "entry", "left_semi"), _trackers(spark), AlignmentConfig(min_tracks=5), (5.0, 5.0))
     return align.corrections_table(spark, found)
@@ -103,30 +122,30 @@ PADS = EfficiencyConfig(x_bins=4, x_max=24.0, y_bins=3, y_max=21.0, min_entries_
 
 
 def _pred(spark, sf) -> DataFrame:
-    one = ad.lines(spark, sf).where("track_index = 0")
-    return geometry.predict(one, geometry.detectors(spark, DUT)).select("entry", "det", "pred_x", "pred_y")
+    """Where the tracks of all orders meet the DUT; each order is an event here, so an event has one track."""
+    return geometry.predict(ad.lines(spark, sf, 0), geometry.detectors(spark, DUT)).select("entry", "det", "pred_x", "pred_y")
 
 
 def _strips(spark, sf) -> DataFrame:
     planes = geometry.planes(spark, DUT)
-    return match.strip_clusters(_clusters(spark, sf), geometry.axis_planes(planes), planes)
+    return match.strip_clusters(_clusters(spark, sf, bits=0), geometry.axis_planes(planes), planes)
 
 
-PRED = PLANE3.replace("FROM orders)", "FROM orders WHERE o_orderkey % 2 = 0)")
-MATCH = f"""WITH {CL}, {PRED}, k AS (SELECT * FROM cl WHERE det = 3)"""
+PRED = ad.by_order(PLANE3)
+MATCH = f"""WITH {ad.by_order(CL)}, {PRED}, k AS (SELECT * FROM cl WHERE det = 3)"""
 
 
 @query(f"""{MATCH}, j AS (SELECT p.entry, k.plane, k.cluster_idx, k.pos * 0.4::DOUBLE AS u, k.pos * 0.4::DOUBLE - CASE WHEN k.plane = 0 THEN pred_x ELSE pred_y END AS res FROM pred p JOIN k ON p.entry = k.entry),
 b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY entry, plane ORDER BY abs(res), cluster_idx) = 1)
 SELECT p.entry, {s6("x.u")} AS hit_x, {s6("x.res")} AS res_x, x.cluster_idx AS cluster_x, {s6("y.u")} AS hit_y, {s6("y.res")} AS res_y, y.cluster_idx AS cluster_y,
   CAST(CASE WHEN x.entry IS NULL THEN 0 ELSE 1 END + CASE WHEN y.entry IS NULL THEN 0 ELSE 2 END AS INTEGER) AS hit_flag
-FROM pred p LEFT JOIN (SELECT * FROM b WHERE plane = 0) x ON x.entry = p.entry LEFT JOIN (SELECT * FROM b WHERE plane = 1) y ON y.entry = p.entry WHERE x.entry IS NOT NULL AND y.entry IS NOT NULL""")
+FROM pred p LEFT JOIN (SELECT * FROM b WHERE plane = 0) x ON x.entry = p.entry LEFT JOIN (SELECT * FROM b WHERE plane = 1) y ON y.entry = p.entry""")
 def nearest_cluster(spark, sf) -> DataFrame:
-    own = match.nearest_clusters(_pred(spark, sf), _strips(spark, sf)).where("hit_flag = 3")
+    own = match.nearest_clusters(_pred(spark, sf), _strips(spark, sf))
     return own.select("entry", *r6("hit_x", "res_x"), "cluster_x", *r6("hit_y", "res_y"), "cluster_y", "hit_flag")
 
 
-SPAN = f"""{ad.HITS}, v AS (SELECT * FROM h WHERE is_valid AND det = 3),
+SPAN = f"""{ad.by_order(ad.HITS)}, v AS (SELECT * FROM h WHERE is_valid AND det = 3),
 l AS (SELECT *, CASE WHEN id0 - lag(id0) OVER z <= 2 THEN 0 ELSE 1 END AS first FROM v WINDOW z AS (PARTITION BY entry, plane ORDER BY id0, raw_idx)),
 i AS (SELECT *, sum(first) OVER (PARTITION BY entry, plane ORDER BY id0, raw_idx ROWS UNBOUNDED PRECEDING) AS part FROM l),
 e AS (SELECT entry, plane, min(id0) * 0.4::DOUBLE AS low, max(id0) * 0.4::DOUBLE AS high FROM i GROUP BY entry, plane, part HAVING count(DISTINCT id0) <= 6)"""
@@ -195,16 +214,16 @@ def fake_efficiency(spark, sf) -> DataFrame:
     return efficiency.grid(match.strip_fakes(own, pairs, CONFIG.margin), CONFIG.margin)
 
 
-PADMATCH = f"""{_pad_sql("abs(a.id0 - b.id0) + abs(a.id1 - b.id1) <= 1")}"""
-BOX = PADMATCH.replace("SELECT p.entry, CAST(count", f", x AS (SELECT entry, local_x, local_y, x0 * 3 - 1.4::DOUBLE AS xl, x1 * 3 + 1.4::DOUBLE AS xh, y0 * 3 - 1.4::DOUBLE AS yl, y1 * 3 + 1.4::DOUBLE AS yh FROM (SELECT p.entry, min(id0) AS x0, max(id0) AS x1, min(id1) AS y0, max(id1) AS y1, CAST(count").replace("round(sum(amp * id0 * 3) / sum(amp), 6)", "sum(amp * id0 * 3) / sum(amp)").replace("round(sum(amp * id1 * 3) / sum(amp), 6)", "sum(amp * id1 * 3) / sum(amp)") + f""")), {ad.LINES},
-q AS (SELECT entry, kx * 150 + bx AS px, ky * 150 + "by" AS py FROM t WHERE track_index = 0),
+PADMATCH = ad.by_order(_pad_sql("abs(a.id0 - b.id0) + abs(a.id1 - b.id1) <= 1"))
+BOX = PADMATCH.replace("SELECT p.entry, CAST(count", f", x AS (SELECT entry, local_x, local_y, x0 * 3 - 1.4::DOUBLE AS xl, x1 * 3 + 1.4::DOUBLE AS xh, y0 * 3 - 1.4::DOUBLE AS yl, y1 * 3 + 1.4::DOUBLE AS yh FROM (SELECT p.entry, min(id0) AS x0, max(id0) AS x1, min(id1) AS y0, max(id1) AS y1, CAST(count").replace("round(sum(amp * id0 * 3) / sum(amp), 6)", "sum(amp * id0 * 3) / sum(amp)").replace("round(sum(amp * id1 * 3) / sum(amp), 6)", "sum(amp * id1 * 3) / sum(amp)") + f""")), {ad.by_order(ad.LINES)},
+q AS (SELECT entry, kx * 150 + bx AS px, ky * 150 + "by" AS py FROM t),
 j AS (SELECT q.entry, px, py, local_x, local_y, CASE WHEN px < xl THEN xl - px WHEN px > xh THEN px - xh ELSE 0 END AS nx, CASE WHEN py < yl THEN yl - py WHEN py > yh THEN py - yh ELSE 0 END AS ny FROM q JOIN x ON x.entry = q.entry)"""
 
 
 def _pad_samples(spark, sf) -> DataFrame:
     dets = geometry.detectors(spark, [ad.SETUP[4]])
-    pred = geometry.predict(ad.lines(spark, sf).where("track_index = 0"), dets).select("entry", "det", "pred_x", "pred_y")
-    return match.pad_samples(pred, match.pad_envelopes(_pad_clusters(spark, sf), dets)).withColumn("flat_bin", efficiency.flat_bin(PADS))
+    pred = geometry.predict(ad.lines(spark, sf, 0), dets).select("entry", "det", "pred_x", "pred_y")
+    return match.pad_samples(pred, match.pad_envelopes(_pad_clusters(spark, sf, bits=0), dets)).withColumn("flat_bin", efficiency.flat_bin(PADS))
 
 
 @query(BOX.replace(", q AS (SELECT entry, raw_idx", ", q0 AS (SELECT entry, raw_idx").replace("\nq AS (SELECT entry, raw_idx", "\nq0 AS (SELECT entry, raw_idx").replace("FROM p JOIN q ON p.entry = q.entry AND p.raw_idx = q.raw_idx", "FROM p JOIN q0 ON p.entry = q0.entry AND p.raw_idx = q0.raw_idx").replace("\n, x AS", ", x AS") + """

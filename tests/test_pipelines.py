@@ -6,16 +6,18 @@ import random
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings as hyp, strategies as st
 from pyspark.sql import functions as F
 
 from hodoscope.config import AlignmentConfig, ClusterConfig, EfficiencyConfig, EventBuilderConfig, HitConfig, PadAlignmentConfig, PositionConfig, ScopeConfig, TimingConfig, TrackConfig
 from hodoscope.functions import geometry
-from hodoscope.operators import align, clusters, efficiency, events, grouped, match, scope, timing, tracks
+from hodoscope.operators import align, beam, clusters, efficiency, events, grouped, match, scope, timing, tracks
 from hodoscope.plans import adapters, catalog_tracks, registry, stages
 from hodoscope.sources import apv, bt, canonical, results, scope as scope_source, vmm
 from hodoscope.streaming import events as streaming
+from tests import brute_tracks
 
 SETUP = [
     *({"id": i, "type": "planar", "role": "tracker", "position": [0, 0, 100.0 * i], "rotation": [0, 0, 0]} for i in range(4)),
@@ -101,10 +103,59 @@ def test_search_against_brute_force():
         picks = [tuple(rng.randint(-1, 2) for _ in range(3)) for _ in range(n)]
         free = lambda s: all(not any(a >= 0 and a == b for a, b in zip(picks[i], picks[j])) for i in s for j in s if i < j)
         best = max(sum(scores[i] for i in s) for k in range(1 << n) for s in [[i for i in range(n) if k >> i & 1]] if free(s) and len(s) <= 4)
-        got = tracks.independent_set(scores, picks, 4, 20000)
+        clash = np.array([[not free([i, j]) for j in range(n)] for i in range(n)]) if n > 1 else np.zeros((1, 1), bool)
+        got = np.flatnonzero(beam.independent_sets(np.array([scores]), clash[None], np.array([n]), 4, 20000)[0]).tolist()
+        assert got == brute_tracks.independent_set(scores, picks, 4, 20000)
         assert free(got) and sum(scores[i] for i in got) == pytest.approx(best)
 
 
+def _searched_one_by_one(frame, geometry, c):
+    """(event, hits by layer, line) of every track, event by event."""
+    out = []
+    for e, own in frame.groupby("event"):
+        by = {k: h.assign(row=h.index).to_dict("records") for k, h in own.groupby("layer")}
+        have = [k for k in range(len(geometry)) if k in by]
+        for t in brute_tracks.search_event([(geometry[k], by[k]) for k in have], len(geometry), c):
+            hit = [-1] * len(geometry)
+            for k, i in zip(have, t["hits"]):
+                hit[k] = by[k][i]["row"] if i >= 0 else -1
+            out.append((e, hit, list(t["line"])))
+    return out
+
+
+@pytest.mark.parametrize("layers, limits", [(3, {}), (4, {}), (5, {"max_candidates": 40, "conflict_search_nodes": 300, "max_tracks": 4, "final_candidates": 20}), (4, {"max_candidates": 9, "conflict_search_nodes": 50, "max_branches_per_layer": 2})])
+def test_columnar_search_is_the_search_event_by_event(layers, limits, monkeypatch):
+    """A thousand events in all, at and below every limit, with ties, missing planes and planes at one z."""
+    monkeypatch.setattr(beam, "CANDIDATES", 700)  # many parts of a batch
+    monkeypatch.setattr(beam, "PAIRS", 900)
+    rng = np.random.default_rng(layers)
+    c = TrackConfig(resolution_x=0.5, resolution_y=0.5, **limits)
+    turn = {"r00": 1.0, "r01": 0.0, "r02": 0.0, "r10": 0.0, "r11": 1.0, "r12": 0.0, "r20": 0.0, "r21": 0.0, "r22": 1.0}
+    geometry = [{"det": k, "px": 0.0, "py": 0.0, "pz": 100.0 * k, **turn} for k in range(layers)]
+    rows = []
+    for e in range(260):
+        for _ in range(rng.integers(1, 6)):
+            bx, by, kx, ky = rng.integers(0, 12, 4)
+            rows += [(e, k, bx + kx * k / 10 + rng.integers(-2, 3) / 10, by + ky * k / 10, 100.0 * k if rng.random() < 0.97 else 0.0) for k in range(layers) if rng.random() < 0.85]
+    frame = pd.DataFrame(rows, columns=["event", "layer", "gx", "gy", "gz"])
+    frame = frame.assign(event=frame["event"].rank(method="dense").astype(int) - 1, x=frame["gx"], y=frame["gy"]).sort_values(["event", "layer"], kind="stable").reset_index(drop=True)
+    got = beam.search(frame["event"].to_numpy(), frame["layer"].to_numpy(), {k: frame[k].to_numpy() for k in ("x", "y", "gx", "gy", "gz")}, geometry, c)
+    want = _searched_one_by_one(frame, geometry, c)
+    assert [(e, h) for e, h, _ in want] == list(zip(got["event"].tolist(), got["hit"].T.tolist()))
+    assert np.array_equal(np.array([w for _, _, w in want]).T, got["line"])
+
+
+def test_groups_are_gathered_whole(spark):
+    df = spark.range(5000).select((F.col("id") % 700).alias("k"), F.col("id").alias("v")).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        for least in (0, 1200):
+            calls = grouped.map_whole_groups(df, ["k"], lambda f, g: pd.DataFrame({"rows": [len(f)], "groups": [g.max() + 1], "whole": [int((f.groupby("k").size() >= 7).all())]}), "rows long, groups long, whole long", least_rows=least).collect()
+            assert sum(r.rows for r in calls) == 5000 and sum(r.groups for r in calls) == 700 and all(r.whole for r in calls)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+
+
 @hyp(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 20)), max_size=25), st.integers(0, 1))
 def test_labels_are_components(pairs, _):
