@@ -33,7 +33,17 @@ def trigger_candidates(spark, sf) -> DataFrame:
     return _candidates(spark, sf)
 
 
-@query()
+WALK = """c AS (SELECT run, CASE WHEN ch = 1 THEN 0 ELSE 1 END AS side, time + CASE WHEN ch = 1 THEN 0 ELSE -2 END AS t, id FROM s WHERE det = 1 AND adc > 5 AND ch IN (1, 5)),
+o AS (SELECT *, row_number() OVER (PARTITION BY run, side ORDER BY t, id) AS k FROM c),
+w AS (SELECT DISTINCT run, 1::BIGINT AS i, 1::BIGINT AS j, '-inf'::DOUBLE AS last, NULL::DOUBLE AS t, NULL::BIGINT AS id_a, NULL::BIGINT AS id_b FROM c
+  UNION ALL
+  SELECT w.run, w.i + CASE WHEN abs(a.t - b.t) <= 3600 OR a.t < b.t THEN 1 ELSE 0 END, w.j + CASE WHEN abs(a.t - b.t) <= 3600 OR a.t >= b.t THEN 1 ELSE 0 END,
+    CASE WHEN abs(a.t - b.t) <= 3600 AND (a.t + b.t) / 2 - w.last >= 7200 THEN (a.t + b.t) / 2 ELSE w.last END,
+    CASE WHEN abs(a.t - b.t) <= 3600 AND (a.t + b.t) / 2 - w.last >= 7200 THEN (a.t + b.t) / 2 END, a.id, b.id
+  FROM w JOIN o a ON a.run = w.run AND a.side = 0 AND a.k = w.i JOIN o b ON b.run = w.run AND b.side = 1 AND b.k = w.j)"""
+
+
+@query(f"WITH RECURSIVE {ad.STREAM}, {WALK} SELECT run, t, id_a, id_b, CAST(row_number() OVER (PARTITION BY run ORDER BY t) - 1 AS INTEGER) AS trigger FROM w WHERE t IS NOT NULL")
 def trigger_coincidence(spark, sf) -> DataFrame:
     return ev.coincidences(_candidates(spark, sf), C.coincidence_window_ns, C.dead_time_ns)
 

@@ -109,6 +109,56 @@ def test_search_against_brute_force():
         assert free(got) and sum(scores[i] for i in got) == pytest.approx(best)
 
 
+def _coincidences_one_by_one(rows, window, dead):
+    out = []
+    for run in {r[0] for r in rows}:
+        a, b = (sorted((t, i) for r, side, t, i in rows if r == run and side == s) for s in (0, 1))
+        i = j = n = 0
+        last = -math.inf
+        while i < len(a) and j < len(b):
+            if abs(a[i][0] - b[j][0]) <= window:
+                t = (a[i][0] + b[j][0]) / 2
+                if t - last >= dead:
+                    out.append((run, t, a[i][1], b[j][1], n))
+                    last, n = t, n + 1
+                i, j = i + 1, j + 1
+            elif a[i][0] < b[j][0]:
+                i += 1
+            else:
+                j += 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("window, dead, rate", [(2.0, 0.0, 1.0), (2.0, 3.5, 1.0), (0.1, 7.0, 3.0), (9.0, 1.0, 0.3), (3.0, 40.0, 0.05)])
+def test_coincidences_over_slices_are_the_walk(spark, window, dead, rate):
+    """Dense bursts without a gap, more candidates of one side, ties and quiet stretches, cut into many slices."""
+    rng = random.Random(int(window * 10 + dead))
+    rows, k = [], 0
+    for run, n in ((1, 900), (2, 40), (7, 500)):
+        t = 0.0
+        for _ in range(n):
+            t += rng.choice([0.0, 0.1, 0.3, 1.0, 0.5 + rng.random()]) / rate + (30 if rng.random() < 0.01 else 0)
+            rows.append((run, int(rng.random() < (0.3 if t % 50 < 25 else 0.6)), round(t, 1), k))
+            k += 1
+    df = spark.createDataFrame([*rows, (1, 0, None, -1), (1, 1, float("nan"), -2), (None, 0, 1.0, -3)], "run long, side int, t double, id long").repartition(5)
+    want = _coincidences_one_by_one(rows, window, dead)
+    assert len(want) > 10
+    for size in (25, 150, 10**6):
+        got = events.coincidences(df, window, dead, slice_rows=size)
+        assert sorted((r.run, r.t, r.id_a, r.id_b, r.trigger) for r in got.collect()) == want
+    placed = events._slices(df.where("run = 1 AND t > 0"), window, 25)
+    assert len(placed.starts[1]) > 5  # one run, many tasks
+
+
+def test_left_range_join_keeps_each_row(spark):
+    rng = random.Random(4)
+    left = spark.createDataFrame([(1, 3, 5.0)] * 3 + [(1, i, rng.uniform(0, 90)) for i in range(40)], "run long, k int, t double")
+    right = spark.createDataFrame([(1, i, rng.uniform(0, 60)) for i in range(30)], "run long, id int, s double")
+    got = events.range_join(left, right, F.col("t") - 3, F.col("t") + 2, "s", 2.0, ["run"])
+    want = [(l.k, l.t, r.id) for l in left.collect() for r in [x for x in right.collect() if l.t - 3 <= x.s < l.t + 2] or [right.select(F.lit(None).alias("id")).first()]]
+    assert sorted(map(str, want)) == sorted(str((r.k, r.t, r.id)) for r in got.collect())
+
+
 def _searched_one_by_one(frame, geometry, c):
     """(event, hits by layer, line) of every track, event by event."""
     out = []
