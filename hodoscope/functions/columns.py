@@ -70,28 +70,73 @@ def array_quantile(values: Column, f: float, rule: str) -> Column:
     return F.when(n > 0, F.get(own, QUANTILE_RULES[rule](f, n).cast("int")))
 
 
+#: Rows of a group that are ranked in one task; a larger group's wanted elements are narrowed down to fewer first.
+RANKED_ROWS = 1_000_000
+GRID = 2048
+
+
 def group_quantile(df: DataFrame, keys: list[str], value: str, f: float, rule: str, name: str = "q") -> DataFrame:
-    """Exact quantile per group, without sorting or gathering a whole group in one task.
+    """Exact quantile per group; see group_quantiles."""
+    return group_quantiles(df, keys, value, {name: (f, rule)})
+
 
-    An approximate quantile of known rank error brackets the wanted element; the rows below the bracket are counted, and only
-    those inside it (some thousandths of a group) are ranked.
+def group_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, str]], ranked_rows: int = RANKED_ROWS) -> DataFrame:
+    """(keys, a column for each of wanted): exact quantiles per group, without sorting or gathering a whole large group.
+
+    wanted: name -> (fraction, rule). A selection by repeated narrowing that carries all fractions of all groups: each pass
+    counts the rows below and inside every bracket and takes a grid of approximate quantiles of those inside, from which the
+    next bracket is chosen around the wanted rank; a pass leaves about a seven-hundredth of the rows. When a bracket holds at
+    most ranked_rows rows, or one value, what is inside is ranked. Counts are exact, so a bracket that misses its rank is
+    seen, and the one before it is ranked instead. Groups of at most ranked_rows rows are ranked at once, for all fractions
+    together. Groups without a finite value have no row; rows with a null key take no part.
     """
     own = df.where(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("__v"))
-    share = 0.5 if rule in ("median", "upper_median") else f
-    ends = F.percentile_approx("__v", F.array(F.lit(max(0.0, share - 2e-3)), F.lit(min(1.0, share + 2e-3))), 10000)
-    stats = own.groupBy(*keys).agg(F.count("*").alias("__n"), ends.alias("__b"))
     n = F.col("__n")
-    ranks = (F.floor((n - 1) / 2), F.floor(n / 2)) if rule == "median" else (QUANTILE_RULES[rule](f, n),) * 2
-    # groups of a few thousand rows are ranked whole: their bracket may not reach a rounded rank
-    all_ = n <= 4000
-    stats = stats.withColumns({"__lo": F.when(~all_, F.col("__b")[0]), "__hi": F.when(~all_, F.col("__b")[1]), "__first": ranks[0].cast("long"), "__last": ranks[1].cast("long")})
-    both = own.join(stats.select(*keys, "__lo", "__hi", "__first", "__last"), keys)
-    under = F.coalesce(F.col("__v") < F.col("__lo"), F.lit(False))
-    below = both.groupBy(*keys).agg(F.count_if(under).alias("__below"))
-    inside = both.where(~under & ~F.coalesce(F.col("__v") > F.col("__hi"), F.lit(False))).join(below, keys)
-    rank = F.col("__below") + F.row_number().over(Window.partitionBy(*keys).orderBy("__v")) - 1
-    picked = inside.withColumn("__k", rank).where(F.col("__k").between(F.col("__first"), F.col("__last")))
-    return picked.groupBy(*keys).agg(F.avg("__v").alias(name))
+
+    def ranks(f: float, rule: str) -> tuple[Column, Column]:
+        two = (F.floor((n - 1) / 2), F.floor(n / 2)) if rule == "median" else (QUANTILE_RULES[rule](f, n),) * 2
+        return two[0].cast("long"), two[1].cast("long")
+
+    grid = F.percentile_approx("__v", F.array(*(F.lit(k / GRID) for k in range(GRID + 1))), 5 * GRID)
+    stats = own.groupBy(*keys).agg(F.count("*").alias("__n"))
+    small = own.join(stats.where(n <= ranked_rows), keys).withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("__v")) - 1)
+    picks = {name: ranks(*of) for name, of in wanted.items()}
+    few = small.groupBy(*keys).agg(*(F.avg(F.when(F.col("__k").between(*two), F.col("__v"))).alias(name) for name, two in picks.items()))
+    large = stats.where(n > ranked_rows)
+    if large.isEmpty():
+        return few
+
+    targets = F.inline(F.array(*(F.struct(F.lit(name).alias("__name"), two[0].alias("__first"), two[1].alias("__last")) for name, two in picks.items())))
+    first = own.join(large.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("__n"), grid.alias("__grid"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    now = first.select(*keys, targets, F.lit(0).cast("long").alias("__below"), n.alias("__inside"), "__lo", "__hi", "__grid", F.lit(False).alias("__stop")).persist()
+    wide = (F.col("__inside") > ranked_rows) & (F.col("__lo") < F.col("__hi")) & ~F.col("__stop")
+    for _ in range(16):
+        if now.where(wide).isEmpty():
+            break
+        place = lambda r: F.floor((F.col(r) - F.col("__below")) / F.col("__inside") * GRID).cast("int")
+        ask = now.where(wide).withColumns({"__a": F.get("__grid", F.greatest(place("__first") - 1, F.lit(0))), "__b": F.get("__grid", F.least(place("__last") + 2, F.lit(GRID)))})
+        rows = own.join(F.broadcast(ask.select(*keys, "__name", "__lo", "__hi", "__a", "__b")), keys).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+        inside = F.col("__v").between(F.col("__a"), F.col("__b"))
+        kept = F.when(inside, F.col("__v"))
+        got = rows.withColumn("__kept", kept).groupBy(*keys, "__name").agg(
+            F.count_if(F.col("__v") < F.col("__a")).alias("__under"), F.count("__kept").alias("__in"), F.min("__kept").alias("__min"), F.max("__kept").alias("__max"),
+            F.percentile_approx("__kept", F.array(*(F.lit(k / GRID) for k in range(GRID + 1))), 5 * GRID).alias("__next"),
+        )
+        both = ask.join(F.broadcast(got), [*keys, "__name"])
+        below = F.col("__below") + F.col("__under")
+        right = (below <= F.col("__first")) & (F.col("__last") < below + F.col("__in"))
+        new = lambda c, old: F.when(right, F.col(c) if isinstance(c, str) else c).otherwise(F.col(old)).alias(old)
+        stop = (~right | (F.col("__in") == F.col("__inside"))).alias("__stop")
+        done = both.select(*keys, "__name", "__first", "__last", new(below, "__below"), new("__in", "__inside"), new("__min", "__lo"), new("__max", "__hi"), new("__next", "__grid"), stop)
+        before, now = now, now.where(~wide).unionByName(done).persist()
+        now.count()
+        before.unpersist()
+    ends = F.broadcast(now.where("__lo < __hi").select(*keys, "__name", "__first", "__last", "__below", "__lo", "__hi"))
+    left = own.join(ends, keys).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+    rank = F.col("__below") + F.row_number().over(Window.partitionBy(*keys, "__name").orderBy("__v")) - 1
+    found = left.withColumn("__k", rank).where(F.col("__k").between(F.col("__first"), F.col("__last"))).groupBy(*keys, "__name").agg(F.avg("__v").alias("__q"))
+    found = found.unionByName(now.where("__lo = __hi").select(*keys, "__name", F.col("__lo").alias("__q")))
+    return few.unionByName(found.groupBy(*keys).agg(*(F.max(F.when(F.col("__name") == name, F.col("__q"))).alias(name) for name in wanted)))
 
 
 def bucket(x: Column, lo: float, hi: float, n: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hodoscope.functions import numerics
-from hodoscope.functions.columns import clamp, finite, group_quantile, profile
+from hodoscope.functions.columns import clamp, finite, group_quantiles, profile
 
 
 def combined_time(method: str, power: float = 1.0, time: str = "time", error: str = "time_error", amp: str = "amp", plane: str = "plane") -> Column:
@@ -118,9 +118,7 @@ def track_with_dut(tracks: DataFrame, duts: DataFrame) -> DataFrame:
 
 def robust_range(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, low, high): the 0.5 % and 99.5 % elements; equal ends are pushed apart by 1."""
-    lo = group_quantile(df, keys, value, 0.005, "floor_fn1", "low")
-    hi = group_quantile(df, keys, value, 0.995, "floor_fn1", "high")
-    both = lo.join(hi, keys)
+    both = group_quantiles(df, keys, value, {"low": (0.005, "floor_fn1"), "high": (0.995, "floor_fn1")})
     flat = ~(F.col("high") > F.col("low"))
     return both.select(*keys, F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"), F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"))
 

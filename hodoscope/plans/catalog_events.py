@@ -159,11 +159,9 @@ def _q(rule: str, f: float) -> str:
 UNION ALL SELECT 'median', l_returnflag, median(l_quantity * 100000 + l_partkey) FROM lineitem GROUP BY l_returnflag""")
 def quantile_rules(spark, sf) -> DataFrame:
     li = ad.table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_quantity") * 100000 + F.col("l_partkey")).alias("v"))
-    out = None
-    for rule, f in (("floor_fn", 0.05), ("floor_fn1", 0.995), ("round_fn1", 0.16), ("upper_median", 0.5), ("median", 0.5)):
-        one = columns.group_quantile(li, ["l_returnflag"], "v", f, rule).select(F.lit(rule).alias("rule"), "l_returnflag", "q")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rules = {"floor_fn": 0.05, "floor_fn1": 0.995, "round_fn1": 0.16, "upper_median": 0.5, "median": 0.5}
+    wide = columns.group_quantiles(li, ["l_returnflag"], "v", {rule: (f, rule) for rule, f in rules.items()})
+    return wide.unpivot(["l_returnflag"], list(rules), "rule", "q")
 
 
 @query("""SELECT l_returnflag, CAST(CASE WHEN l_quantity < 5 THEN 0 WHEN l_quantity >= 45 THEN 21 ELSE floor((l_quantity - 5) / 40.0::DOUBLE * 20) + 1 END AS INTEGER) AS bin, count(*) AS count FROM lineitem GROUP BY ALL""")

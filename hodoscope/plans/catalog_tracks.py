@@ -248,11 +248,11 @@ def residual_slope(spark, sf) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT CAST(l_suppkey % 4 AS INTEGER) AS det, (l_quantity - 25) / 4 AS res FROM lineitem), u AS (SELECT *, row_number() OVER (PARTITION BY det ORDER BY res) - 1 AS k, count(*) OVER (PARTITION BY det) AS n FROM r WHERE abs(res) < 5),
-q AS (SELECT det, max(CASE WHEN k = CAST(round(0.16::DOUBLE * (n - 1)) AS BIGINT) THEN res END) AS lo, max(CASE WHEN k = CAST(round(0.84::DOUBLE * (n - 1)) AS BIGINT) THEN res END) AS hi, count(*) AS used, avg(res) AS mean, stddev_pop(res) AS rms FROM u GROUP BY det)
-SELECT q.det, count(*) AS rows, any_value(used) AS used, round(any_value(mean), 6) AS mean, round(any_value(rms), 6) AS rms, round(count(CASE WHEN abs(res) < 1 THEN 1 END) / count(*), 6) AS within_1mm, any_value((hi - lo) / 2) AS sigma68 FROM q JOIN r ON r.det = q.det GROUP BY q.det""")
+q AS (SELECT det, max(CASE WHEN k = CAST(round(0.16::DOUBLE * (n - 1)) AS BIGINT) THEN res END) AS lo, max(CASE WHEN k = CAST(round(0.84::DOUBLE * (n - 1)) AS BIGINT) THEN res END) AS hi, max(CASE WHEN k = CAST(round(0.5::DOUBLE * (n - 1)) AS BIGINT) THEN res END) AS mid, count(*) AS used, avg(res) AS mean, stddev_pop(res) AS rms FROM u GROUP BY det)
+SELECT q.det, count(*) AS rows, any_value(used) AS used, round(any_value(mean), 6) AS mean, round(any_value(rms), 6) AS rms, round(count(CASE WHEN abs(res) < 1 THEN 1 END) / count(*), 6) AS within_1mm, any_value((hi - lo) / 2) AS sigma68, any_value(lo) AS q16, any_value(mid) AS median, any_value(hi) AS q84 FROM q JOIN r ON r.det = q.det GROUP BY q.det""")
 def residual_summary(spark, sf) -> DataFrame:
     li = ad.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 4).cast("int").alias("det"), ((F.col("l_quantity") - 25) / 4).alias("res_x"))
-    return efficiency.residual_summary(li, "x").select("det", "rows", "used", *r6("mean", "rms", "within_1mm"), "sigma68")
+    return efficiency.residual_summary(li, "x").select("det", "rows", "used", *r6("mean", "rms", "within_1mm"), "sigma68", "q16", "median", "q84")
 
 
 # --- timing --------------------------------------------------------------------------------------------------------------

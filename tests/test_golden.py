@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,24 @@ def test_quantile_rules(spark):
         assert columns.group_quantile(df, ["k"], "v", f, rule).first()["q"] == want
 
 
+def test_quantiles_by_narrowing(spark):
+    """Groups far above the rows that are ranked: skewed, of few values, of one value, of huge range, small; null keys stay out."""
+    rng = np.random.default_rng(2)
+    groups = {"normal": rng.normal(size=9000), "skew": np.exp(rng.normal(size=8000) * 9), "two": rng.choice([1.0, 2.0], 7000), "one": np.full(6000, 3.5), "ties": np.floor(rng.normal(size=9000) * 3), "range": rng.choice([-1e300, 0.0, 1e-300, 1e300], 5000) + rng.normal(size=5000), "small": rng.normal(size=30)}
+    rows = pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in groups.items()] + [pd.DataFrame({"k": [None, "small", "small"], "v": [1.0, np.nan, np.inf]})])
+    df = spark.createDataFrame(rows.sample(frac=1, random_state=1)).repartition(6)
+    wanted = {"a": (0.05, "floor_fn"), "b": (0.995, "floor_fn1"), "c": (0.16, "round_fn1"), "d": (0.5, "upper_median"), "e": (0.5, "median"), "f": (1.0, "floor_fn")}
+    at = {"floor_fn": lambda f, n: min(n - 1, math.floor(f * n)), "floor_fn1": lambda f, n: math.floor(f * (n - 1)), "round_fn1": lambda f, n: math.floor(f * (n - 1) + 0.5), "upper_median": lambda f, n: n // 2}
+    for limit in (40, 1000):
+        got = {r.k: r for r in columns.group_quantiles(df, ["k"], "v", wanted, ranked_rows=limit).collect()}
+        assert set(got) == set(groups)
+        for k, v in groups.items():
+            v = np.sort(v)
+            for name, (f, rule) in wanted.items():
+                want = (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 if rule == "median" else v[at[rule](f, len(v))]
+                assert got[k][name] == want, (limit, k, name)
+
+
 def test_clopper_pearson():
     # for no successes the limits solve (1-p)^n = alpha/2 in closed form
     lo, hi = numerics.clopper_pearson(0, 10, 0.683)
