@@ -9,13 +9,13 @@ import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings as hyp, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from hodoscope.config import AlignmentConfig, ClusterConfig, EfficiencyConfig, EventBuilderConfig, HitConfig, PadAlignmentConfig, PositionConfig, ScopeConfig, TimingConfig, TrackConfig
 from hodoscope.functions import geometry
 from hodoscope.operators import align, beam, clusters, efficiency, events, grouped, match, scope, timing, tracks
 from hodoscope.plans import adapters, catalog_tracks, registry, stages
-from hodoscope.sources import apv, bt, canonical, results, scope as scope_source, vmm
+from hodoscope.sources import apv, blocks, bt, canonical, results, scope as scope_source, vmm
 from hodoscope.streaming import events as streaming
 from tests import brute_tracks
 
@@ -109,6 +109,57 @@ def test_search_against_brute_force():
         assert free(got) and sum(scores[i] for i in got) == pytest.approx(best)
 
 
+def _block_file(rng, blocks, samples):
+    raw = b"\x12\x34\xca\xca"
+    event = 65300
+    for _ in range(blocks):
+        if rng.random() < 0.3:
+            raw += b"\xca\xca\x00\x01"[: 2 * rng.randint(1, 2)]  # other words between blocks
+        event = (event + rng.choice([1, 40, 150])) % 65536
+        count = rng.randint(0, 5)
+        raw += struct.pack(">10H", 0xEEEE, rng.randint(0, 15), rng.randint(0, 9), rng.randint(0, 65535), rng.randint(0, 65535), event, count, 1, 0xEEEE, 3)
+        for _ in range(count):
+            raw += struct.pack(f">{1 + samples}H", rng.randint(0, 300), *(rng.choice([0xEEEE, 0xCACA, rng.randint(0, 65535)]) for _ in range(samples)))
+        raw += bytes([rng.choice([0xEE, 0, 0xCA])])
+    return raw
+
+
+def test_block_source_is_the_decoder_at_every_cut(spark, folder):
+    """Files cut off at every byte, read in parts of a few blocks; counter turns and marks inside of samples."""
+    rng = random.Random(9)
+    schema = T._parse_datatype_string(bt.CHANNEL)
+    raw = _block_file(rng, 14, 3)
+    path = f"{folder}/cut.dat"
+    for end in range(0, len(raw) + 1):
+        with open(path, "wb") as f:
+            f.write(raw[:end])
+        reader = blocks.BlockReader(schema, {"samples": "3", "splitBytes": str(rng.choice([1, 60, 10**6])), "path": path})
+        try:
+            want = bt.decode(raw[:end], 3)
+        except ValueError as e:
+            with pytest.raises(ValueError, match=str(e)):
+                reader.partitions()
+            continue
+        got = [r for p in reader.partitions() for b in reader.read(p) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert [r[1:] for r in got] == want
+
+
+def test_block_source_in_spark(spark, folder):
+    rng = random.Random(1)
+    for k in range(3):
+        with open(f"{folder}/run{k}.dat", "wb") as f:
+            f.write(_block_file(rng, 150, 5))
+    paths = [f"{folder}/run{k}.dat" for k in range(3)]
+    blocks.register(spark)
+    df = spark.read.format("chip_blocks").option("samples", 5).option("splitBytes", 2000).load(paths)
+    want = [tuple(r) for r in bt.read_blocks(spark, paths, 5).collect()]
+    assert df.rdd.getNumPartitions() > 6
+    key = lambda r: (r[0].split("/")[-1], *r[1:])
+    assert sorted(key(tuple(r)) for r in df.collect()) == sorted(key(r) for r in want)
+    slim = spark.read.format("chip_blocks").schema("ext_event long, pos int").option("samples", 5).load(paths[0])
+    assert sorted(map(tuple, slim.collect())) == sorted((r[2], r[8]) for r in want if r[0].endswith("run0.dat"))
+
+
 def _coincidences_one_by_one(rows, window, dead):
     out = []
     for run in {r[0] for r in rows}:
