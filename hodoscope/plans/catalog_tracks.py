@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hodoscope.config import AlignmentConfig, EfficiencyConfig, TrackConfig
 from hodoscope.functions import geometry
-from hodoscope.operators import align, efficiency, match, timing, tracks
+from hodoscope.operators import align, efficiency, fits, match, timing, tracks
 from hodoscope.plans import adapters as ad
 from hodoscope.plans.catalog import query
 from hodoscope.plans.catalog_detector import CL, PLANE3, _clusters, _pad_clusters, _pad_sql, r6, s6
@@ -255,6 +255,49 @@ def residual_summary(spark, sf) -> DataFrame:
     return efficiency.residual_summary(li, "x").select("det", "rows", "used", *r6("mean", "rms", "within_1mm"), "sigma68", "q16", "median", "q84")
 
 
+def _blur(spark, sf) -> DataFrame:
+    """Residuals of about normal form per detector: sums of independent columns, three times as wide on one line in seven."""
+    li = ad.table(spark, sf, "lineitem")
+    core = (F.col("l_quantity") - 25.5) / 14 + (F.round(F.col("l_discount") * 100) - 5) / 3 + (F.round(F.col("l_tax") * 100) - 4) / 2.5 + (F.col("l_partkey") % 64 - 31.5) / 18
+    return li.select((F.col("l_suppkey") % 4).cast("int").alias("det"), (core * F.when(F.col("l_linenumber") == 7, 3.0).otherwise(1.0)).alias("res_x"))
+
+
+BLUR = """r AS (SELECT CAST(l_suppkey % 4 AS INTEGER) AS det, ((l_quantity - 25.5::DOUBLE) / 14 + (round(l_discount * 100) - 5) / 3 + (round(l_tax * 100) - 4) / 2.5::DOUBLE + (l_partkey % 64 - 31.5::DOUBLE) / 18)
+  * CASE WHEN l_linenumber = 7 THEN 3 ELSE 1 END AS res FROM lineitem),
+m AS (SELECT det, count(*) AS entries, avg(res) AS mean, stddev_pop(res) AS rms, avg(res) - 6 * stddev_pop(res) AS low, 12 * stddev_pop(res) / 160 AS width FROM r GROUP BY det),
+h AS MATERIALIZED (SELECT det, bin, count(*)::DOUBLE AS n, any_value(low) + (bin + 0.5::DOUBLE) * any_value(width) AS x FROM (SELECT r.det, CAST(floor((res - low) / width) AS INTEGER) AS bin, low, width FROM r JOIN m ON r.det = m.det) WHERE bin BETWEEN 0 AND 159 GROUP BY det, bin)"""
+
+
+def _newton(rounds: int = 25) -> str:
+    """CTEs of Gauss-Newton steps of a Gaussian's least squares over h, by Cramer's rule: the last is p<rounds>(det, a, c, s)."""
+    out = ["p0 AS (SELECT m.det, (SELECT max(n) FROM h WHERE h.det = m.det) AS a, mean AS c, rms AS s FROM m)"]
+    for k in range(rounds):
+        out.append(f"""j{k} AS (SELECT h.det, a, c, s, n, exp(-0.5::DOUBLE * ((x - c) / s) ^ 2) AS g, a * exp(-0.5::DOUBLE * ((x - c) / s) ^ 2) * (x - c) / (s * s) AS u, a * exp(-0.5::DOUBLE * ((x - c) / s) ^ 2) * (x - c) * (x - c) / (s * s * s) AS v FROM h JOIN p{k} USING (det)),
+n{k} AS MATERIALIZED (SELECT det, a, c, s, sum(g * g / n) AS gg, sum(g * u / n) AS gu, sum(g * v / n) AS gv, sum(u * u / n) AS uu, sum(u * v / n) AS uv, sum(v * v / n) AS vv,
+  sum(g * (n - a * g) / n) AS rg, sum(u * (n - a * g) / n) AS ru, sum(v * (n - a * g) / n) AS rv FROM j{k} GROUP BY det, a, c, s),
+d{k} AS (SELECT *, gg * (uu * vv - uv * uv) - gu * (gu * vv - uv * gv) + gv * (gu * uv - uu * gv) AS det3 FROM n{k}),
+p{k + 1} AS MATERIALIZED (SELECT det, a + (rg * (uu * vv - uv * uv) - gu * (ru * vv - uv * rv) + gv * (ru * uv - uu * rv)) / det3 AS a,
+  c + (gg * (ru * vv - uv * rv) - rg * (gu * vv - uv * gv) + gv * (gu * rv - ru * gv)) / det3 AS c,
+  s + (gg * (uu * rv - ru * uv) - gu * (gu * rv - ru * gv) + rg * (gu * uv - uu * gv)) / det3 AS s FROM d{k})""")
+    return ",\n".join(out)
+
+
+@query(f"""WITH {BLUR}, {_newton()}
+SELECT det, m.entries, CAST((SELECT count(*) FROM h WHERE h.det = m.det) AS INTEGER) AS used, true AS fitted, round(c, 4) + 1 AS centre, round(abs(s), 4) AS sigma FROM p25 JOIN m USING (det)""")
+def gaussian_fits(spark, sf) -> DataFrame:
+    """A Gaussian per detector; the SQL solves the same least squares by its own Gauss-Newton steps."""
+    own = fits.fit_histograms(fits.histograms(_blur(spark, sf), ["det"], "res_x"), ["det"])
+    return own.select("det", "entries", "used", "fitted", (F.round("centre", 4) + 1).alias("centre"), F.round("sigma", 4).alias("sigma"))
+
+
+@query(f"""WITH {BLUR} SELECT det, any_value(m.entries) AS entries, CAST(count(*) AS INTEGER) AS used, true AS stationary, true AS ordered FROM h JOIN m USING (det) GROUP BY det""")
+def double_gaussian_fits(spark, sf) -> DataFrame:
+    """Core and tail per detector. stationary: the normal equations hold at the fit; ordered: its widths and shares are in order."""
+    own = fits.fit_residuals(_blur(spark, sf), ["det"], "res_x")
+    ordered = (F.col("core_sigma") <= F.col("effective_sigma")) & (F.col("effective_sigma") <= F.col("tail_sigma")) & F.col("tail_fraction").between(0, 1) & (F.col("within_3sigma") <= F.col("within_5sigma"))
+    return own.select("det", "entries", "used", (F.col("fitted") & (F.col("gradient") < 1e-3)).alias("stationary"), ordered.alias("ordered"))
+
+
 # --- timing --------------------------------------------------------------------------------------------------------------
 
 METHODS = {"XMean": "0", "YMean": "1", "XYMean": "0, 1", "XMin": "0", "YMin": "1", "XYMin": "0, 1", "XYWeighted": "0, 1"}
