@@ -13,6 +13,8 @@ from hodoscope.functions import numerics
 from hodoscope.functions.columns import finite
 
 SHAPES = ("gaussian", "double")
+#: Normal-equation residual below which a fit counts as settled.
+SETTLED = 1e-4
 FIT = "entries long, used int, mean double, rms double, fitted boolean, centre double, sigma double, centre_error double, sigma_error double, core_sigma double, tail_sigma double, effective_sigma double, tail_fraction double, chi2 double, ndf int, gradient double"
 
 
@@ -38,7 +40,8 @@ def fit_histograms(hist: DataFrame, keys: list[str], shape: str = "gaussian") ->
     """One row a key of FIT: a least-squares fit of the filled bins, weighted by the roots of their counts.
 
     gaussian: centre and sigma with errors. double: two Gaussians of one centre; sigma is the core's, effective_sigma the
-    root of the area-weighted mean variance, tail_fraction the tail's share of the area. Fewer than 20 entries, or a fit that
+    root of the area-weighted mean variance, tail_fraction the tail's share of the area; where two can't be told apart, the
+    tail is empty and as wide as the core. Fewer than 20 entries, or a fit that
     fails, give fitted = false with the moments. gradient: the largest normal-equation residual |J'W(n - f)|, each relative
     to its parameter's curvature and error: far below 1 at a minimum. A group is one key's bins.
     """
@@ -57,11 +60,20 @@ def fit_histograms(hist: DataFrame, keys: list[str], shape: str = "gaussian") ->
         model, x, n = numerics.gaussian, x[order], n[order]
         if fit.ok and shape == "double":
             a, m, s = fit.params
-            model, fit = numerics.double_gaussian, numerics.least_squares(numerics.double_gaussian, x, n, np.array([a * 0.8, m, s * 0.8, a * 0.2, s * 2.5]), np.sqrt(n), steps=400)
+            start = np.array([a * 0.8, m, s * 0.8, a * 0.2, s * 2.5])
+            for _ in range(4):  # begun anew from where it stopped, until the normal equations hold
+                two = numerics.least_squares(numerics.double_gaussian, x, n, start, np.sqrt(n), steps=200)
+                start = two.params
+                good = two.ok and min(two.params[0], two.params[3]) >= 0 and min(abs(two.params[2]), abs(two.params[4])) > 0
+                if good and _gradient(numerics.double_gaussian, x, n, two.params) < SETTLED:
+                    model, fit = numerics.double_gaussian, two
+                    break
         if fit.ok:
             p = fit.params
             out |= {"fitted": True, "centre": p[1], "sigma": abs(p[2]), "centre_error": fit.errors[1], "sigma_error": fit.errors[2], "chi2": fit.chi2, "ndf": fit.ndf, "gradient": _gradient(model, x, n, p)}
-            if shape == "double":
+            if shape == "double" and len(p) == 3:
+                out |= {"core_sigma": abs(p[2]), "tail_sigma": abs(p[2]), "effective_sigma": abs(p[2]), "tail_fraction": 0.0}
+            elif shape == "double":
                 core, tail = sorted([(abs(p[2]), p[0]), (abs(p[4]), p[3])])
                 area = core[0] * core[1] + tail[0] * tail[1]
                 share = tail[0] * tail[1] / area if area else 0.0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hodoscope.config import ClusterConfig, HitConfig, PositionConfig
 from hodoscope.functions import columns, geometry
-from hodoscope.operators import clusters, hits, qa
+from hodoscope.operators import clusters, hits, maps, qa
 from hodoscope.plans import adapters as ad
 from hodoscope.plans.catalog import query
 
@@ -368,6 +368,34 @@ def hit_properties(spark, sf) -> DataFrame:
     return qa.hit_properties(ad.hits(spark, sf), "amp", ["det"], 50).select("det", "bin", "count")
 
 
+def _bin_sql(v: str, low: str, high: str, n: str) -> str:
+    return f"CAST(CASE WHEN {v} < {low} THEN 0 WHEN {v} >= {high} THEN {n} + 1 ELSE least(floor(({v} - {low}) / ({high} - {low}) * {n}) + 1, {n}) END AS INTEGER)"
+
+
+@query(f"""WITH {ad.POINTS} SELECT det, {_bin_sql("gx", "0", "102.4::DOUBLE", "100")} AS bin_x, {_bin_sql("gy", "0", "20.0::DOUBLE", "100")} AS bin_y, count(*) AS count FROM g GROUP BY ALL""")
+def track_hit_maps(spark, sf) -> DataFrame:
+    """Hit maps of the trackers, over pitch times strips of their planes."""
+    setup = [{"id": i, "type": "planar", "role": "tracker", "position": [0, 0, 100 * i], "rotation": [0, 0, 0], "readoutPlanes": {"0": {}, "1": {"num": 50}}} for i in range(3)]
+    ranges = maps.map_ranges(geometry.detectors(spark, setup), geometry.planes(spark, setup))
+    return maps.hit_maps(ad.points(spark, sf), ranges, {"selected": ("gx", "gy")}).select("det", "bin_x", "bin_y", "count")
+
+
+PROPERTIES = {"cluster_charge": "charge", "size": "id0", "adc": "amp", "signed": "shifted"}
+_SPAN = ", ".join(f"least(min({c}), 0)::DOUBLE AS a_{n}, greatest(max({c}), 0)::DOUBLE AS b_{n}" for n, c in PROPERTIES.items())
+
+
+def _property_sql(n: str, c: str) -> str:
+    low, high, bins = ("0.5::DOUBLE", f"(greatest(b_{n}, 1) + 0.5::DOUBLE)", f"CAST(greatest(b_{n}, 1) AS INTEGER)") if n == "size" else (f"CASE WHEN a_{n} < 0 THEN a_{n} - 0.05::DOUBLE * (b_{n} - a_{n}) ELSE a_{n} END", f"(b_{n} + 0.05::DOUBLE * (b_{n} - a_{n}))", "100")
+    return f"SELECT det, plane, '{n}' AS hist, {_bin_sql(c, f'({low})', high, bins)} AS bin, count(*) AS count FROM x JOIN s USING (det) GROUP BY ALL"
+
+
+@query(f"WITH {ad.HITS}, x AS (SELECT *, amp - 30 AS shifted FROM h), s AS (SELECT det, {_SPAN} FROM x GROUP BY det) " + " UNION ALL ".join(_property_sql(n, c) for n, c in PROPERTIES.items()))
+def property_histograms(spark, sf) -> DataFrame:
+    """Four properties per plane in one scan, over ranges that the planes of a detector share."""
+    own = ad.hits(spark, sf).withColumn("shifted", F.col("amp") - 30)
+    return maps.hit_properties(own, ["det", "plane"], ["det"], PROPERTIES).select("det", "plane", "hist", F.col("bin_x").alias("bin"), "count")
+
+
 @query(f"WITH {ad.WAVES} SELECT id0, CAST(max(list_max(adc)) AS SMALLINT) AS maximum FROM w WHERE entry = 7 GROUP BY id0")
 def event_debug(spark, sf) -> DataFrame:
     return qa.event_debug(ad.waves(spark, sf), 7).select("id0", "maximum")

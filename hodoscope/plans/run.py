@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hodoscope import config as cfg
 from hodoscope.functions import geometry
-from hodoscope.operators import clusters, hits, tracks
+from hodoscope.operators import clusters, events, hits, qa, tracks
 from hodoscope.plans import stages
 from hodoscope.plans.registry import ANALYSES, CONVERTERS
 from hodoscope.schemas import schema
@@ -40,9 +40,10 @@ def _bt(spark: SparkSession, base: str, run_id: str, conversion: dict[str, Any])
     return *bt.upgrade(*bt.convert(bt.read_blocks(spark, [found["data"]], samples), bt.read_map(spark, found["map"]), stats, bool(conversion.get("allowUnmapped", False)))), 2
 
 
-def _vmm(spark: SparkSession, base: str, run_id: str, conversion: dict[str, Any]) -> Converted:
+def _vmm(spark: SparkSession, base: str, run_id: str, conversion: dict[str, Any]) -> tuple:
     raw, geo = vmm.discover(base, run_id)
-    return *vmm.convert(vmm.read_hits(spark, raw), vmm.read_geometry(spark, geo), cfg.settings(cfg.EventBuilderConfig, conversion))[:2], 3
+    own, dim, c = vmm.read_hits(spark, raw), vmm.read_geometry(spark, geo), cfg.settings(cfg.EventBuilderConfig, conversion)
+    return *vmm.convert(own, dim, c)[:2], 3, lambda n_events: vmm.conversion_report(*events.select_hits(own, dim, c), n_events)
 
 
 #: How a run directory is read for the converters that come with the engine.
@@ -50,11 +51,20 @@ OWN_CONVERTERS = {"APV25SRS": _apv, "BTAPVDat": _bt, "VMM3a": _vmm}
 
 
 def convert(spark: SparkSession, base: str, run_id: str, conversion: dict[str, Any], path: str) -> None:
-    """Convert a run's raw files by the configured kind, the engine's or a registered one, and write the canonical tables."""
+    """Convert a run's raw files by the configured kind, the engine's or a registered one, and write the canonical tables.
+
+    Beside them go the channels' quality tables and, where the converter makes one, its report.
+    """
     kind = CONVERTERS.get(conversion["type"])
     read = next((f for n, f in OWN_CONVERTERS.items() if kind is CONVERTERS.get(n)), kind)
-    events, channels, version = read(spark, base, run_id, conversion)
-    canonical.write_run(path, events, channels, {"schema_version": version, "source_format": conversion["type"]})
+    made, channels, version, *report = read(spark, base, run_id, conversion)
+    canonical.write_run(path, made, channels, {"schema_version": version, "source_format": conversion["type"]})
+    rows = canonical.channel_rows(stored := spark.read.parquet(f"{path}/events"), version)
+    out = {"qa": qa.plane_qa(rows), "qa_multiplicity": qa.multiplicity(rows, stored), "qa_pads": qa.pad_mean_maximum(rows)}
+    if report:
+        out["conversion_report"] = report[0](stored.count())
+    for name, table in out.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def save(out: dict[str, Any], path: str, keep: tuple[str, ...] | None = None) -> None:
@@ -133,25 +143,25 @@ class Run:
 
 def _track_analysis(r: Run, script: dict[str, Any]) -> None:
     alignment = cfg.settings(cfg.AlignmentConfig, script) if script.get("runAlignment", script.get("performAlignment", False)) else None
-    out = stages.track_analysis(r.local, r.own, r.dets, cfg.settings(cfg.TrackConfig, script, {"maxTracksPerEvent": "max_tracks"}), r.run.raw_ids, alignment, script.get("useEstimatedResolution", True))
-    save(out, r.path, ("tracks", "validation", "performance", "resolution", "alignment", "detectors"))
+    out = stages.track_analysis(r.local, r.own, r.dets, cfg.settings(cfg.TrackConfig, script, {"maxTracksPerEvent": "max_tracks"}), r.run.raw_ids, alignment, script.get("useEstimatedResolution", True), r.planes)
+    save(out, r.path, ("tracks", "validation", "performance", "resolution", "alignment", "detectors", "hit_maps", "hit_properties"))
     r.found, r.dets = results.read_tracks(r.spark, f"{r.path}/tracks"), out.get("detectors", r.dets)
     if any(p.method in ("UTPC", "rawUTPC") for _, _, p in r.chains):
         r.reconstruct(r.found.select("entry", "t0"))
 
 
-EFFICIENCY_TABLES = ("dut_rows", "pad_rows", "efficiency_map", "efficiency_summary", "projection_x", "projection_y", "margin_scan", "report", "fake_map", "fake_summary", "residuals_x", "residuals_y", "slope_x", "detectors")
+EFFICIENCY_TABLES = ("dut_rows", "pad_rows", "efficiency_map", "efficiency_summary", "projection_x", "projection_y", "margin_scan", "report", "fake_map", "fake_summary", "residuals_x", "residuals_y", "slope_x", "detectors", "hit_maps", "hit_profile_x", "hit_profile_y", "hit_properties", "residual_fits_x", "residual_fits_y", "residual_histogram_x", "residual_histogram_y")
 
 
 def _dut_analysis(r: Run, script: dict[str, Any]) -> None:
     alignment = cfg.settings(cfg.StripAlignmentConfig, script.get("alignmentRegion") or {}) if script.get("runAlignment", True) else None
-    out = stages.dut_analysis(r.tracks(), r.own, r.dets, r.planes, cfg.settings(cfg.EfficiencyConfig, script), r.strict, alignment, int(script.get("maxEvents", -1)))
+    out = stages.dut_analysis(r.tracks(), r.own, r.dets, r.planes, cfg.settings(cfg.EfficiencyConfig, script), r.strict, alignment, int(script.get("maxEvents", -1)), r.local)
     save(out, f"{r.path}/DUTAnalysis", EFFICIENCY_TABLES)
 
 
 def _pad_analysis(r: Run, script: dict[str, Any]) -> None:
     alignment = cfg.settings(cfg.PadAlignmentConfig, script) if script.get("runAlignment", False) else None
-    save(stages.pad_analysis(r.tracks(), r.own, r.dets, cfg.settings(cfg.EfficiencyConfig, script), r.strict, alignment), f"{r.path}/PadDUTAnalysis", EFFICIENCY_TABLES)
+    save(stages.pad_analysis(r.tracks(), r.own, r.dets, cfg.settings(cfg.EfficiencyConfig, script), r.strict, alignment, r.planes, int(script.get("maxEvents", -1))), f"{r.path}/PadDUTAnalysis", EFFICIENCY_TABLES)
 
 
 def _time_resolution(r: Run, script: dict[str, Any]) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hodoscope.config import AlignmentConfig, ClusterConfig, EfficiencyConfig, EventBuilderConfig, HitConfig, PadAlignmentConfig, PositionConfig, ScopeConfig, StripAlignmentConfig, TimingConfig, TrackConfig
 from hodoscope.functions import geometry
-from hodoscope.operators import align, clusters, efficiency, hits, match, scope, timing, tracks
+from hodoscope.operators import align, clusters, efficiency, fits, hits, maps, match, scope, timing, tracks
 from hodoscope.plans.registry import ALGORITHMS, ANALYSES, CONVERTERS
 from hodoscope.sources import apv, bt, scope as scope_source, vmm
 
@@ -49,9 +49,11 @@ def detector_chain(raw: DataFrame, dets: DataFrame, plane_dim: DataFrame, hit: H
 
 
 @ANALYSES.register("TrackAnalysis")
-def track_analysis(local: DataFrame, own: DataFrame, dets: DataFrame, config: TrackConfig, raw_ids: DataFrame | None = None, alignment: AlignmentConfig | None = None, estimate_resolution: bool = True) -> dict[str, Any]:
+def track_analysis(local: DataFrame, own: DataFrame, dets: DataFrame, config: TrackConfig, raw_ids: DataFrame | None = None, alignment: AlignmentConfig | None = None, estimate_resolution: bool = True, plane_dim: DataFrame | None = None) -> dict[str, Any]:
     """Tracks, tracker validation rows and performance tables; alignment first if asked for, its corrections are returned.
 
+    With plane_dim, also maps of the tracks' hits and, from clusters with members, properties of their clusters.
+
     The resolution may be estimated from leave-one-out residuals of events with one hit in each tracker.
     """
     spark = local.sparkSession
@@ -79,10 +81,28 @@ def track_analysis(local: DataFrame, own: DataFrame, dets: DataFrame, config: Tr
     members = clusters.member_hits(own, points.select("entry", "det", F.explode("cluster_indices").alias("cluster_idx"))) if "members" in own.columns else None
     if members is not None:
         found = found.join(tracks.track_t0(members), "entry", "left").withColumn("has_t0", F.coalesce("has_t0", F.lit(False)))
+    if plane_dim is not None:
+        out["hit_maps"] = maps.hit_maps(points, maps.map_ranges(dets, plane_dim), {"selected": ("x", "y")})
+        out["hit_properties"] = _cluster_properties(own, points.select("entry", "det", F.explode("cluster_indices").alias("cluster_idx")))
     out |= {"tracks": found, "validation": loo, "performance": tracks.pooled_resolution(loo, ["det"]), "resolution": tracks.pooled_resolution(loo), "config": config}
     return out
 
 
+def _cluster_properties(own: DataFrame, chosen: DataFrame, trim: bool = False) -> DataFrame:
+    """Charge, size and largest amplitude of chosen clusters (entry, det, cluster_idx) per plane, over ranges a detector's planes share."""
+    picked = own.join(chosen.distinct(), ["entry", "det", "cluster_idx"])
+    return maps.hit_properties(picked, ["det", "plane"], ["det"], {"cluster_charge": "charge", "size": "size", "adc": "max_amp"}, trim=trim)
+
+
+def _residual_tables(rows: DataFrame, prefix: str = "") -> Tables:
+    """Double-Gaussian fits with their shares, and histograms of mean +- 5 rms, of both axes' residuals."""
+    out: Tables = {}
+    for a in "xy":
+        out[f"residual_fits_{a}"] = fits.fit_residuals(rows, ["det"], f"res_{a}")
+        out[f"residual_histogram_{a}"] = fits.histograms(rows, ["det"], f"res_{a}", 100, 5.0)
+    return out
+
+
 def moved(dets: DataFrame, found: align.Alignment) -> DataFrame:
     """The detector table with corrections added and its rotation coefficients made anew."""
     rows = []
@@ -112,7 +132,7 @@ def predictions(found: DataFrame, duts: DataFrame, max_events: int = -1) -> Data
 
 
 @ANALYSES.register("DUTAnalysis")
-def dut_analysis(found: DataFrame, own: DataFrame, dets: DataFrame, plane_dim: DataFrame, config: EfficiencyConfig, strict: DataFrame | None = None, alignment: StripAlignmentConfig | None = None, max_events: int = -1) -> Tables:
+def dut_analysis(found: DataFrame, own: DataFrame, dets: DataFrame, plane_dim: DataFrame, config: EfficiencyConfig, strict: DataFrame | None = None, alignment: StripAlignmentConfig | None = None, max_events: int = -1, local: DataFrame | None = None) -> Tables:
     """Strip DUTs: row table (nearest clusters), residuals, efficiency map, summary, projections, scan and accidental rates.
 
     With alignment settings each detector is aligned first, on the tracks and clusters of single-track events, and all that
@@ -135,6 +155,13 @@ def dut_analysis(found: DataFrame, own: DataFrame, dets: DataFrame, plane_dim: D
     rows = match.nearest_clusters(pred.where(efficiency.in_region(config)), strips)
     samples = match.strip_samples(pred, match.strip_envelopes(strips)).withColumn("flat_bin", efficiency.flat_bin(config))
     out |= _efficiency_tables(samples, config)
+    ranges = maps.map_ranges(duts, plane_dim)
+    out["hit_maps"] = maps.hit_maps(rows, ranges, {"matched": ("hit_x", "hit_y"), "predicted": ("pred_x", "pred_y")})
+    if local is not None:
+        out["hit_maps"] = out["hit_maps"].unionByName(maps.hit_maps(local, ranges, {"reconstructed": ("x", "y")}))
+    out["hit_profile_x"], out["hit_profile_y"] = maps.profiles(out["hit_maps"], "x"), maps.profiles(out["hit_maps"], "y")
+    out["hit_properties"] = _cluster_properties(own, rows.select("entry", "det", F.explode(F.array("cluster_x", "cluster_y")).alias("cluster_idx")).where("cluster_idx IS NOT NULL"), trim=True)
+    out |= _residual_tables(rows)
     out |= {"dut_rows": rows, "residuals_x": efficiency.residual_summary(rows, "x"), "residuals_y": efficiency.residual_summary(rows, "y"), "slope_x": match.residual_slope(rows, "pred_x", "res_x")}
     if config.fake_enabled and strict is not None:
         kept = samples.join(strict, "entry", "left_semi")
@@ -149,8 +176,8 @@ def _efficiency_tables(samples: DataFrame, config: EfficiencyConfig) -> Tables:
 
 
 @ANALYSES.register("PadDUTAnalysis")
-def pad_analysis(found: DataFrame, own: DataFrame, dets: DataFrame, config: EfficiencyConfig, strict: DataFrame | None = None, alignment: PadAlignmentConfig | None = None) -> dict[str, Any]:
-    """Pad DUTs: a row for every event, envelope matching for rows and efficiency alike; optional alignment first."""
+def pad_analysis(found: DataFrame, own: DataFrame, dets: DataFrame, config: EfficiencyConfig, strict: DataFrame | None = None, alignment: PadAlignmentConfig | None = None, plane_dim: DataFrame | None = None, max_events: int = -1) -> dict[str, Any]:
+    """Pad DUTs: a row for every event (the first max_events by entry, if given), envelope matching for rows and efficiency alike; optional alignment first."""
     pads = dets.where("role = 'dut' AND type = 'planar_pad'")
     out: dict[str, Any] = {}
     if alignment:
@@ -159,15 +186,19 @@ def pad_analysis(found: DataFrame, own: DataFrame, dets: DataFrame, config: Effi
 
             def matched(shift: tuple[float, ...], d: dict = d) -> DataFrame:
                 now = moved(base.where(F.col("det") == d["det"]), align.Alignment({d["det"]: shift}, 0, 0, 0, True))
-                s = match.pad_samples(predictions(found, now), match.pad_envelopes(own, now))
+                s = match.pad_samples(predictions(found, now, max_events), match.pad_envelopes(own, now))
                 return match.pad_nearest(s, config.margin).where("hit_flag = 1").select("kx", "ky", "bx", "by", F.col("hit_x").alias("x"), F.col("hit_y").alias("y"))
 
             got = align.align_pad_dut(d, alignment, matched)
             pads = moved(pads, got)
             out[f"alignment_{d['det']}"] = align.corrections_table(found.sparkSession, got)
-    samples = match.pad_samples(predictions(found, pads), match.pad_envelopes(own, pads)).withColumn("flat_bin", efficiency.flat_bin(config))
+    samples = match.pad_samples(predictions(found, pads, max_events), match.pad_envelopes(own, pads)).withColumn("flat_bin", efficiency.flat_bin(config))
     out |= _efficiency_tables(samples, config)
-    out["pad_rows"] = match.pad_nearest(samples, config.margin)
+    out["pad_rows"] = rows = match.pad_nearest(samples, config.margin)
+    out |= _residual_tables(rows) | {f"residuals_{a}": efficiency.residual_summary(rows, a) for a in "xy"}
+    if plane_dim is not None:
+        out["hit_maps"] = maps.hit_maps(rows, maps.map_ranges(pads, plane_dim), {"matched": ("hit_x", "hit_y"), "predicted": ("pred_x", "pred_y")})
+        out["hit_properties"] = _cluster_properties(own, rows.select("entry", "det", "cluster_idx").where("cluster_idx IS NOT NULL"))
     if config.fake_enabled and strict is not None:
         kept = samples.join(strict, "entry", "left_semi")
         fakes = match.pad_fakes(kept, match.fake_partners(kept.select("det", "entry"), config.fake_seed, config.fake_partners), config.margin)

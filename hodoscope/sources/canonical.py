@@ -62,6 +62,14 @@ def calibration(channels: DataFrame) -> DataFrame:
     return last.select("det", "plane", "id0", "id1", F.coalesce("f.pedestal", F.lit(0.0)).alias("pedestal"), F.when(F.col("s") >= 0, F.col("s")).otherwise(-1.0).alias("noise_sigma"), F.coalesce("f.gain", F.lit(1.0)).alias("gain"), F.coalesce("f.polarity", F.lit(1)).alias("polarity"))
 
 
+def channel_rows(events: DataFrame, version: int) -> DataFrame:
+    """(entry, det, plane, id0, id1, adc): every channel of every event as read out; a scalar reading is a wave of one sample."""
+    names = ("detector_id", "plane_type", "id0", "id1", "waveform") if version == 2 else ("det", "plane", "id0", "id1", "adc")
+    flat = events.select("entry", F.inline(F.arrays_zip(*names)))
+    wave = F.col("waveform") if version == 2 else F.array(F.col("adc"))
+    return flat.select("entry", F.col(names[0]).alias("det"), F.col(names[1]).alias("plane"), "id0", "id1", wave.alias("adc"))
+
+
 def field(name: str):
     """x -> x[name], for transform(); a default argument there would be taken for the position."""
     return lambda x: x[name]

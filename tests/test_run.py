@@ -66,6 +66,17 @@ def test_run(spark, base):
     assert 0.9 <= windows["tracks"] <= windows["matched"] <= 1
     stored = results.read_parameters(spark, f"{out}/TimeResolution/parameters")
     assert stored["hat.resolution"] > 0 and sum(stored[f"hat.weights.{k}"] for k in range(3)) == pytest.approx(1)
+    made = spark.read.parquet(f"{out}/hit_maps").groupBy("det").agg(F.sum("count").alias("n")).collect()
+    assert {r.det for r in made} == {1, 2, 3} and sum(r.n for r in made) == spark.read.parquet(f"{out}/tracks").select(F.explode("hits")).count()
+    assert {r.hist for r in spark.read.parquet(f"{out}/hit_properties").select("hist").distinct().collect()} == {"cluster_charge", "size", "adc"}
+    kinds = {r.hist: r.n for r in spark.read.parquet(f"{out}/DUTAnalysis/hit_maps").groupBy("hist").agg(F.sum("count").alias("n")).collect()}
+    rows = spark.read.parquet(f"{out}/DUTAnalysis/dut_rows")
+    assert kinds["matched"] == rows.where("hit_flag = 3").count() and kinds["predicted"] == rows.count() and kinds["reconstructed"] >= kinds["matched"]
+    assert spark.read.parquet(f"{out}/DUTAnalysis/hit_profile_x").count() > 5 and spark.read.parquet(f"{out}/DUTAnalysis/hit_properties").where("hist = 'size'").count() > 0
+    fit = spark.read.parquet(f"{out}/DUTAnalysis/residual_fits_x").first()
+    assert fit["entries"] == rows.where("res_x IS NOT NULL").count() and fit["within_3sigma"] <= fit["within_5sigma"]
+    report = {(r.det, r.plane): r.hits for r in spark.read.parquet(f"{base}/processed/run7/conversion_report").collect()}
+    assert report[10, 0] == 40 and spark.read.parquet(f"{base}/processed/run7/qa").where("det = 10 AND plane = 0 AND hist = 'occupancy'").agg(F.sum("count")).first()[0] == 40
     before = os.path.getmtime(f"{base}/processed/run7/metadata/_SUCCESS")
     config = json.load(open(f"{base}/config.json"))
     config["scripts"] = [{"name": "ExampleScript"}]
