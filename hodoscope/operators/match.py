@@ -113,21 +113,31 @@ def residual_slope(matched: DataFrame, at: str, res: str, least: int = 100) -> D
     return rows.groupBy("det").agg(F.regr_slope(res, at).alias("slope"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+#: Fixed numbers of the draw: a prime modulus and multipliers, so that any engine with 64-bit whole numbers draws the same.
+PRIME, FIRST, SECOND, SEEDS, DETS = 2_147_483_647, 48_271, 16_807, 69_621, 7919
+
+
+def mixed(number: Column, seed: int) -> Column:
+    """A number below PRIME made of a whole number and a seed: u = number * FIRST + seed * SEEDS, then u * u * SECOND + 7 u + seed."""
+    u = F.pmod(F.pmod(number, F.lit(PRIME)) * FIRST + seed * SEEDS, F.lit(PRIME))
+    return F.pmod(F.pmod(u * u, F.lit(PRIME)) * SECOND + 7 * u + seed, F.lit(PRIME))
+
+
 def fake_partners(events: DataFrame, seed: int, partners: int) -> DataFrame:
     """(det, entry, partner): for each strict event of a detector `partners` distinct random others.
 
-    A seeded hash deals a detector's events to rings of about RING events and orders each ring; an event's partners stand
+    A seeded integer mix deals a detector's events to rings of about RING events and orders each ring; an event's partners stand
     at strides spread over its ring. Sorting stands for drawing, so the choice is reproducible, needs no all-pairs step, and
     no task holds more than a ring.
     """
     counts = events.groupBy("det").agg(F.ceil(F.count("*") / RING).alias("rings"))
-    dealt = events.select("det", "entry").join(counts, "det").withColumn("ring", F.pmod(F.xxhash64(F.lit(seed + 1), "entry"), F.col("rings")))
+    dealt = events.select("det", "entry").join(counts, "det").withColumn("ring", F.pmod(mixed(F.col("entry"), seed + 1), F.col("rings")))
     w = Window.partitionBy("det", "ring")
-    ring = dealt.withColumns({"k": F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "entry"), "entry")) - 1, "n": F.count("*").over(w)})
+    ring = dealt.withColumns({"k": F.row_number().over(w.orderBy(mixed(F.col("entry"), seed), "entry")) - 1, "n": F.count("*").over(w)})
     steps = ring.where("n > 1").withColumn("j", F.explode(F.sequence(F.lit(1), F.least(F.lit(partners), F.col("n") - 1).cast("int"))))
     # strides spread over the ring; distinct for distinct j while j < n
     free = F.col("n") - 1
-    spread = F.floor((F.col("j") - 1) * free / partners) + F.pmod(F.xxhash64(F.lit(seed), "entry", "det"), F.greatest(F.floor(free / partners), F.lit(1)))
+    spread = F.floor((F.col("j") - 1) * free / partners) + F.pmod(mixed(F.col("entry") + DETS * F.col("det"), seed + 2), F.greatest(F.floor(free / partners), F.lit(1)))
     stride = F.when(free <= partners, F.col("j")).otherwise(1 + F.pmod(spread, free))
     steps = steps.withColumn("to", F.pmod(F.col("k") + stride, F.col("n")))
     other = ring.select("det", "ring", F.col("k").cast("long").alias("to"), F.col("entry").alias("partner"))

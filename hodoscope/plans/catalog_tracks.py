@@ -187,9 +187,19 @@ def efficiency_weighted(spark, sf) -> DataFrame:
     return own.select("total_events", "valid_bins", *r6("efficiency_x", "efficiency_2d", "nonuniformity_x"))
 
 
-@query()
+_TAIL = "list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2))))"
+_LIMITS = ", ".join(f"round(CASE WHEN p{a} = {0 if side == 'low' else 'total_events'} THEN {0 if side == 'low' else 1} ELSE (SELECT lo FROM limits WHERE a = '{a}' AND side = '{side}' AND step = 55) END, 6) AS {side}_{a}" for a in efficiency.AXES for side in ("low", "high"))
+
+
+# limits by bisection of the binomial distribution's upper tail: of k for the low one, of k + 1 for the high one
+@query(GRID.replace("WITH ", "WITH RECURSIVE ", 1) + f""", whole AS (SELECT CAST(sum(total) AS BIGINT) AS total_events, count(*) AS valid_bins, {", ".join(f"CAST(sum(passed_{a}) AS BIGINT) AS p{a}, CASE WHEN sum(passed_{a}) > 0 THEN round(stddev_pop(passed_{a} / total) / avg(passed_{a} / total), 6) ELSE 0 END AS nonuniformity_{a}" for a in efficiency.AXES)} FROM g WHERE total >= 5),
+limits AS (SELECT a, side, CASE WHEN side = 'low' THEN p ELSE p + 1 END AS k, total_events AS n, CASE WHEN side = 'low' THEN (1 - 0.683::DOUBLE) / 2 ELSE 1 - (1 - 0.683::DOUBLE) / 2 END AS target, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step
+    FROM (SELECT total_events, unnest(['x', 'y', '2d']) AS a, unnest([px, py, p2d]) AS p FROM whole), (SELECT unnest(['low', 'high']) AS side)
+  UNION ALL SELECT a, side, k, n, target, CASE WHEN coalesce({_TAIL}, 0) < target THEN (lo + hi) / 2 ELSE lo END, CASE WHEN coalesce({_TAIL}, 0) < target THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM limits WHERE step < 55)
+SELECT 3 AS det, total_events, valid_bins, {", ".join(f"p{a} AS passed_{a}, round(p{a} / total_events, 6) AS efficiency_{a}, nonuniformity_{a}" for a in efficiency.AXES)}, {_LIMITS} FROM whole""")
 def clopper_pearson(spark, sf) -> DataFrame:
-    return efficiency.summary(efficiency.grid(_samples(spark, sf), 0.61), CONFIG)
+    own = efficiency.summary(efficiency.grid(_samples(spark, sf), 0.61), CONFIG)
+    return own.select("det", "total_events", "valid_bins", *[f"passed_{a}" for a in efficiency.AXES], *r6(*[f"{n}_{a}" for a in efficiency.AXES for n in ("efficiency", "nonuniformity", "low", "high")]))
 
 
 @query(GRID + " SELECT CAST(flat_bin // 3 + 1 AS INTEGER) AS slice, CAST(sum(total) AS BIGINT) AS total, round(sum(passed_x) / sum(total), 6) AS efficiency_x, round(sum(passed_2d) / sum(total), 6) AS efficiency_2d FROM g WHERE total >= 5 GROUP BY 1")
@@ -213,7 +223,22 @@ def efficiency_report(spark, sf) -> DataFrame:
     return efficiency.efficiency_report(_samples(spark, sf), 0.61).select("eligible", "matched_x", "lost_x", *r6("y_given_x"))
 
 
-@query()
+def _mixed_sql(number: str, seed: int) -> str:
+    u = f"((({number}) % {match.PRIME} * {match.FIRST} + {seed * match.SEEDS}) % {match.PRIME})"
+    return f"(({u} * {u} % {match.PRIME} * {match.SECOND} + 7 * {u} + {seed}) % {match.PRIME})"
+
+
+_OFF = "CASE WHEN {q} < low THEN low - {q} WHEN {q} > high THEN {q} - high ELSE 0 END"
+
+
+@query(NEED + f""", fe AS (SELECT entry, {_mixed_sql("entry", CONFIG.fake_seed + 1)} % (SELECT CAST(ceil(count(*) / {match.RING}) AS BIGINT) FROM f) AS ring, {_mixed_sql("entry", CONFIG.fake_seed)} AS h FROM f),
+fr AS (SELECT *, row_number() OVER (PARTITION BY ring ORDER BY h, entry) - 1 AS k, count(*) OVER (PARTITION BY ring) AS n FROM fe),
+fj AS (SELECT *, unnest(range(1, least({CONFIG.fake_partners}, n - 1) + 1)) AS j FROM fr WHERE n > 1),
+ft AS (SELECT *, CASE WHEN n - 1 <= {CONFIG.fake_partners} THEN j ELSE 1 + ((j - 1) * (n - 1) // {CONFIG.fake_partners} + {_mixed_sql(f"entry + {match.DETS} * 3", CONFIG.fake_seed + 2)} % greatest((n - 1) // {CONFIG.fake_partners}, 1)) % (n - 1) END AS stride FROM fj),
+fp AS (SELECT a.entry, b.entry AS partner FROM ft a JOIN fr b ON a.ring = b.ring AND b.k = (a.k + a.stride) % a.n),
+rest AS (SELECT e.* FROM e JOIN f USING (entry) WHERE {_OFF.format(q="(CASE WHEN plane = 0 THEN pred_x ELSE pred_y END)")} > {CONFIG.margin}),
+fn AS (SELECT fp.entry, partner, flat_bin, min(CASE WHEN plane = 0 THEN {_OFF.format(q="pred_x")} END) AS nx, min(CASE WHEN plane = 1 THEN {_OFF.format(q="pred_y")} END) AS ny FROM fp JOIN f ON f.entry = partner LEFT JOIN rest ON rest.entry = fp.entry GROUP BY fp.entry, partner, flat_bin)
+SELECT 3 AS det, flat_bin, count(*) AS total, count(CASE WHEN nx <= {CONFIG.margin} THEN 1 END) AS passed_x, count(CASE WHEN ny <= {CONFIG.margin} THEN 1 END) AS passed_y, count(CASE WHEN nx <= {CONFIG.margin} AND ny <= {CONFIG.margin} THEN 1 END) AS passed_2d FROM fn WHERE flat_bin IS NOT NULL GROUP BY flat_bin""")
 def fake_efficiency(spark, sf) -> DataFrame:
     own = _samples(spark, sf)
     pairs = match.fake_partners(own.select("det", "entry"), CONFIG.fake_seed, CONFIG.fake_partners)
