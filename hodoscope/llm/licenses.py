@@ -221,11 +221,12 @@ def scan(text: str | None, templates: dict[str, str] | None = None, coverage: fl
         for a, b in regions(plain, known.counts[name], len(want), needs[name]):
             for pairs in copies(plain, want, known.bits[name], a, b, needs[name]):
                 found.append((len(pairs), name, len(pairs) / len(want), own[pairs[0][0]][1], own[pairs[-1][0]][2]))
-    out: list[tuple[str, float, int, int]] = []
+    out: list[tuple[int, int, str, float]] = []  # by start; none overlap, so only the neighbours can be in a new one's way
     for _, name, share, start, end in sorted(found, key=lambda f: (-f[0], f[3], f[1])):
-        if all(end <= s or e <= start for _, _, s, e in out):
-            out.append((name, share, start, end))
-    return sorted(out, key=lambda f: f[2])
+        at = bisect_left(out, (start,))
+        if (not at or out[at - 1][1] <= start) and (at == len(out) or end <= out[at][0]):
+            out.insert(at, (start, end, name, share))
+    return [(name, share, start, end) for start, end, name, share in out]
 
 
 def _densest(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:

@@ -167,3 +167,15 @@ def test_language_sample_takes_one_row_of_an_id(spark):
     more = rows + [(ids[0], f"zulu {k}", "en") for k in range(500)]
     t = train(spark.createDataFrame(more, "doc_id long, text string, lang string"), rows=50)
     assert t.names == ["en", "es"]
+
+
+def test_many_license_finds_in_one_text():
+    import time
+
+    said, began = "Released under the MIT License. ", time.process_time()
+    found = licenses.scan(said * 16_000)
+    assert len(found) == 16_000 and [f[2] for f in found] == sorted(f[2] for f in found)
+    assert all(a[3] <= b[2] for a, b in zip(found, found[1:]))
+    assert time.process_time() - began < 20  # quadratic work took minutes
+    few = licenses.scan(said * 7 + "x y z " + said * 3)
+    assert len(few) == 10
