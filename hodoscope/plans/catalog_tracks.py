@@ -19,25 +19,27 @@ SUMS = "count(*)::DOUBLE AS n, sum(gz) AS z, sum(gz * gz) AS zz, sum(gx) AS x, s
 
 @query(f"""WITH {ad.POINTS}, s AS (SELECT entry, {SUMS} FROM g GROUP BY entry),
 f AS (SELECT *, CASE WHEN abs(n * zz - z * z) > 1e-12 THEN (n * xz - z * x) / (n * zz - z * z) END AS kx, CASE WHEN abs(n * zz - z * z) > 1e-12 THEN (n * yz - z * y) / (n * zz - z * z) END AS ky FROM s)
-SELECT entry, {s6("kx")} AS kx, {s6("(x - kx * z) / n")} AS bx, {s6("ky")} AS ky, {s6("(y - ky * z) / n")} AS "by", CAST(n AS INTEGER) AS hits FROM f""")
+SELECT entry, {s6("kx")} AS kx, {s6("(x - kx * z) / n")} AS bx, {s6("ky")} AS ky, {s6("(y - ky * z) / n")} AS "by", CAST(n AS INTEGER) AS hits,
+  round((greatest(xx - kx * xz - (x - kx * z) / n * x, 0) + greatest(yy - ky * yz - (y - ky * z) / n * y, 0)) / (0.12::DOUBLE * 0.12::DOUBLE) / greatest(2 * n - 4, 1)) AS chi2 FROM f""")
 def track_fit(spark, sf) -> DataFrame:
-    return tracks.fit_tracks(ad.points(spark, sf), ["entry"]).select("entry", *r6("kx", "bx", "ky", "by"), "hits")
+    return tracks.fit_tracks(ad.points(spark, sf), ["entry"]).select("entry", *r6("kx", "bx", "ky", "by"), "hits", F.round("chi2").alias("chi2"))
 
 
-@query(f"""WITH {ad.POINTS}, p AS (SELECT a.entry, a.det, a.raw_idx, a.gx, a.gz, b.gx AS ox, b.gz AS oz FROM g a JOIN g b ON a.entry = b.entry AND a.raw_idx <> b.raw_idx),
-f AS (SELECT entry, raw_idx, any_value(gx) AS gx, any_value(gz) AS gz, count(*) AS n, avg(oz) AS mz, regr_slope(ox, oz) AS k, regr_intercept(ox, oz) AS b, sum(oz * oz) - sum(oz) * sum(oz) / count(*) AS szz FROM p GROUP BY entry, raw_idx)
-SELECT entry, raw_idx, CAST(n AS INTEGER) AS n_other, round(gx - (k * gz + b), 7) + 1000 AS res_x FROM f WHERE n >= 2 AND szz > 1""")
+_PAIRS = f"""{ad.POINTS}, p AS (SELECT a.entry, a.det, a.raw_idx, a.gx, a.gy, a.gz, b.gx AS ox, b.gy AS oy, b.gz AS oz FROM g a JOIN g b ON a.entry = b.entry AND a.raw_idx <> b.raw_idx),
+f AS (SELECT entry, raw_idx, any_value(det) AS det, any_value(gx) AS gx, any_value(gy) AS gy, any_value(gz) AS gz, count(*) AS n, avg(oz) AS mz, regr_slope(ox, oz) AS k, regr_intercept(ox, oz) AS b,
+  regr_slope(oy, oz) AS ky, regr_intercept(oy, oz) AS byy, sum(oz * oz) - sum(oz) * sum(oz) / count(*) AS szz FROM p GROUP BY entry, raw_idx)"""
+
+
+@query(f"WITH {_PAIRS} SELECT entry, raw_idx, CAST(n AS INTEGER) AS n_other, round(gx - (k * gz + b), 7) + 1000 AS res_x, round(gy - (ky * gz + byy), 7) + 1000 AS res_y FROM f WHERE n >= 2 AND szz > 1")
 def track_leave_one_out(spark, sf) -> DataFrame:
     own = tracks.leave_one_out(ad.points(spark, sf), ["entry"]).where("n_other >= 2 AND res_x IS NOT NULL AND pointing < 1e6")
-    return own.select("entry", "raw_idx", "n_other", (F.round("res_x", 7) + 1000).alias("res_x"))
+    return own.select("entry", "raw_idx", "n_other", *((F.round(f"res_{a}", 7) + 1000).alias(f"res_{a}") for a in "xy"))
 
 
-@query(f"""WITH {ad.POINTS}, p AS (SELECT a.entry, a.det, a.raw_idx, a.gx, a.gz, b.gx AS ox, b.gz AS oz FROM g a JOIN g b ON a.entry = b.entry AND a.raw_idx <> b.raw_idx),
-f AS (SELECT entry, raw_idx, any_value(det) AS det, any_value(gx) AS gx, any_value(gz) AS gz, count(*) AS n, avg(oz) AS mz, regr_slope(ox, oz) AS k, regr_intercept(ox, oz) AS b, sum(oz * oz) - sum(oz) * sum(oz) / count(*) AS szz FROM p GROUP BY entry, raw_idx)
-SELECT det, round(stddev_pop((gx - (k * gz + b)) / sqrt(1 + 1 / n::DOUBLE + (gz - mz) * (gz - mz) / szz)), 4) AS resolution_x, count(*) AS residuals FROM f WHERE n >= 2 AND szz > 1 GROUP BY det""")
+@query(f"""WITH {_PAIRS} SELECT det, {", ".join(f"round(stddev_pop((g{a} - ({k} * gz + {b})) / sqrt(1 + 1 / n::DOUBLE + (gz - mz) * (gz - mz) / szz)), 4) AS resolution_{a}" for a, k, b in (("x", "k", "b"), ("y", "ky", "byy")))}, count(*) AS residuals FROM f WHERE n >= 2 AND szz > 1 GROUP BY det""")
 def pooled_resolution(spark, sf) -> DataFrame:
     own = tracks.leave_one_out(ad.points(spark, sf), ["entry"]).where("n_other >= 2 AND pointing < 1e6")
-    return tracks.pooled_resolution(own, ["det"]).select("det", F.round("resolution_x", 4).alias("resolution_x"), "residuals")
+    return tracks.pooled_resolution(own, ["det"]).select("det", *(F.round(f"resolution_{a}", 4).alias(f"resolution_{a}") for a in "xy"), "residuals")
 
 
 @query("""WITH p AS (SELECT 3.0::DOUBLE AS n, 100.0::DOUBLE AS m, 20000.0::DOUBLE AS szz) SELECT z * 2.0::DOUBLE AS z, round(0.12 * sqrt(1 / n + (z * 2 - m) ^ 2 / szz), 6) AS pointing, round(0.12 / sqrt(szz), 6) AS angular FROM p, range(0, 301) r(z)""")
@@ -217,10 +219,15 @@ def margin_scan(spark, sf) -> DataFrame:
     return efficiency.margin_scan(_samples(spark, sf), SCAN).select(*r6("margin"), "total_events", *r6("efficiency_x", "efficiency_2d"))
 
 
-@query(NEED + """ SELECT count(*) AS eligible, count(CASE WHEN need_x <= 0.61 THEN 1 END) AS matched_x, count(CASE WHEN need_x > 0.61 THEN 1 END) AS lost_x,
-  round(count(CASE WHEN need_2d <= 0.61 THEN 1 END) / count(CASE WHEN need_x <= 0.61 THEN 1 END), 6) AS y_given_x FROM f""")
+_PER_AXIS = ", ".join(f"count(CASE WHEN need_{a} <= 0.61 THEN 1 END) AS matched_{a}, count(CASE WHEN need_{a} > 0.61 THEN 1 END) AS lost_{a}" for a in efficiency.AXES)
+_SHARES = ", ".join(f"matched_{a}, lost_{a}, round(matched_{a} / eligible, 6) AS efficiency_{a}, round(sqrt(matched_{a} / eligible * (1 - matched_{a} / eligible) / eligible), 6) AS error_{a}" for a in efficiency.AXES)
+
+
+@query(NEED + f""", c AS (SELECT count(*) AS eligible, {_PER_AXIS}, count(CASE WHEN need_x <= 0.61 AND need_y <= 0.61 THEN 1 END) AS b FROM f)
+SELECT 3 AS det, eligible, {_SHARES}, round(b / nullif(matched_x, 0), 6) AS y_given_x, round(b / nullif(matched_y, 0), 6) AS x_given_y FROM c""")
 def efficiency_report(spark, sf) -> DataFrame:
-    return efficiency.efficiency_report(_samples(spark, sf), 0.61).select("eligible", "matched_x", "lost_x", *r6("y_given_x"))
+    own = efficiency.efficiency_report(_samples(spark, sf), 0.61)
+    return own.select("det", "eligible", *(f"{n}_{a}" for a in efficiency.AXES for n in ("matched", "lost")), *r6(*(f"{n}_{a}" for a in efficiency.AXES for n in ("efficiency", "error")), "y_given_x", "x_given_y"))
 
 
 def _mixed_sql(number: str, seed: int) -> str:
@@ -294,8 +301,8 @@ def _blur(spark, sf) -> DataFrame:
 
 
 BLUR = """r AS (SELECT CAST(l_suppkey % 4 AS INTEGER) AS det, ((l_quantity - 25.5::DOUBLE) / 14 + (round(l_discount * 100) - 5) / 3 + (round(l_tax * 100) - 4) / 2.5::DOUBLE + (l_partkey % 64 - 31.5::DOUBLE) / 18)
-  * CASE WHEN l_linenumber = 7 THEN 3 ELSE 1 END AS res FROM lineitem),
-m AS (SELECT det, count(*) AS entries, avg(res) AS mean, stddev_pop(res) AS rms, avg(res) - 6 * stddev_pop(res) AS low, 12 * stddev_pop(res) / 160 AS width FROM r GROUP BY det),
+  * CASE WHEN l_linenumber = 7 THEN 3 ELSE 1 END AS res FROM lineitem)"""
+HISTOGRAM = """m AS (SELECT det, count(*) AS entries, avg(res) AS mean, stddev_pop(res) AS rms, avg(res) - 6 * stddev_pop(res) AS low, 12 * stddev_pop(res) / 160 AS width FROM r GROUP BY det),
 h AS MATERIALIZED (SELECT det, bin, count(*)::DOUBLE AS n, any_value(low) + (bin + 0.5::DOUBLE) * any_value(width) AS x FROM (SELECT r.det, CAST(floor((res - low) / width) AS INTEGER) AS bin, low, width FROM r JOIN m ON r.det = m.det) WHERE bin BETWEEN 0 AND 159 GROUP BY det, bin)"""
 
 
@@ -313,7 +320,7 @@ p{k + 1} AS MATERIALIZED (SELECT det, a + (rg * (uu * vv - uv * uv) - gu * (ru *
     return ",\n".join(out)
 
 
-@query(f"""WITH {BLUR}, {_newton()}
+@query(f"""WITH {BLUR}, {HISTOGRAM}, {_newton()}
 SELECT det, m.entries, CAST((SELECT count(*) FROM h WHERE h.det = m.det) AS INTEGER) AS used, true AS fitted, round(c, 4) + 1 AS centre, round(abs(s), 4) AS sigma FROM p25 JOIN m USING (det)""")
 def gaussian_fits(spark, sf) -> DataFrame:
     """A Gaussian per detector; the SQL solves the same least squares by its own Gauss-Newton steps."""
@@ -321,7 +328,7 @@ def gaussian_fits(spark, sf) -> DataFrame:
     return own.select("det", "entries", "used", "fitted", (F.round("centre", 4) + 1).alias("centre"), F.round("sigma", 4).alias("sigma"))
 
 
-@query(f"""WITH {BLUR} SELECT det, any_value(m.entries) AS entries, CAST(count(*) AS INTEGER) AS used, true AS stationary, true AS ordered FROM h JOIN m USING (det) GROUP BY det""")
+@query(f"""WITH {BLUR}, {HISTOGRAM} SELECT det, any_value(m.entries) AS entries, CAST(count(*) AS INTEGER) AS used, true AS stationary, true AS ordered FROM h JOIN m USING (det) GROUP BY det""")
 def double_gaussian_fits(spark, sf) -> DataFrame:
     """Core and tail per detector. stationary: the normal equations hold at the fit; ordered: its widths and shares are in order."""
     own = fits.fit_residuals(_blur(spark, sf), ["det"], "res_x")
@@ -329,7 +336,7 @@ def double_gaussian_fits(spark, sf) -> DataFrame:
     return own.select("det", "entries", "used", (F.col("fitted") & (F.col("gradient") < 1e-3)).alias("stationary"), ordered.alias("ordered"))
 
 
-@query(f"""WITH {BLUR}, n AS (SELECT det, mean - 5 * rms AS low, 10 * rms / 100 AS width FROM m)
+@query(f"""WITH {BLUR}, {HISTOGRAM}, n AS (SELECT det, mean - 5 * rms AS low, 10 * rms / 100 AS width FROM m)
 SELECT r.det, CAST(floor((res - n.low) / n.width) AS INTEGER) AS bin, count(*) AS count FROM r JOIN n ON r.det = n.det WHERE res >= n.low AND floor((res - n.low) / n.width) < 100 GROUP BY ALL""")
 def residual_histogram(spark, sf) -> DataFrame:
     """Residuals of mean +- 5 rms in 100 bins, ranges per detector from the data."""
@@ -361,13 +368,13 @@ def amplitude_veto(spark, sf) -> DataFrame:
 @query(f"""WITH {ad.HITS}, t AS (SELECT entry, det, min(time) AS t FROM h GROUP BY entry, det), w AS (SELECT entry, max(CASE WHEN det = 0 THEN t END) AS a, max(CASE WHEN det = 1 THEN t END) AS b, max(CASE WHEN det = 2 THEN t END) AS c FROM t GROUP BY entry),
 s AS (SELECT stddev_pop(a - b) AS s12, stddev_pop(a - c) AS s13, stddev_pop(b - c) AS s23 FROM w),
 v AS (SELECT (s12 ^ 2 + s13 ^ 2 - s23 ^ 2) / 2 AS v1, (s12 ^ 2 + s23 ^ 2 - s13 ^ 2) / 2 AS v2, (s13 ^ 2 + s23 ^ 2 - s12 ^ 2) / 2 AS v3 FROM s)
-SELECT round(v1, 6) AS v1, round(v2, 6) AS v2, round(v3, 6) AS v3, round(1 / v1 / (1 / v1 + 1 / v2 + 1 / v3), 6) AS w1, round(1 / sqrt(1 / v1 + 1 / v2 + 1 / v3), 6) AS resolution FROM v""")
+SELECT round(v1, 6) AS v1, round(v2, 6) AS v2, round(v3, 6) AS v3, round(1 / v1 / (1 / v1 + 1 / v2 + 1 / v3), 6) AS w1, round(1 / v2 / (1 / v1 + 1 / v2 + 1 / v3), 6) AS w2, round(1 / v3 / (1 / v1 + 1 / v2 + 1 / v3), 6) AS w3, round(1 / sqrt(1 / v1 + 1 / v2 + 1 / v3), 6) AS resolution FROM v""")
 def three_corner_hat(spark, sf) -> DataFrame:
     t = ad.hits(spark, sf).groupBy("entry", "det").agg(F.min("time").alias("t"))
     pick = lambda d: F.max(F.when(F.col("det") == d, F.col("t")))
     w = t.groupBy("entry").agg(pick(0).alias("a"), pick(1).alias("b"), pick(2).alias("c"))
     s = w.agg(F.stddev_pop(F.col("a") - F.col("b")).alias("s12"), F.stddev_pop(F.col("a") - F.col("c")).alias("s13"), F.stddev_pop(F.col("b") - F.col("c")).alias("s23"))
-    return s.withColumns(timing.hat_columns(F.col("s12"), F.col("s13"), F.col("s23"))).select(*r6("v1", "v2", "v3", "w1", "resolution"))
+    return s.withColumns(timing.hat_columns(F.col("s12"), F.col("s13"), F.col("s23"))).select(*r6("v1", "v2", "v3", "w1", "w2", "w3", "resolution"))
 
 
 @query("SELECT c_nationkey AS nation, round(CASE WHEN var_pop(c_acctbal) - avg(c_custkey) >= 0 THEN sqrt(var_pop(c_acctbal) - avg(c_custkey)) END, 4) AS intrinsic FROM customer GROUP BY c_nationkey")
@@ -437,11 +444,17 @@ def corrected_times(spark, sf) -> DataFrame:
     return timing.corrected_times(ad.hits(spark, sf), ["entry", "det"], walk, "XMin").where("t IS NOT NULL").select("entry", "det", *r6("t"))
 
 
-@query()
+@query(f"""WITH {ad.HITS}, o AS (SELECT entry, det, avg(time) AS t FROM h WHERE det < 3 GROUP BY entry, det),
+w AS (SELECT entry, max(CASE WHEN det = 0 THEN t END) AS a, max(CASE WHEN det = 1 THEN t END) AS b, max(CASE WHEN det = 2 THEN t END) AS c FROM o GROUP BY entry HAVING count(*) = 3),
+r AS (SELECT 12 AS det, a - b AS res FROM w UNION ALL SELECT 13, a - c FROM w UNION ALL SELECT 23, b - c FROM w),
+{HISTOGRAM.replace("h AS MATERIALIZED", "hg AS MATERIALIZED")}, {_newton().replace("FROM h ", "FROM hg ").replace("h.det", "hg.det")},
+s AS (SELECT max(CASE WHEN det = 12 THEN s END) ^ 2 AS a, max(CASE WHEN det = 13 THEN s END) ^ 2 AS b, max(CASE WHEN det = 23 THEN s END) ^ 2 AS c FROM p25)
+SELECT round(1 / sqrt(2 / (a + b - c) + 2 / (a + c - b) + 2 / (b + c - a)), 3) AS resolution, round((a + b - c) / 2, 3) AS v1, round((a + c - b) / 2, 3) AS v2, round((b + c - a) / 2, 3) AS v3 FROM s""")
 def resolution_fit(spark, sf) -> DataFrame:
+    """Three detectors' variances from fitted widths of their differences; the SQL solves the fits' least squares by itself."""
     t = ad.hits(spark, sf).where("det < 3").groupBy("entry", "det").agg(F.avg("time").alias("t")).withColumn("track_index", F.lit(0))
     h = timing.resolution_by_hat(t, (0, 1, 2))
-    return spark.createDataFrame([(float(h["resolution"]), *map(float, h["variances"]))], "resolution double, v1 double, v2 double, v3 double")
+    return spark.createDataFrame([tuple(round(float(v), 3) for v in (h["resolution"], *h["variances"]))], "resolution double, v1 double, v2 double, v3 double")
 
 
 @query("""WITH r AS (SELECT l_returnflag AS k, l_quantity AS a, l_partkey % 101 AS r FROM lineitem), x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY a) - 1 AS ra, row_number() OVER (PARTITION BY k ORDER BY r) - 1 AS rr, count(*) OVER (PARTITION BY k) AS n FROM r),
