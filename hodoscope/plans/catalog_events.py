@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hodoscope.config import EventBuilderConfig
@@ -97,15 +97,8 @@ COUNTER = "event_id * 7919 % 65536"
 @query(f"""WITH e AS (SELECT event_id, CAST({COUNTER} AS BIGINT) AS c FROM events), w AS (SELECT *, lag(c) OVER (ORDER BY event_id) AS before FROM e)
 SELECT event_id, CAST(c + 65536 * sum(CASE WHEN before > 61440 AND c < 4096 THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS extended FROM w""")
 def counter_unwrap(spark, sf) -> DataFrame:
-    """Counters of all files are unwrapped at once: wraps are found by lag within day runs, and their counts carried over runs."""
-    e = ad.table(spark, sf, "events").select("event_id", F.expr(COUNTER).cast("long").alias("c"), F.floor(F.col("event_id") / 1000).alias("part"))
-    w = Window.partitionBy("part").orderBy("event_id")
-    ends = e.groupBy("part").agg(F.max_by("c", "event_id").alias("end_c")).select((F.col("part") + 1).alias("part"), "end_c")
-    own = e.join(ends, "part", "left").withColumn("before", F.coalesce(F.lag("c").over(w), F.col("end_c")))
-    own = own.withColumn("wrap", F.coalesce((F.col("before") > 0xF000) & (F.col("c") < 0x1000), F.lit(False)).cast("int"))
-    total = own.groupBy("part").agg(F.sum("wrap").alias("wraps"))
-    base = total.withColumn("base", F.coalesce(F.sum("wraps").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    return own.join(F.broadcast(base), "part").select("event_id", (F.col("c") + 65536 * (F.col("base") + F.sum("wrap").over(w.rowsBetween(Window.unboundedPreceding, 0)))).alias("extended"))
+    e = ad.table(spark, sf, "events").select("event_id", F.expr(COUNTER).cast("long").alias("c"))
+    return bt.unwrap(e, "event_id", "c").select("event_id", "extended")
 
 
 def _blocks(spark, sf) -> DataFrame:

@@ -12,7 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hodoscope.sources.canonical import field, with_entry
@@ -101,6 +101,32 @@ def read_blocks(spark: SparkSession, paths: list[str], samples: int) -> DataFram
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, CHANNEL)
 
 
+def unwrap(rows: DataFrame, order: str, counter: str, span: int = 1000) -> DataFrame:
+    """rows with `extended`: the 16-bit counter plus 65536 for each time it has begun anew, along the whole numbers of order.
+
+    A wrap is a fall from the counter's top sixteenth to its bottom sixteenth between neighbours. Neighbours are found within
+    parts of `span` numbers, a part's first row looking at the end of the last part before it that has rows; counts of wraps
+    are then carried over parts, within blocks of `span` parts, and over blocks: one row a part and a block at each level.
+    Rows of a null order or counter take no part.
+    """
+    own = rows.where(F.col(order).isNotNull() & F.col(counter).isNotNull()).withColumn("__part", F.floor(F.col(order) / span))
+    last = own.groupBy("__part").agg(F.max_by(counter, order).alias("__end")).withColumn("__block", F.floor(F.col("__part") / span))
+    blocks = last.groupBy("__block").agg(F.max_by("__end", "__part").alias("__block_end"))
+    w = Window.orderBy("__block")  # a row a block of span * span numbers
+    blocks = blocks.withColumn("__before_block", F.lag("__block_end").over(w)).drop("__block_end")
+    ends = last.join(blocks, "__block").withColumn("__end_before", F.coalesce(F.lag("__end").over(Window.partitionBy("__block").orderBy("__part")), F.col("__before_block")))
+    w = Window.partitionBy("__part").orderBy(order)
+    marked = own.join(ends.select("__part", "__end_before"), "__part").withColumn("__prev", F.coalesce(F.lag(counter).over(w), F.col("__end_before")))
+    marked = marked.withColumn("__wrap", F.coalesce((F.col("__prev") > 0xF000) & (F.col(counter) < 0x1000), F.lit(False)).cast("int"))
+    sums = marked.groupBy("__part").agg(F.sum("__wrap").alias("__n")).withColumn("__block", F.floor(F.col("__part") / span))
+    upper = sums.groupBy("__block").agg(F.sum("__n").alias("__n_block"))
+    upper = upper.withColumn("__base_block", F.coalesce(F.sum("__n_block").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = F.coalesce(F.sum("__n").over(Window.partitionBy("__block").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sums.join(upper.select("__block", "__base_block"), "__block").select("__part", (F.col("__base_block") + inner).alias("__base"))
+    turns = F.col("__base") + F.sum("__wrap").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.join(base, "__part").withColumn("extended", (F.col(counter) + 65536 * turns).cast("long")).select(*rows.columns, "extended")
+
+
 MAP_COLUMNS = ["board_id", "chip_id", "channel_id", "detector_id", "plane_type", "strip_id", "pedestal", "noise_sigma", "gain", "polarity", "status"]
 MAP_DEFAULTS = {"pedestal": 0.0, "noise_sigma": -1.0, "gain": 1.0, "polarity": 1, "status": 0}
 

@@ -160,6 +160,21 @@ def test_block_source_in_spark(spark, folder):
     assert sorted(map(tuple, slim.collect())) == sorted((r[2], r[8]) for r in want if r[0].endswith("run0.dat"))
 
 
+def test_counters_are_unwrapped_over_parts_and_blocks(spark):
+    rng = random.Random(6)
+    ids = sorted(rng.sample(range(-50, 4000), 900))  # gaps longer than a part and a block of 3
+    c, rows, epoch, before = 64000, [], 0, None
+    for i in ids:
+        c = (c + rng.choice([10, 900, 3000])) % 65536
+        epoch += 65536 * (before is not None and before > 0xF000 and c < 0x1000)
+        rows.append((i, c, c + epoch))
+        before = c
+    df = spark.createDataFrame([(i, c, "kept") for i, c, _ in rows] + [(None, 3, "x"), (5, None, "x")], "i long, c long, other string").repartition(5)
+    for span in (3, 20, 1000):
+        assert sorted((r.i, r.c, r.extended) for r in bt.unwrap(df, "i", "c", span).collect()) == rows
+    assert epoch > 65536
+
+
 def _coincidences_one_by_one(rows, window, dead):
     out = []
     for run in {r[0] for r in rows}:
