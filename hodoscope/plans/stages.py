@@ -89,9 +89,13 @@ def track_analysis(local: DataFrame, own: DataFrame, dets: DataFrame, config: Tr
 
 
 def _cluster_properties(own: DataFrame, chosen: DataFrame, trim: bool = False) -> DataFrame:
-    """Charge, size and largest amplitude of chosen clusters (entry, det, cluster_idx) per plane, over ranges a detector's planes share."""
+    """Charge, size and largest amplitude of chosen clusters (entry, det, cluster_idx) per plane, over ranges a detector's planes share.
+
+    Of clusters that lack some of these columns, the rest.
+    """
     picked = own.join(chosen.distinct(), ["entry", "det", "cluster_idx"])
-    return maps.hit_properties(picked, ["det", "plane"], ["det"], {"cluster_charge": "charge", "size": "size", "adc": "max_amp"}, trim=trim)
+    values = {"cluster_charge": "charge", "size": "size", "adc": "max_amp"}
+    return maps.hit_properties(picked, ["det", "plane"], ["det"], {n: c for n, c in values.items() if c in own.columns}, trim=trim)
 
 
 def _residual_tables(rows: DataFrame, prefix: str = "") -> Tables:
