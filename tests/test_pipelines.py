@@ -225,6 +225,29 @@ def test_left_range_join_keeps_each_row(spark):
     assert sorted(map(str, want)) == sorted(str((r.k, r.t, r.id)) for r in got.collect())
 
 
+def test_windows_shuffle_no_pairs(spark):
+    """In a dense run the pairs of triggers and hits are a multiple of both; only triggers and hits may be shuffled."""
+    n = 3000
+    hits = spark.range(n).select(F.lit(1).cast("long").alias("run"), "id", *(F.lit(0).alias(c) for c in ("det", "plane", "id0", "id1", "vmm", "ch", "adc")), F.pmod(F.col("id") * 7, F.lit(50)).cast("double").alias("time"))
+    # one trigger is there twice, one has no hit
+    triggers = spark.createDataFrame([(1, k, float(k % 40)) for k in range(100)] + [(1, 3, 3.0), (1, 500, 900.0)], "run long, trigger long, t double")
+    c = EventBuilderConfig(window_offset_ns=0.0, before_ns=5.0, after_ns=5.0)
+    flat = events.event_window(triggers, hits, c)
+    want = {}
+    for t in triggers.collect():
+        want.setdefault(t.trigger, []).extend((float(i * 7 % 50), i) for i in range(n) if t.t - 5 <= i * 7 % 50 < t.t + 5)
+    got = {}
+    for r in flat.collect():
+        got.setdefault(r.trigger, []).extend([(r.hit_time, r.id)] if r.id is not None else [])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and want[500] == []
+    for own in (flat,):
+        own.write.format("noop").mode("overwrite").save()
+    for own in (flat,):
+        plan = own._jdf.queryExecution().optimizedPlan().toString()
+        # nothing is grouped, sorted or joined after hits have met their triggers
+        assert plan.index("Join LeftOuter") < min([plan.index(w) for w in ("Aggregate", "Window", "Sort") if w in plan] or [len(plan)])
+
+
 def _searched_one_by_one(frame, geometry, c):
     """(event, hits by layer, line) of every track, event by event."""
     out = []
