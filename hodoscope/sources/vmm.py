@@ -39,7 +39,7 @@ def convert(hits: DataFrame, geometry: DataFrame, c: EventBuilderConfig) -> tupl
     """(events, channels, unmapped counts): coincidence triggers, their windows, and the channels met."""
     triggers = ev.coincidences(ev.trigger_candidates(hits, c), c.coincidence_window_ns, c.dead_time_ns)
     mapped, lost = ev.select_hits(hits, geometry, c)
-    return ev.nested_events(ev.event_window(triggers, mapped, c)), ev.observed_channels(mapped), lost
+    return ev.nested_events(triggers, mapped, c), ev.observed_channels(mapped), lost
 
 
 def conversion_report(mapped: DataFrame, lost: DataFrame, n_events: int) -> DataFrame:

@@ -233,6 +233,7 @@ def test_windows_shuffle_no_pairs(spark):
     triggers = spark.createDataFrame([(1, k, float(k % 40)) for k in range(100)] + [(1, 3, 3.0), (1, 500, 900.0)], "run long, trigger long, t double")
     c = EventBuilderConfig(window_offset_ns=0.0, before_ns=5.0, after_ns=5.0)
     flat = events.event_window(triggers, hits, c)
+    nested = events.nested_events(triggers, hits, c)
     want = {}
     for t in triggers.collect():
         want.setdefault(t.trigger, []).extend((float(i * 7 % 50), i) for i in range(n) if t.t - 5 <= i * 7 % 50 < t.t + 5)
@@ -240,9 +241,12 @@ def test_windows_shuffle_no_pairs(spark):
     for r in flat.collect():
         got.setdefault(r.trigger, []).extend([(r.hit_time, r.id)] if r.id is not None else [])
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and want[500] == []
-    for own in (flat,):
+    rows = nested.collect()
+    assert {r.evt: list(zip((r.time + x for x in r.hit_time_ns), r.rawhitid)) for r in rows} == {k: sorted(v) for k, v in want.items()}
+    assert sorted(r.entry for r in rows) == list(range(101)) and all(len(r.adc) == len(r.waveform) == len(r.rawhitid) for r in rows)
+    for own in (flat, nested):
         own.write.format("noop").mode("overwrite").save()
-    for own in (flat,):
+    for own in (flat, nested):
         plan = own._jdf.queryExecution().optimizedPlan().toString()
         # nothing is grouped, sorted or joined after hits have met their triggers
         assert plan.index("Join LeftOuter") < min([plan.index(w) for w in ("Aggregate", "Window", "Sort") if w in plan] or [len(plan)])
