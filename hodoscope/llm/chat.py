@@ -6,8 +6,10 @@ follows it is the new turn's span; where it doesn't, the template has rewritten
 the characters both share. Where the turn's own text lies in its span is found by rendering the same prefix with two probe
 texts, which differ from their first character on.
 
-Conversations stream through sorted partitions turn by turn, a bounded window of turns at a time, so that one that holds any
-share of all rows is never gathered.
+Conversations stream through sorted partitions turn by turn. A template whose reach is known (REACH: a turn's output depends
+on no turn further away) is rendered over a window of turns that holds its reach, which gives what whole prefixes give, and a
+conversation that holds any share of all rows is never gathered. Of any other template nothing is known, so whole prefixes are
+rendered: exact, at a cost that grows with the square of a conversation, which its task then holds.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from hodoscope.llm.common import map_batches
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-#: A window that has reached WINDOW turns goes on with its last half: a prefix is rendered over so many turns at most.
+#: Turns of the window of a template whose reach is known; a full one goes on with its last half.
 WINDOW = 32
 OUT_ROWS = 256
 
@@ -69,6 +71,14 @@ def last_thoughts(turns: list[Turn]) -> str:
 
 
 TEMPLATES: dict[str, Template] = {"marked": marked, "headed": headed, "last_thoughts": last_thoughts}
+#: How many turns away a turn may be that its output depends on; what comes before all turns may not depend on any.
+REACH: dict[Template, int] = {marked: 0, headed: 0, last_thoughts: 1}
+
+
+def safe_window(template: Template, reach: int | None = None) -> int | None:
+    """Turns of a window that gives what whole prefixes give; None (no window) where the template's reach isn't known."""
+    reach = REACH.get(template) if reach is None else reach
+    return None if reach is None else max(WINDOW, 2 * reach + 2)
 
 
 def shared_start(a: str, b: str) -> int:
@@ -87,15 +97,15 @@ def text_place(prefix: list[Turn], role: str, render: Template) -> tuple[int, in
 class Renderer:
     """One conversation, turn by turn."""
 
-    def __init__(self, render: Template, loss_roles: frozenset[str], window: int = WINDOW) -> None:
-        self.render, self.loss_roles, self.window = render, loss_roles, max(2, window)
+    def __init__(self, render: Template, loss_roles: frozenset[str], window: int | None = None) -> None:
+        self.render, self.loss_roles, self.window = render, loss_roles, None if window is None else max(2, window)
         self.turns: list[Turn] = []
         self.out = render([])
         self.before = 0  # characters of the whole output ahead of self.out
 
     def add(self, role: str, text: str) -> dict:
         """The turn's row: what of the output so far is kept, the piece that follows, where its text lies, a rewrite."""
-        if len(self.turns) >= self.window:
+        if self.window is not None and len(self.turns) >= self.window:
             self._narrow()
         out = self.render([*self.turns, (role, text)])
         keep = shared_start(self.out, out) if self.turns else 0  # what comes before all turns goes out with the first
@@ -120,18 +130,19 @@ SCHEMA = "conv_id long, seq long, role string, text string, keep long, piece str
 _ARROW = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("keep", pa.int64()), ("piece", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("rewrites", pa.bool_())])
 
 
-def format_conversations(df: DataFrame, template: str | Template = "marked", loss_roles: tuple[str, ...] = ("assistant",), window: int = WINDOW) -> DataFrame:
+def format_conversations(df: DataFrame, template: str | Template = "marked", loss_roles: tuple[str, ...] = ("assistant",), reach: int | None = None) -> DataFrame:
     """One row per turn of df(conv_id, turn, role, text): seq (from 0), role, text, keep, piece, loss_start, loss_end, rewrites.
 
     The output after a turn is the first `keep` characters of the output before it, then piece; loss_start and loss_end are
-    the place of the text of a turn of loss_roles in that output. rewrites: the template changed what it had put out before;
-    a change further back than the window isn't seen. A conversation's rows stand together, by seq, in one partition.
+    the place of the text of a turn of loss_roles in that output. rewrites: the template changed what it had put out before,
+    however far back. reach: of a template of one's own, the turns away that a turn's output depends on, if that is known; else
+    whole prefixes are rendered. A conversation's rows stand together, by seq, in one partition.
 
     Turns go by turn (null first), role, text; rows that agree in all of them stay, one after the other. Null roles and texts
     are empty; rows of null conv_id make one conversation. Extra columns are not read.
     """
     render = TEMPLATES[template] if isinstance(template, str) else template
-    roles = frozenset(loss_roles)
+    roles, window = frozenset(loss_roles), safe_window(render, reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = run  # no conversation yet

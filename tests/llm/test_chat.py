@@ -88,3 +88,20 @@ def test_operator_rows_and_empty_table(spark, folder):
 def test_reading_back_refuses_text_outside_of_turns():
     with pytest.raises(ValueError):
         chat.read_back("x" + chat.marked([("user", "a")]))
+
+
+def _rebuilt(rows, render, turns):
+    out = ""
+    for k, r in enumerate(rows):
+        before, out = out, out[: r.keep] + r.piece
+        assert out == render(turns[: k + 1]) and r.rewrites == (not out.startswith(before))
+
+
+def test_rewrites_far_back_are_seen(spark):
+    turns = [("assistant" if k % 2 else "user", f"t{k}<think>{k}</think>") for k in range(100)]
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    every_tenth = lambda turns: "".join(t.upper() if len(turns) % 10 == 0 and k == 0 else t for k, (_, t) in enumerate(turns))
+    for template in (every_tenth, "last_thoughts", "marked"):
+        rows = chat.format_conversations(df, template).collect()
+        _rebuilt(rows, chat.TEMPLATES.get(template, template) if isinstance(template, str) else template, turns)
+    assert chat.safe_window(every_tenth) is None and chat.safe_window(chat.marked) == chat.WINDOW and chat.safe_window(every_tenth, 40) == 82
