@@ -36,7 +36,7 @@ NUMER, DENOM = 75, 100
 LEAST_AGREE = 0.55
 #: Neighbours on either side; classes of a group compared in one task; hubs of a larger group.
 WINDOW, CHUNK, HUBS = 256, 64, 4
-#: Classes and shingles of a block, and the most blocks of a group that its classes outside the main component all meet.
+#: Classes and shingles of a block, and the blocks of a group beyond which neighbours meet first.
 BLOCK, BLOCK_SHINGLES, MAX_BLOCKS = 256, 500_000, 64
 _SEED = np.random.default_rng(20240607)
 _MUL = _SEED.integers(1, 1 << 63, VALUES, np.uint64) | np.uint64(1)
@@ -216,25 +216,36 @@ def joining(ids: list[int], sets: list[np.ndarray], now: list[int], tried: list[
     return out
 
 
-def _blocks(full: DataFrame, now: DataFrame, ranked: DataFrame, block: int, max_blocks: int, window: int) -> DataFrame:
-    """Rows (root, bx, by, id, now, stray, shingles): blocks in which classes outside their group's main component meet others.
+def _apart(full: DataFrame, now: DataFrame, block: int) -> DataFrame:
+    """Classes of the large groups of several components: (id, root, size, shingles, now, nx, ny, stray).
 
-    full: the classes of large groups (id, root, size, shingles); now: their components (id, now).
+    full: the classes of large groups (id, root, size, shingles); now: their components (id, now). stray: outside the group's
+    main component; nx, ny: how many blocks the group and its strays make.
     """
     each = full.join(now, "id").withColumn("n", F.length("shingles") / 8)
     parts = each.groupBy("root", "now").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     main = parts.groupBy("root").agg(F.max_by("now", F.struct("rows", -F.col("now"))).alias("main"), F.max("rows").alias("most"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum(F.lit(1)).alias("parts"))
     count = lambda rows, n: F.greatest(F.lit(1), F.ceil(rows / block), F.ceil(n / BLOCK_SHINGLES)).cast("int")
     main = main.where("parts > 1").select("root", "main", count(F.col("rows"), F.col("n")).alias("nx"), count(F.col("rows") - F.col("most"), F.col("n") * (1 - F.col("most") / F.col("rows"))).alias("ny"))
-    each = cut(each.join(main, "root").withColumn("stray", F.col("now") != F.col("main")), "apart")
-    cols = [F.col("root").cast("long").alias("root"), F.col("bx").cast("long").alias("bx"), F.col("by").cast("long").alias("by"), "id", "now", "stray", "shingles"]
-    few = each.where(F.col("nx") <= max_blocks)
+    return each.join(main, "root").withColumn("stray", F.col("now") != F.col("main"))
+
+
+def _columns(bx: str, by: str) -> list:
+    return [F.col("root").cast("long").alias("root"), F.col(bx).cast("long").alias("bx"), F.col(by).cast("long").alias("by"), "id", "now", "stray", "shingles"]
+
+
+def _blocks(each: DataFrame) -> DataFrame:
+    """Rows (root, bx, by, id, now, stray, shingles): blocks in which each stray class meets each class of its group."""
     dealt = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    across = few.withColumns({"bx": dealt("nx", 0), "by": F.explode(F.sequence(F.lit(0), F.col("ny") - 1)), "stray": F.lit(False)})
-    down = few.where("stray").withColumns({"by": dealt("ny", 1), "bx": F.explode(F.sequence(F.lit(0), F.col("nx") - 1))})
-    many = each.where(F.col("nx") > max_blocks)
-    order = _cells(ranked.select("id", "rank").join(many, "id"), window).withColumns({"root": F.lit(-1), "bx": F.col("cell"), "by": F.lit(0)})
-    return across.select(cols).union(down.select(cols)).union(order.select(cols))
+    across = each.withColumns({"bx": dealt("nx", 0), "by": F.explode(F.sequence(F.lit(0), F.col("ny") - 1)), "stray": F.lit(False)})
+    down = each.where("stray").withColumns({"by": dealt("ny", 1), "bx": F.explode(F.sequence(F.lit(0), F.col("nx") - 1))})
+    return across.select(_columns("bx", "by")).union(down.select(_columns("bx", "by")))
+
+
+def _neighbours(each: DataFrame, ranked: DataFrame, window: int) -> DataFrame:
+    """The same of cells of each tree's order, in which stray classes meet their neighbours."""
+    own = _cells(ranked.select("id", "rank").join(each, "id"), window)
+    return own.withColumns({"root": F.lit(-1), "by": F.lit(0)}).select(_columns("cell", "by"))
 
 
 def links(docs: DataFrame, reps: DataFrame, window: int = WINDOW, chunk: int = CHUNK, block: int = BLOCK, max_blocks: int = MAX_BLOCKS) -> DataFrame:
@@ -270,15 +281,23 @@ def links(docs: DataFrame, reps: DataFrame, window: int = WINDOW, chunk: int = C
     first = cut(map_groups(chunks, ["root", "chunk"], each_pair, "a long, b long").distinct(), "links")
     if not large.limit(1).count():
         return first
-    joined = components(first).withColumnRenamed("root", "now")
-    now = cut(large.select("id").join(joined, "id", "left").select("id", F.coalesce("now", "id").alias("now")), "now")
 
     def strays(key: tuple, cols: dict[str, list]) -> list[tuple]:
         tried = [i for i, s in enumerate(cols["stray"]) if s]
         return joining(cols["id"], [np.frombuffer(s, np.uint64) for s in cols["shingles"]], cols["now"], tried) if tried else []
 
-    blocks = _blocks(full.where(F.col("size") > chunk), now, ranked, block, max_blocks, window)
-    return first.union(map_groups(blocks, ["root", "bx", "by"], strays, "a long, b long"))
+    def apart(found: DataFrame, name: str) -> DataFrame:
+        joined = components(found).withColumnRenamed("root", "now")
+        now = cut(large.select("id").join(joined, "id", "left").select("id", F.coalesce("now", "id").alias("now")), f"now{name}")
+        return cut(_apart(full.where(F.col("size") > chunk), now, block), f"apart{name}")
+
+    each = apart(first, "")
+    many = each.where(F.col("nx") > max_blocks)
+    if many.limit(1).count():
+        near = map_groups(_neighbours(many, ranked, window), ["root", "bx", "by"], strays, "a long, b long")
+        first = cut(first.union(near).distinct(), "nearer")
+        each = apart(first, "2")
+    return first.union(map_groups(_blocks(each), ["root", "bx", "by"], strays, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, window: int = WINDOW, chunk: int = CHUNK, block: int = BLOCK, max_blocks: int = MAX_BLOCKS) -> DataFrame:

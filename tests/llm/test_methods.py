@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hodoscope.llm import common, decontam, langid, licenses, linedup, neardup, packing, pii, secrets, topk, toxicity
 
@@ -237,6 +238,19 @@ def test_large_groups_in_chunks_blocks_and_windows(spark, sizes):
     assert [out[i] for i in range(150)] == up
 
 
+def test_strays_meet_their_whole_group_however_many_blocks(spark, monkeypatch):
+    """The first and the last document are linked, but stand in far cells of the order; a group of more than max_blocks blocks."""
+
+    def text(*places):
+        return " ".join(f"x{k}" if k in places else f"w{k}" for k in range(200))
+
+    rows = [(0, text(10)), *((k, text(*range(30, 190, 20), 180 + k)) for k in range(1, 11)), (11, text(20))]
+    in_order = lambda reps: reps.select(F.lit(0).alias("tree"), F.col("id").alias("rank"), F.lit(b"\0" * 64).alias("order"), "id", "agree")
+    monkeypatch.setattr(neardup, "forest", in_order)
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 1, 1, 1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {0: 0, 11: 0} | {k: 1 for k in range(1, 11)}
+
+
 def test_window_neighbours_are_those_of_the_sorted_order(spark):
     rng = np.random.default_rng(3)
     values = rng.integers(0, 3, (60, neardup.VALUES)).astype(np.uint32)  # few values, so that prefixes are shared
