@@ -121,21 +121,32 @@ def drift_positions(clusters: DataFrame, t0: DataFrame, p: PositionConfig, plane
         return clusters
     dim = F.broadcast(plane_dim.select("det", "plane", "pitch", "n_strips"))
     both = clusters.join(t0.select("entry", "t0"), "entry", "left").join(dim, ["det", "plane"], "left")
-    names = clusters.columns
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            pos = []
-            for at, plane, hits, start, pitch, n in zip(frame["pos"], frame["plane"], frame["members"], frame["t0"], frame["pitch"], frame["n_strips"]):
-                if start is None or not np.isfinite(start):
-                    pos.append(at)
-                elif p.method == "UTPC":
-                    pos.append(drift_iterated(hits, float(at), float(start)) if plane != 0 and len(hits) >= 3 else at)
-                else:
-                    pos.append(drift_line(hits, plane, float(start), p, float(pitch) if pitch and pitch > 0 else 0.4, int(n) if n and n > 0 else 1))
-            yield frame.assign(pos=pos)[names]
-
-    return both.mapInPandas(run, clusters.schema)
+    iterated = p.method == "UTPC"
+
+    # numbers of the clusters that need a line go to Python as plain arrays, all else stays in the JVM
+    def run(at: pd.Series, plane: pd.Series, start: pd.Series, pitch: pd.Series, n: pd.Series, *members: pd.Series) -> pd.Series:
+        pos = np.full(len(at), np.nan)
+        for i in np.flatnonzero(members[0].notna().to_numpy()):
+            hits = [dict(zip(MEMBER, v)) for v in zip(*(m.iloc[i] for m in members))]
+            if iterated:
+                pos[i] = drift_iterated(hits, float(at.iloc[i]), float(start.iloc[i]))
+            else:
+                pos[i] = drift_line(hits, plane.iloc[i], float(start.iloc[i]), p, float(pitch.iloc[i]) if pitch.iloc[i] > 0 else 0.4, int(n.iloc[i]) if n.iloc[i] > 0 else 1)
+        return pd.Series(pos)
+
+    lined = (F.col("plane") != 0) & (F.size("members") >= 3)
+    timed = F.coalesce(finite(F.col("t0")), F.lit(False))
+    total = lambda v: F.aggregate("members", F.lit(0.0), lambda acc, m: acc + v(m))
+    charge = total(lambda m: m["charge"])
+    centre = F.when(charge != 0, total(lambda m: m["id0"] * m["charge"]) / charge).otherwise(total(lambda m: m["id0"].cast("double")) / F.size("members"))
+    field = lambda n: F.transform("members", lambda m: F.coalesce(m[n].cast("double"), F.lit(0.0 if n == "time_error" else float("nan"))))
+    line = F.pandas_udf(run, "double")("pos", "plane", "t0", "pitch", "n_strips", *(F.when(timed & lined, field(n)) for n in MEMBER))
+    pos = F.when(~timed, F.col("pos")).when(lined, line).otherwise(F.col("pos") if iterated else centre)
+    return both.withColumn("pos", pos).select(*clusters.columns)
+
+
+#: Fields of a cluster's members that the drift methods use.
+MEMBER = ("id0", "time", "charge", "amp", "time_error")
 
 
 def _line(x: np.ndarray, y: np.ndarray, var: np.ndarray) -> tuple[float, float] | None:

@@ -533,3 +533,25 @@ def test_unused_settings_are_harmless():
 def test_search_sees_all_valid_tracker_hits(spark):
     sf = "/root/testdata/sf0.001"
     assert catalog_tracks._searchable(spark, sf).count() == adapters.hits(spark, sf).where("is_valid AND det < 3").count() > 0
+
+
+def test_only_clusters_that_need_a_line_go_to_python(spark):
+    """Members are handed over only of clusters of three hits or more off plane 0, in events with a T0; a table is dealt by its rows."""
+    member = "array<struct<hit_idx:int,raw_idx:int,id0:int,id1:int,amp:double,charge:double,time:double,time_error:double>>"
+    of = lambda n: [(k, k, 10 + k, -1, 5.0 + k, 50.0 + k, 100.0 + 20 * k, None) for k in range(n)]
+    rows = [(e, 0, plane, n, 7.5, of(n)) for e in (1, 2) for plane in (0, 1) for n in (1, 2, 4)]
+    own = spark.createDataFrame(rows, f"entry long, det int, plane int, size int, pos double, members {member}")
+    t0 = spark.createDataFrame([(1, 90.0), (2, float("nan"))], "entry long, t0 double")
+    dim = spark.createDataFrame([(0, 0, 0.4, 64), (0, 1, 0.4, 64)], "det int, plane int, pitch double, n_strips int")
+    for method in ("rawUTPC", "UTPC"):
+        p = PositionConfig(method=method)
+        out = clusters.drift_positions(own, t0, p, dim)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+        for r in out.collect():
+            hits = [m.asDict() for m in r.members]
+            if r.entry == 2 or (method == "UTPC" and (r.plane == 0 or r.size < 3)):
+                want = 7.5
+            else:
+                want = clusters.drift_iterated(hits, 7.5, 90.0) if method == "UTPC" else clusters.drift_line(hits, r.plane, 90.0, p, 0.4, 64)
+            assert r.pos == pytest.approx(want, rel=1e-12)
