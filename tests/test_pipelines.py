@@ -555,3 +555,9 @@ def test_only_clusters_that_need_a_line_go_to_python(spark):
             else:
                 want = clusters.drift_iterated(hits, 7.5, 90.0) if method == "UTPC" else clusters.drift_line(hits, r.plane, 90.0, p, 0.4, 64)
             assert r.pos == pytest.approx(want, rel=1e-12)
+
+
+def test_a_large_table_is_dealt_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "TASK_ROWS", 100)
+    assert adapters.dealt(spark.range(2000), F.col("id")).rdd.getNumPartitions() == 20
+    assert "Repartition" not in adapters.dealt(spark.range(300), F.col("id"))._jdf.queryExecution().logical().toString()
