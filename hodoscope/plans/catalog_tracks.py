@@ -136,7 +136,9 @@ def _pred(spark, sf) -> DataFrame:
 
 def _strips(spark, sf) -> DataFrame:
     planes = geometry.planes(spark, DUT)
-    return match.strip_clusters(_clusters(spark, sf, bits=0), geometry.axis_planes(planes), planes)
+    # the detector is a key of every clustering step, so Spark drops the other detectors' hits before them
+    own = _clusters(spark, sf, bits=0).where(F.col("det").isin(*(d["id"] for d in DUT)))
+    return match.strip_clusters(own, geometry.axis_planes(planes), planes)
 
 
 PRED = ad.by_order(PLANE3)
