@@ -288,6 +288,24 @@ def test_columnar_search_is_the_search_event_by_event(layers, limits, monkeypatc
     assert np.array_equal(np.array([w for _, _, w in want]).T, got["line"])
 
 
+def test_conflict_search_ends_at_any_node_limit_as_one_by_one(monkeypatch):
+    """Each limit gives what the search node by node gives there, in about half as many steps as nodes."""
+    rng = np.random.default_rng(3)
+    steps, rest = [], beam._rest
+    monkeypatch.setattr(beam, "_rest", lambda words: steps.append(1) or rest(words))
+    for n, hits, most in ((12, 4, 32), (40, 9, 3), (70, 12, 32), (130, 14, 32)):
+        picks = rng.integers(0, hits, (9, n, 3))
+        scores = -np.sort(-(300 - rng.integers(0, 12, (9, n)) / 4), 1)
+        count = rng.integers(1, n + 1, 9)
+        clash = (picks[:, :, None, :] == picks[:, None, :, :]).any(3) & ~np.eye(n, dtype=bool)
+        for nodes in [*range(1, 40), 77, 400, 3000]:
+            steps.clear()
+            got = beam.independent_sets(np.where(np.arange(n) < count[:, None], scores, 0.0), clash, count, most, nodes)
+            want = [brute_tracks.independent_set(scores[k, :c].tolist(), [tuple(p) for p in picks[k, :c].tolist()], most, nodes) for k, c in enumerate(count.tolist())]
+            assert [np.flatnonzero(g).tolist() for g in got] == [sorted(w) for w in want]
+            assert len(steps) <= nodes / 2 + n
+
+
 def test_groups_are_gathered_whole(spark):
     df = spark.range(5000).select((F.col("id") % 700).alias("k"), F.col("id").alias("v")).coalesce(1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
