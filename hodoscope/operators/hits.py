@@ -167,19 +167,17 @@ def fit_pulse(wave: np.ndarray, c: HitConfig) -> dict:
         height = float(fit.params[0] * (n * tau) ** n * np.exp(-n))
     if not np.isfinite(height):
         return out | none
-    value = lambda t: float(numerics.power_pulse(np.array([t]), fit.params)[0])
-
-    def where(level: float, a: float, b: float) -> float:
-        fa = value(a) - level
-        for _ in range(80):
-            m = (a + b) / 2
-            fm = value(m) - level
-            a, b, fa = (m, b, fm) if (fm < 0) == (fa < 0) else (a, m, fa)
-        return (a + b) / 2
-
-    early = where(c.cfd_fraction * height + base, 0.0, top)
-    late = where(c.cfd_fraction * height + base, top, 100.0)
-    high = where((1 - c.cfd_fraction) * height + base, 0.0, top)
+    value = lambda t: numerics.power_pulse(t, fit.params)
+    # halved side by side: the constant fraction before and after the maximum, and its complement before
+    a, b = np.array([0.0, top, 0.0]), np.array([top, 100.0, top])
+    level = np.array([c.cfd_fraction, c.cfd_fraction, 1 - c.cfd_fraction]) * height + base
+    fa = value(a) - level
+    for _ in range(80):
+        m = (a + b) / 2
+        fm = value(m) - level
+        same = (fm < 0) == (fa < 0)
+        a, b, fa = np.where(same, m, a), np.where(same, b, m), np.where(same, fm, fa)
+    early, late, high = ((a + b) / 2).tolist()
     return out | {"time": early * c.time_pitch, "rise_time": (high - early) * c.time_pitch, "width": (late - early) * c.time_pitch, "is_valid": True}
 
 
@@ -187,7 +185,7 @@ FITTED = {"Fit": fit_edge, "Mode1": fit_pulse}
 
 
 def fitted_features(hits: DataFrame, c: HitConfig) -> DataFrame:
-    """Waveform features that need a non-linear fit, in Arrow batches."""
+    """Waveform features that need a non-linear fit, in Arrow batches; a small file's waveforms are dealt to all cores too."""
     names = [f.strip().split()[0] for f in CHANNEL_HITS.split(",")]
     fit = FITTED[c.mode]
 
@@ -197,7 +195,10 @@ def fitted_features(hits: DataFrame, c: HitConfig) -> DataFrame:
             got = pd.DataFrame(rows, index=frame.index, columns=[n for n in names if n not in frame.columns])
             yield pd.concat([frame.drop(columns="adc"), got], axis=1)[names]
 
-    return hits.where(~is_direct()).select("entry", "det", "plane", "id0", "id1", "raw_idx", "adc").mapInPandas(run, CHANNEL_HITS)
+    spark = hits.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    waves = hits.where(~is_direct()).select("entry", "det", "plane", "id0", "id1", "raw_idx", "adc")
+    return waves.repartition(parts).mapInPandas(run, CHANNEL_HITS)
 
 
 def channel_hits(hits: DataFrame, c: HitConfig) -> DataFrame:

@@ -12,8 +12,8 @@ from hypothesis import HealthCheck, given, settings as hyp, strategies as st
 from pyspark.sql import functions as F, types as T
 
 from hodoscope.config import AlignmentConfig, ClusterConfig, EfficiencyConfig, EventBuilderConfig, HitConfig, PadAlignmentConfig, PositionConfig, ScopeConfig, TimingConfig, TrackConfig
-from hodoscope.functions import geometry
-from hodoscope.operators import align, beam, clusters, efficiency, events, grouped, match, scope, timing, tracks
+from hodoscope.functions import geometry, numerics
+from hodoscope.operators import align, beam, clusters, efficiency, events, grouped, hits, match, scope, timing, tracks
 from hodoscope.plans import adapters, catalog_tracks, registry, stages
 from hodoscope.sources import apv, blocks, bt, canonical, results, scope as scope_source, vmm
 from hodoscope.streaming import events as streaming
@@ -306,6 +306,24 @@ def test_conflict_search_ends_at_any_node_limit_as_one_by_one(monkeypatch):
             assert len(steps) <= nodes / 2 + n
 
 
+@pytest.mark.parametrize("mode", ["Fit", "Mode1"])
+def test_waveforms_of_one_partition_are_fitted_by_all_cores(spark, mode):
+    wave = [0] * 8 + [20, 200, 420, 500, 430, 330, 240, 170, 120, 80, 50, 30] + [10] * 14
+    rows = spark.range(40).coalesce(1).select(F.col("id").alias("entry"), *(F.lit(0).alias(n) for n in ("det", "plane", "id0", "raw_idx")), F.lit(-1).alias("id1"), F.array(*map(F.lit, wave)).cast("array<short>").alias("adc"), F.lit(None).cast("double").alias("adc_value"), F.lit(None).cast("double").alias("hit_time_ns"))
+    own = hits.fitted_features(rows, HitConfig(mode=mode))
+    used = own.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used == min(40, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)) > 1
+    assert own.count() == 40 and own.select("time").distinct().count() == 1
+
+
+def test_a_step_of_the_fit_takes_one_call_for_its_jacobian():
+    calls = []
+    x = np.arange(20.0)
+    fit = numerics.least_squares(lambda x, p: calls.append(1) or numerics.power_pulse(x, p), x, numerics.power_pulse(x, np.array([50.0, 2.5, 2.0, 4.0, 1.5])), np.array([40.0, 2.0, 2.5, 0.0, 1.2]))
+    assert fit.ok and fit.params == pytest.approx([50.0, 2.5, 2.0, 4.0, 1.5], rel=1e-4)
+    assert len(calls) < 50
+
+
 def test_groups_are_gathered_whole(spark):
     df = spark.range(5000).select((F.col("id") % 700).alias("k"), F.col("id").alias("v")).coalesce(1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
