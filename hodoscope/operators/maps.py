@@ -107,4 +107,4 @@ def hit_properties(rows: DataFrame, keys: list[str], shared: list[str], values:
         pad = 0.05 * (b - a)
         flat = ~(b > a)
         hists[n] = (axis(F.col(c), F.when(flat, a - 0.5).when(a < 0, a - pad).otherwise(a), F.when(flat, b + 0.5).otherwise(b + pad), bins),)
-    return fill(rows.join(spans, shared), keys, hists)
+    return fill(rows.join(F.broadcast(spans), shared), keys, hists)  # a row a part of the set-up; few keys would leave few tasks

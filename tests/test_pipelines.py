@@ -13,7 +13,7 @@ from pyspark.sql import functions as F, types as T
 
 from hodoscope.config import AlignmentConfig, ClusterConfig, EfficiencyConfig, EventBuilderConfig, HitConfig, PadAlignmentConfig, PositionConfig, ScopeConfig, TimingConfig, TrackConfig
 from hodoscope.functions import geometry, numerics
-from hodoscope.operators import align, beam, clusters, efficiency, events, grouped, hits, match, scope, timing, tracks
+from hodoscope.operators import align, beam, clusters, efficiency, events, grouped, hits, maps, match, scope, timing, tracks
 from hodoscope.plans import adapters, catalog_tracks, registry, stages
 from hodoscope.sources import apv, blocks, bt, canonical, results, scope as scope_source, vmm
 from hodoscope.streaming import events as streaming
@@ -324,6 +324,17 @@ def test_a_step_of_the_fit_takes_one_call_for_its_jacobian():
     assert len(calls) < 50
 
 
+def _met_by_key(df):
+    """Whether the plan sorts or deals whole rows to meet them by key."""
+    return any(w in df._jdf.queryExecution().executedPlan().toString() for w in ("SortMergeJoin", "ShuffledHashJoin"))
+
+
+def test_property_ranges_are_sent_to_the_rows(spark):
+    rows = spark.range(500).select((F.col("id") % 2).alias("det"), F.lit(0).alias("plane"), F.col("id").cast("double").alias("v"))
+    own = maps.hit_properties(rows, ["det", "plane"], ["det"], {"v": "v"})
+    assert not _met_by_key(own) and own.agg(F.sum("count")).first()[0] == 500
+
+
 def test_groups_are_gathered_whole(spark):
     df = spark.range(5000).select((F.col("id") % 700).alias("k"), F.col("id").alias("v")).coalesce(1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
