@@ -28,10 +28,11 @@ def spans(rows: DataFrame, keys: list[str], value: str, reach: float, bins: int)
 def histograms(rows: DataFrame, keys: list[str], value: str, bins: int = 160, reach: float = 6.0) -> DataFrame:
     """(keys, bin from 0, count, and the columns of spans): counts over ranges that depend on the data, per key.
 
-    Two aggregates: moments, then bins; the ranges, a row a key, are joined to the rows, and nothing comes to the driver.
+    Two aggregates: moments, then bins; the ranges, a row a key, are sent to the rows. Keys are parts of the set-up: rows that
+    met by a few keys would meet in a few tasks.
     Values outside a range have no bin. Keys whose values all lie outside don't occur.
     """
-    both = rows.where(finite(F.col(value))).join(spans(rows, keys, value, reach, bins), keys)
+    both = rows.where(finite(F.col(value))).join(F.broadcast(spans(rows, keys, value, reach, bins)), keys)
     at = F.floor((F.col(value) - F.col("low")) / F.col("width")).cast("int")
     return both.withColumn("bin", at).where(F.col("bin").between(0, bins - 1)).groupBy(*keys, "bin").agg(F.count("*").alias("count"), *(F.first(c).alias(c) for c in ("entries", "mean", "rms", "low", "width")))
 
@@ -100,6 +101,6 @@ def fit_residuals(rows: DataFrame, keys: list[str], value: str, shape: str = "do
     All rows are in the denominators, also those without a finite value; keys without one have no row.
     """
     fit = fit_histograms(histograms(rows, keys, value, bins, reach), keys, shape)
-    both = rows.join(fit.select(*keys, "centre", "sigma"), keys)
+    both = rows.join(F.broadcast(fit.select(*keys, "centre", "sigma")), keys)  # a row a key
     near = lambda k: (F.count_if(F.coalesce(F.abs(F.col(value) - F.col("centre")) < k * F.col("sigma"), F.lit(False))) / F.count("*")).alias(f"within_{k}sigma")
     return fit.join(both.groupBy(*keys).agg(near(3), near(5)), keys)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F, types as T
 
 from hodoscope.config import AlignmentConfig, ClusterConfig, EfficiencyConfig, EventBuilderConfig, HitConfig, PadAlignmentConfig, PositionConfig, ScopeConfig, TimingConfig, TrackConfig
 from hodoscope.functions import geometry, numerics
-from hodoscope.operators import align, beam, clusters, efficiency, events, grouped, hits, maps, match, scope, timing, tracks
+from hodoscope.operators import align, beam, clusters, efficiency, events, fits, grouped, hits, maps, match, scope, timing, tracks
 from hodoscope.plans import adapters, catalog_tracks, registry, stages
 from hodoscope.sources import apv, blocks, bt, canonical, results, scope as scope_source, vmm
 from hodoscope.streaming import events as streaming
@@ -335,6 +335,17 @@ def test_property_ranges_are_sent_to_the_rows(spark):
     assert not _met_by_key(own) and own.agg(F.sum("count")).first()[0] == 500
 
 
+def test_residual_ranges_and_fits_are_sent_to_the_rows(spark):
+    rows = spark.range(500).select((F.col("id") % 2).alias("det"), (F.col("id") % 31).cast("double").alias("v"))
+    assert not _met_by_key(fits.histograms(rows, ["det"], "v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the one join left is of the fits with their shares, a row a key each
+    try:
+        plan = fits.fit_residuals(rows, ["det"], "v")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") >= 2 and plan.count("SortMergeJoin") <= 1
+
+
 def test_groups_are_gathered_whole(spark):
     df = spark.range(5000).select((F.col("id") % 700).alias("k"), F.col("id").alias("v")).coalesce(1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
