@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hodoscope.llm.common import cut, filter_texts, map_rows, once
+from hodoscope.llm.common import cut, filter_texts, give_back, map_rows, once
 
 #: Labelled rows and their largest length that the fit may use.
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 60_000
@@ -175,7 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
     drawn.sort()
     hashed = [np.frombuffer(h, "<i4") for _, _, h in drawn]
     y = np.array([v for _, v, _ in drawn], float).reshape(len(drawn), len(cats))
-    return fit_chain(hashed, y, list(cats))
+    chain = fit_chain(hashed, y, list(cats))
+    del counts, drawn, hashed, y
+    give_back()  # the sample stays with the driver otherwise, for as long as it lives
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, decide: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:

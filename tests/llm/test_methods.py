@@ -487,3 +487,12 @@ def test_topk_against_all_pairs(spark, blocks):
             best = sorted((-int(np.dot(a, b)), i) for i, b in rows if i != q)[:4]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == want
+
+
+def test_the_driver_gives_back_what_the_toxicity_fit_took(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: calls.append(1))
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 3}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    assert calls == [1] and chain.names == list(toxicity.CATEGORIES)
