@@ -306,6 +306,28 @@ def test_conflict_search_ends_at_any_node_limit_as_one_by_one(monkeypatch):
             assert len(steps) <= nodes / 2 + n
 
 
+@pytest.mark.parametrize("block, steps", [(7, 3), (16_384, 32)])
+def test_conflict_search_with_hits_ends_at_any_node_limit_as_one_by_one(monkeypatch, block, steps):
+    """Nodes below which nothing is better are counted apart, and the limit holds nevertheless; few nodes are left to be searched."""
+    monkeypatch.setattr(beam, "BLOCK", block)
+    monkeypatch.setattr(beam, "STEPS", steps)
+    rng = np.random.default_rng(5)
+    taken, rest = [], beam._rest
+    monkeypatch.setattr(beam, "_rest", lambda words: taken.append(1) or rest(words))
+    for n, hits, most, least in ((12, 4, 32, 0), (40, 9, 3, -1), (70, 12, 32, 0), (130, 14, 32, -1), (80, 12, 32, 0)):
+        picks = rng.integers(least, hits, (9, n, 3))
+        scores = -np.sort(-(300 - rng.integers(0, 12, (9, n)) / 4 if n != 80 else 300 - 3 * rng.random((9, n))), 1)
+        count = rng.integers(max(1, n // 2), n + 1, 9)
+        clash = ((picks[:, :, None, :] == picks[:, None, :, :]) & (picks[:, :, None, :] >= 0)).any(3) & ~np.eye(n, dtype=bool)
+        for nodes in [*range(1, 20), 77, 400, 3000, 12_000]:
+            taken.clear()
+            got = beam.independent_sets(np.where(np.arange(n) < count[:, None], scores, 0.0), clash, count, most, nodes, picks)
+            want = [brute_tracks.independent_set(scores[k, :c].tolist(), [tuple(p) for p in picks[k, :c].tolist()], most, nodes) for k, c in enumerate(count.tolist())]
+            assert [np.flatnonzero(g).tolist() for g in got] == [sorted(w) for w in want]
+        if steps > 3 and n == 80:
+            assert len(taken) <= nodes / 5
+
+
 @pytest.mark.parametrize("mode", ["Fit", "Mode1"])
 def test_waveforms_of_one_partition_are_fitted_by_all_cores(spark, mode):
     wave = [0] * 8 + [20, 200, 420, 500, 430, 330, 240, 170, 120, 80, 50, 30] + [10] * 14
