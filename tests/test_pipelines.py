@@ -252,6 +252,26 @@ def test_windows_shuffle_no_pairs(spark):
         assert plan.index("Join LeftOuter") < min([plan.index(w) for w in ("Aggregate", "Window", "Sort") if w in plan] or [len(plan)])
 
 
+@pytest.mark.parametrize("together", [4096, 7])
+def test_triggers_of_one_time_meet_their_hits_once(spark, monkeypatch, together):
+    """All triggers of a time follow each other for each hit, in every task; none is lost, be it there twice, without id, run, time or hits."""
+    monkeypatch.setattr(events, "TOGETHER", together)
+    hits = spark.range(60).select(F.lit(1).cast("long").alias("run"), "id", (F.col("id") % 20).cast("double").alias("time"))
+    rows = [(1, k, float(k % 4)) for k in range(80)] + [(1, 3, 3.0), (1, None, 2.0), (1, 900, None), (None, 901, 2.0), (1, 902, 500.0)]
+    triggers = spark.createDataFrame(rows, "run long, trigger long, t double").repartition(6)
+    got = events.event_window(triggers, hits, EventBuilderConfig(window_offset_ns=0.0, before_ns=2.0, after_ns=3.0))
+    assert got.columns == ["run", "trigger", "t", "id", "hit_time", "hit_time_ns"]
+    want = []
+    for run, k, t in rows:
+        near = [i for i in range(60) if run and t is not None and t - 2 <= i % 20 < t + 3]
+        want += [(run, k, t, i, float(i % 20), i % 20 - t) for i in near] or [(run, k, t, None, None, None)]
+    parts = got.rdd.glom().collect()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for p in parts for r in p)
+    runs = sum(1 for p in parts for k, r in enumerate(p) if not k or (r.t, r.id) != (p[k - 1].t, p[k - 1].id))
+    pairs = len({w[2:4] for w in want})
+    assert runs <= pairs * (1 if together > 100 else 4) + 1 < len(want) / 2
+
+
 def _searched_one_by_one(frame, geometry, c):
     """(event, hits by layer, line) of every track, event by event."""
     out = []
